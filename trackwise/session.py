@@ -1,0 +1,10 @@
+"""Session and table helpers shared by all operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one driver table; only Spark's reader touches the path."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
