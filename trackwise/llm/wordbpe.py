@@ -1,9 +1,9 @@
 """Whole texts to the ids of a word-end BPE vocabulary, word by word for many words at once.
 
-Words in Latin letters, digits and punctuation are merged here in numpy, all distinct
-words of a buffer together; any other word goes through the tokenizer itself. Both
-give the tokenizer's ids (tested), since its pre-tokenizer never joins characters
-across white space.
+Its pre-tokens are runs of letters, single digits and runs of other signs, none of them
+across white space. Runs of ASCII and Latin-1 letters, digits and signs are merged here
+in numpy, all distinct ones of a buffer together; any other word goes through the
+tokenizer itself. Both give the tokenizer's ids (tested).
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ import os
 from functools import lru_cache
 
 import numpy as np
-import regex
 
 from trackwise.llm.bytewords import Words, distinct, mix, ragged
 
-#: Fixed value: the vocabulary's pre-tokenizer pattern.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = regex.compile("[!-~¡-įĲ-ɏ]+")
+#: Kind of each byte: 0 white space, 1 letter, 2 digit, 3 other, 4 left to the tokenizer (apostrophes, controls, all but ASCII and U+00C0-00FF).
+_KIND = np.full(256, 4, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[0x21:0x7F] = [1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 4 if b == 0x27 else 3 for b in range(0x21, 0x7F)]
 _NONE = np.int32(2**31 - 1)
 
 
@@ -54,7 +54,6 @@ class WordBpe:
             self.to[s[mine]] = [vocab[pairs[i][0] + pairs[i][1]] for i in got]
             todo = np.setdiff1d(todo, got)
             self.probes, tries = tries, tries + 1
-        self.words = regex.compile(PATTERN)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (mix(keys.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -125,49 +124,53 @@ class WordBpe:
             held += int(n.sum())
         return (np.concatenate(flat) if flat else np.zeros(0, np.int32)), first, count
 
+    def _pretokens(self, w: Words) -> np.ndarray:
+        """Lower-case ``w.buf``, cut its words into pre-tokens in place, and tell which of them need the tokenizer."""
+        buf = w.buf.copy()
+        lead = np.flatnonzero(buf[:-1] == 0xC3)
+        tail = buf[lead + 1]
+        buf[lead + 1] = np.where((tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97), tail + 0x20, tail)
+        kind = _KIND[buf]
+        kind[lead] = kind[lead + 1] = np.where((tail == 0x97) | (tail == 0xB7), 3, 1)
+        bad = np.concatenate([[0], np.cumsum(kind == 4, dtype=np.int32)])
+        odd = np.flatnonzero(bad[w.end] > bad[w.start])
+        turn = np.zeros(len(kind) + 1, np.int8)
+        turn[w.start[odd]] += 1
+        turn[w.end[odd]] -= 1
+        kind[np.cumsum(turn[:-1], dtype=np.int8) > 0] = 4
+        last = len(kind) - 8
+        fresh = np.empty(last + 1, bool)
+        fresh[0] = False
+        np.not_equal(kind[1 : last + 1], kind[:last], out=fresh[1:])
+        fresh |= kind[: last + 1] == 2
+        cut = np.flatnonzero(fresh)
+        cut = np.concatenate([[0], cut]) if kind[0] and (not len(cut) or cut[0]) else cut
+        own = kind[cut]
+        there = np.flatnonzero(own > 0)
+        stop = np.append(cut[1:], last)
+        ends = np.cumsum(w.sizes)
+        w.buf, w.start, w.end = buf, cut[there], stop[there]
+        w.first = np.concatenate([[0], np.searchsorted(w.start, ends)])
+        return own[there] == 4
+
     def encode(self, texts: list) -> list[np.ndarray]:
         """The ids of each text."""
-        w = Words(texts, lower=False)
+        w = Words(texts, lower=True)
+        needs = self._pretokens(w)
         codes, at = distinct(w.hashes())
         size = (w.end - w.start)[at]
-        # distinct words of letters only are one pre-token each
-        low = np.arange(256, dtype=np.uint8)
-        low[65:91] += 32
-        other = np.zeros(256, np.int64)
-        other[[b for b in range(256) if not chr(b).isalpha() or b > 127]] = 1
-        seen = np.concatenate([[0], np.cumsum(other[w.buf])])
-        plain = (seen[w.end[at]] == seen[w.start[at]]) & (size <= 40)
-        easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
-        ids, first, count = self._pieces(low[w.buf], w.start[at[easy]], size[easy])
-        all_first, all_count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        all_first[easy], all_count[easy] = first, count
-        # other words are cut into pre-tokens; the pre-tokens are merged together
-        cut, owner, slow = [], [], []
+        slow = needs[at] | (size > 60)
+        easy, hard = np.flatnonzero(~slow), np.flatnonzero(slow)
+        first, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        ids, first[easy], count[easy] = self._pieces(w.buf, w.start[at[easy]], size[easy])
+        more, held = [ids], len(ids)
         for k, i in zip(hard, at[hard], strict=True):
-            t = w.of(i).decode("utf-8", "surrogatepass")
-            if len(t) <= 200 and _PLAIN.fullmatch(t):
-                got = self.words.findall(t.lower())
-                cut += got
-                owner += [k] * len(got)
-            else:
-                slow.append((k, t))
-        own = np.array(owner, np.int64)
-        raw = [c.encode() for c in cut]
-        lens = np.fromiter(map(len, raw), np.int64, len(raw))
-        i2, f2, c2 = self._pieces(np.frombuffer(b"".join(raw) + b" ", np.uint8), np.cumsum(lens) - lens, lens)
-        flat2, ends = ragged(i2, f2, c2, np.arange(len(raw)))
-        np.add.at(all_count, own, c2)
-        lead = np.flatnonzero(np.diff(own, prepend=-1))
-        all_first[own[lead]] = len(ids) + (ends - c2)[lead]
-        third, held = [np.zeros(0, np.int32)], len(ids) + len(flat2)
-        for k, t in slow:
-            e = np.asarray(self.tok.encode(t, add_special_tokens=False).ids, np.int32)
-            all_first[k], all_count[k] = held, len(e)
+            e = np.asarray(self.tok.encode(w.of(i).decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, np.int32)
+            first[k], count[k] = held, len(e)
             held += len(e)
-            third.append(e)
-        flat, ends = ragged(np.concatenate([ids, flat2, *third]), all_first, all_count, codes)
-        ends = np.concatenate([[0], ends])
-        cuts = ends[w.first]
+            more.append(e)
+        flat, ends = ragged(np.concatenate(more), first, count, codes)
+        cuts = np.concatenate([[0], ends])[w.first]
         flat = flat.astype("<u4")
         return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
