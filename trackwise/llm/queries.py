@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwise.llm import fingerprint, htmltext, langid, packing, quality, tokencount
+from trackwise.llm import ctw, fingerprint, htmltext, langid, packing, quality, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op5_html_extraction": op5_html_extraction,
     "op7_packing": op7_packing,
     "op8_fingerprints": op8_fingerprints,
+    "op9_ctw_scoring": op9_ctw_scoring,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
