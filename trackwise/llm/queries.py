@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwise.llm import ctw, fingerprint, htmltext, jaccard, langid, packing, quality, tokencount
+from trackwise.llm import ctw, fingerprint, htmltext, jaccard, langid, packing, quality, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return warc.audit(warc.from_pages(pages), warc.from_pages(warc.damaged(pages)))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = htmltext.main_text(_table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -50,6 +55,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_warc_fixity": op4_warc_fixity,
     "op5_html_extraction": op5_html_extraction,
     "op7_packing": op7_packing,
     "op8_fingerprints": op8_fingerprints,
