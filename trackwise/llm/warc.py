@@ -93,7 +93,7 @@ def leaves(records: DataFrame) -> DataFrame:
     each = records.select("file", "slot", "id", "url", F.octet_length("record").cast("long").alias("n"), F.sha2("record", 256).alias("h"))
     slots = each.groupBy("file", "slot").agg(
         F.min("id").alias("id"), F.min("url").alias("url"), F.sum("n").alias("n"), F.count("*").alias("k"),
-        F.min("h").alias("one"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("many"),
+        F.min("h").alias("one"), F.sha2(F.concat_ws(",", F.count("*"), F.bit_xor(F.xxhash64("h")), F.sum(F.xxhash64("h", F.lit(1)).bitwiseAND(F.lit((1 << 32) - 1)))), 256).alias("many"),
     )
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return slots.select("file", "slot", "id", "url", before.alias("start"), (before + F.col("n")).alias("stop"), F.when(F.col("k") == 1, F.col("one")).otherwise(F.col("many")).alias("hash"))
