@@ -111,6 +111,6 @@ def leaking(splits: DataFrame) -> DataFrame:
     return splits.groupBy("scenario", "episode").agg(F.countDistinct("subset").alias("n_subsets")).filter(F.col("n_subsets") > 1)
 
 
-def r6(c: str | Column) -> Column:
+def r9(c: str | Column) -> Column:
     """Round for a stable comparison between engines."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return F.round(F.col(c) if isinstance(c, str) else c, 9)

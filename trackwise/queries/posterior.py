@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackwise import probes
 from trackwise.operators import posterior as op
-from trackwise.operators.posterior import r6
+from trackwise.operators.posterior import r9
 from trackwise.registry import query
 
 SAMPLE = ["scenario", "sample_id"]
@@ -43,44 +43,44 @@ def _pred(spark: SparkSession, sf: str, likelihood: str = "likelihood") -> DataF
     return op.summarise(_uniform(spark, sf, likelihood), SAMPLE, ["fraction_observed"])
 
 
-@query(f"WITH {C}, {TYPED} SELECT scenario, sample_id, possible_goal, round(prior, 6) AS prior, round(prob, 6) AS prob FROM mt_p")
+@query(f"WITH {C}, {TYPED} SELECT scenario, sample_id, possible_goal, round(prior, 9) AS prior, round(prob, 9) AS prob FROM mt_p")
 def posterior_with_type_priors(spark: SparkSession, sf: str) -> DataFrame:
     """O-54, O-63."""
     probs = op.posterior(op.with_prior(probes.cand(spark, sf), spark.sql(PRIORS).withColumn("prior", F.col("prior").cast("double")), ["goal_type"]), SAMPLE)
-    return probs.select(*SAMPLE, "possible_goal", r6("prior").alias("prior"), r6("prob").alias("prob"))
+    return probs.select(*SAMPLE, "possible_goal", r9("prior").alias("prior"), r9("prob").alias("prob"))
 
 
-@query(f"""WITH {C}, {TYPED} SELECT scenario, sample_id, true_goal, model_prediction, predicted_goal_type, round(max_prob, 6) AS max_prob, round(min_prob, 6) AS min_prob,
-round(entropy, 6) AS entropy, round(entropy_norm, 6) AS entropy_norm, round(true_goal_prob, 6) AS true_goal_prob, round(cross_entropy, 6) AS cross_entropy FROM mt""")
+@query(f"""WITH {C}, {TYPED} SELECT scenario, sample_id, true_goal, model_prediction, predicted_goal_type, round(max_prob, 9) AS max_prob, round(min_prob, 9) AS min_prob,
+round(entropy, 9) AS entropy, round(entropy_norm, 9) AS entropy_norm, round(true_goal_prob, 9) AS true_goal_prob, round(cross_entropy, 9) AS cross_entropy FROM mt""")
 def posterior_summary(spark: SparkSession, sf: str) -> DataFrame:
     """O-64, with undefined candidates."""
     priors = spark.sql(PRIORS).withColumn("prior", F.col("prior").cast("double"))
     pred = op.summarise(op.posterior(op.with_prior(probes.cand(spark, sf), priors, ["goal_type"]), SAMPLE), SAMPLE, ["fraction_observed"])
-    return pred.select(*SAMPLE, "true_goal", "model_prediction", "predicted_goal_type", *[r6(c).alias(c) for c in ("max_prob", "min_prob", "entropy", "entropy_norm", "true_goal_prob", "cross_entropy")])
+    return pred.select(*SAMPLE, "true_goal", "model_prediction", "predicted_goal_type", *[r9(c).alias(c) for c in ("max_prob", "min_prob", "entropy", "entropy_norm", "true_goal_prob", "cross_entropy")])
 
 
 @query(f"""WITH {C}, {UNIFORM}, l AS (UNPIVOT (SELECT scenario, CAST(round_even(fraction_observed, 1) AS DOUBLE) AS fraction, correct, entropy_norm, cross_entropy, true_goal_prob FROM m1)
 ON correct, entropy_norm, cross_entropy, true_goal_prob INTO NAME metric VALUE v)
-SELECT scenario, metric, fraction, round(avg(v), 6) AS mean, CASE WHEN count(v) > 1 THEN round(stddev_samp(v) / sqrt(count(v)), 6) END AS sem, count(v) AS n FROM l GROUP BY 1, 2, 3""")
+SELECT scenario, metric, fraction, round(avg(v), 9) AS mean, CASE WHEN count(v) > 1 THEN round(stddev_samp(v) / sqrt(count(v)), 9) END AS sem, count(v) AS n FROM l GROUP BY 1, 2, 3""")
 def curves_by_fraction(spark: SparkSession, sf: str) -> DataFrame:
     """O-34, O-69, the flagship: curves by fraction of the trajectory observed."""
     c = op.curves(_pred(spark, sf), ["scenario"])
-    return c.select("scenario", "metric", "fraction", r6("mean").alias("mean"), r6("sem").alias("sem"), "n")
+    return c.select("scenario", "metric", "fraction", r9("mean").alias("mean"), r9("sem").alias("sem"), "n")
 
 
 _TABLE = ["accuracy", "accuracy_sem", "cross_entropy", "entropy", "entropy_norm", "mean_max_prob", "mean_min_prob", "mean_true_goal_prob", "log_loss"]
 
 
 @query(f"""WITH {C}, {UNIFORM}, {SECOND}, b AS (SELECT 'first' AS model, * FROM m1 UNION ALL SELECT 'second' AS model, * FROM m2)
-SELECT model, scenario, round(avg(correct), 6) AS accuracy, round(stddev_samp(correct) / sqrt(count(correct)), 6) AS accuracy_sem, round(avg(cross_entropy), 6) AS cross_entropy,
-round(avg(entropy), 6) AS entropy, round(avg(entropy_norm), 6) AS entropy_norm, round(avg(max_prob), 6) AS mean_max_prob, round(avg(min_prob), 6) AS mean_min_prob,
-round(avg(true_goal_prob), 6) AS mean_true_goal_prob, round(avg(CASE WHEN max_prob <> 0 THEN -ln(max_prob) END), 6) AS log_loss, count(*) AS n, CAST(sum(CASE WHEN max_prob IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_undefined
+SELECT model, scenario, round(avg(correct), 9) AS accuracy, round(stddev_samp(correct) / sqrt(count(correct)), 9) AS accuracy_sem, round(avg(cross_entropy), 9) AS cross_entropy,
+round(avg(entropy), 9) AS entropy, round(avg(entropy_norm), 9) AS entropy_norm, round(avg(max_prob), 9) AS mean_max_prob, round(avg(min_prob), 9) AS mean_min_prob,
+round(avg(true_goal_prob), 9) AS mean_true_goal_prob, round(avg(CASE WHEN max_prob <> 0 THEN -ln(max_prob) END), 9) AS log_loss, count(*) AS n, CAST(sum(CASE WHEN max_prob IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_undefined
 FROM b GROUP BY model, scenario""")
 def metrics_by_model_and_scenario(spark: SparkSession, sf: str) -> DataFrame:
     """O-68."""
     both = _pred(spark, sf).withColumn("model", F.lit("first")).unionByName(_pred(spark, sf, "likelihood2").withColumn("model", F.lit("second")))
     t = op.metric_table(both, ["model", "scenario"])
-    return t.select("model", "scenario", *[r6(c).alias(c) for c in _TABLE], "n", "n_undefined")
+    return t.select("model", "scenario", *[r9(c).alias(c) for c in _TABLE], "n", "n_undefined")
 
 
 _AGENTS = "SELECT DISTINCT sample_id AS agent_id, true_goal, goal_type AS true_goal_type FROM c WHERE possible_goal = true_goal"
@@ -88,23 +88,23 @@ _GRID = "SELECT g AS true_goal, t AS true_goal_type FROM (VALUES (1), (2), (3),
 
 
 @query(f"""WITH {C}, a AS ({_AGENTS}), g AS ({_GRID})
-SELECT g.true_goal, g.true_goal_type, round((coalesce(k.c, 0) + 1.0) / ((SELECT count(*) FROM a) + 1.0 * (SELECT count(*) FROM g)), 6) AS prior
+SELECT g.true_goal, g.true_goal_type, round((coalesce(k.c, 0) + 1.0) / ((SELECT count(*) FROM a) + 1.0 * (SELECT count(*) FROM g)), 9) AS prior
 FROM g LEFT JOIN (SELECT true_goal, true_goal_type, count(*) AS c FROM a GROUP BY 1, 2) k ON k.true_goal = g.true_goal AND k.true_goal_type = g.true_goal_type""")
 def smoothed_goal_priors(spark: SparkSession, sf: str) -> DataFrame:
     """O-65."""
     probes.cand(spark, sf).createOrReplaceTempView("c")
     out = op.goal_priors(spark.sql(_AGENTS), spark.sql(_GRID), 1.0)
-    return out.withColumn("prior", F.round("prior", 6))
+    return out.withColumn("prior", F.round("prior", 9))
 
 
 _WEIGHTS = "SELECT scenario, goal_type, (SELECT count(*) FROM c) * 1.0 / count(*) OVER (PARTITION BY scenario) / (SELECT count(DISTINCT scenario) FROM c) AS weight FROM c"
 
 
-@query(f"WITH {C}, w AS ({_WEIGHTS}) SELECT goal_type AS true_goal_type, round(sum(weight), 3) AS weighted, round(1.0 / count(*) OVER (), 6) AS uniform FROM w GROUP BY goal_type")
+@query(f"WITH {C}, w AS ({_WEIGHTS}) SELECT goal_type AS true_goal_type, round(sum(weight), 3) AS weighted, round(1.0 / count(*) OVER (), 9) AS uniform FROM w GROUP BY goal_type")
 def type_priors_from_balanced_weights(spark: SparkSession, sf: str) -> DataFrame:
     """O-66, O-67."""
     w = op.balanced_weights(probes.cand(spark, sf)).groupBy(F.col("goal_type").alias("true_goal_type")).agg(F.round(F.sum("weight"), 3).alias("weighted"))
-    return w.crossJoin(w.agg(F.count("*").alias("k"))).select("true_goal_type", "weighted", F.round(F.lit(1.0) / F.col("k"), 6).alias("uniform"))
+    return w.crossJoin(w.agg(F.count("*").alias("k"))).select("true_goal_type", "weighted", F.round(F.lit(1.0) / F.col("k"), 9).alias("uniform"))
 
 
 @query(f"WITH {C} SELECT scenario, sample_id, possible_goal FROM c WHERE sample_id IN (SELECT sample_id FROM c GROUP BY scenario, sample_id HAVING count(DISTINCT possible_goal) >= 2)")
@@ -113,10 +113,10 @@ def drop_low_sample_agents(spark: SparkSession, sf: str) -> DataFrame:
     return op.drop_low_samples(probes.cand(spark, sf), SAMPLE, "possible_goal").select(*SAMPLE, "possible_goal").distinct()
 
 
-@query(f"WITH {C}, {UNIFORM}, {SECOND} SELECT m1.scenario, m1.sample_id, round(m1.true_goal_prob - m2.true_goal_prob, 6) AS gain FROM m1 JOIN m2 ON m1.scenario = m2.scenario AND m1.sample_id = m2.sample_id WHERE m1.true_goal_prob - m2.true_goal_prob > 0.0123")
+@query(f"WITH {C}, {UNIFORM}, {SECOND} SELECT m1.scenario, m1.sample_id, round(m1.true_goal_prob - m2.true_goal_prob, 9) AS gain FROM m1 JOIN m2 ON m1.scenario = m2.scenario AND m1.sample_id = m2.sample_id WHERE m1.true_goal_prob - m2.true_goal_prob > 0.0123")
 def significant_gains(spark: SparkSession, sf: str) -> DataFrame:
     """O-43, by key."""
-    return op.gained(_pred(spark, sf), _pred(spark, sf, "likelihood2"), SAMPLE, 0.0123).withColumn("gain", r6("gain"))
+    return op.gained(_pred(spark, sf), _pred(spark, sf, "likelihood2"), SAMPLE, 0.0123).withColumn("gain", r9("gain"))
 
 
 @query(f"WITH {C}, {UNIFORM}, {SECOND} SELECT m1.scenario, m1.sample_id, m1.correct AS correct_a, m2.correct AS correct_b FROM m1 JOIN m2 ON m1.scenario = m2.scenario AND m1.sample_id = m2.sample_id WHERE m1.correct <> m2.correct")
@@ -152,23 +152,23 @@ def split_leakage(spark: SparkSession, sf: str) -> DataFrame:
     return op.leaking(spark.sql(_SPLIT))
 
 
-@query(f"WITH t AS ({probes.TRAIN}) SELECT tree_key, round(avg(CAST(tax_missing AS INT)), 6) AS missing_rate FROM t GROUP BY tree_key")
+@query(f"WITH t AS ({probes.TRAIN}) SELECT tree_key, round(avg(CAST(tax_missing AS INT)), 9) AS missing_rate FROM t GROUP BY tree_key")
 def indicator_rates(spark: SparkSession, sf: str) -> DataFrame:
     """O-72."""
-    return probes.train(spark, sf).groupBy("tree_key").agg(F.round(F.avg(F.col("tax_missing").cast("int")), 6).alias("missing_rate"))
+    return probes.train(spark, sf).groupBy("tree_key").agg(F.round(F.avg(F.col("tax_missing").cast("int")), 9).alias("missing_rate"))
 
 
-@query(f"WITH {C}, {UNIFORM} SELECT scenario, correct, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM m1 GROUP BY scenario, correct")
+@query(f"WITH {C}, {UNIFORM} SELECT scenario, correct, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 9) AS share FROM m1 GROUP BY scenario, correct")
 def value_distribution(spark: SparkSession, sf: str) -> DataFrame:
     """O-73."""
-    return op.value_shares(_pred(spark, sf), ["scenario", "correct"]).withColumn("share", F.round("share", 6))
+    return op.value_shares(_pred(spark, sf), ["scenario", "correct"]).withColumn("share", F.round("share", 9))
 
 
 @query(f"""WITH {C}, {UNIFORM}, f AS (SELECT DISTINCT scenario AS held_out FROM c)
-SELECT f.held_out, count(*) AS n_train, round(avg(m1.true_goal_prob), 6) AS train_true_goal_prob FROM f JOIN m1 ON m1.scenario <> f.held_out GROUP BY f.held_out""")
+SELECT f.held_out, count(*) AS n_train, round(avg(m1.true_goal_prob), 9) AS train_true_goal_prob FROM f JOIN m1 ON m1.scenario <> f.held_out GROUP BY f.held_out""")
 def leave_one_scenario_out(spark: SparkSession, sf: str) -> DataFrame:
     """O-99: all folds in one pass; the folds are few, the rows meet them by broadcast."""
     pred = _pred(spark, sf)
     folds = pred.select(F.col("scenario").alias("held_out")).distinct()
     met = pred.join(F.broadcast(folds), F.col("scenario") != F.col("held_out"))
-    return met.groupBy("held_out").agg(F.count("*").alias("n_train"), r6(F.avg("true_goal_prob")).alias("train_true_goal_prob"))
+    return met.groupBy("held_out").agg(F.count("*").alias("n_train"), r9(F.avg("true_goal_prob")).alias("train_true_goal_prob"))
