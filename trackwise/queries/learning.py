@@ -1 +1,177 @@
-"""Registered queries."""
+"""Tree learning, scoring and audit queries over the labelled rows of the line items."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackwise import probes
+from trackwise.operators import posterior as post
+from trackwise.operators.posterior import r9
+from trackwise.plans import trees
+from trackwise.registry import query
+
+T = f"t AS ({probes.TRAIN})"
+FEATURES = ["f_quantity", "f_discount", "f_tax"]
+MISSING = {"f_tax": "tax_missing"}
+TOT = "tot AS (SELECT tree_key, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN has_goal THEN 1 ELSE 0 END) AS DOUBLE) AS ng FROM t GROUP BY tree_key)"
+NORM = "nm AS (SELECT *, (n + 2) / 2 / (ng + 1) AS g, (n + 2) / 2 / (n - ng + 1) AS h FROM tot)"
+
+
+def _imp(ng: str, n: str) -> str:
+    p = f"(({ng} + 1) / ({n} + 2))"
+    return f"(-g * {p} * ln({p}) - h * (1 - {p}) * ln(1 - {p}))"
+
+
+STACK = "st AS (UNPIVOT (SELECT tree_key, has_goal, f_quantity, f_discount, f_tax FROM t) ON f_quantity, f_discount, f_tax INTO NAME feature VALUE v)"
+DIST = "ds AS (SELECT tree_key, feature, v, CAST(count(*) AS DOUBLE) AS w, CAST(sum(CASE WHEN has_goal THEN 1 ELSE 0 END) AS DOUBLE) AS wg FROM st GROUP BY 1, 2, 3)"
+CUM = "cu AS (SELECT *, sum(w) OVER o AS lw, sum(wg) OVER o AS lg, lead(v) OVER (PARTITION BY tree_key, feature ORDER BY v) AS nx FROM ds WINDOW o AS (PARTITION BY tree_key, feature ORDER BY v ROWS UNBOUNDED PRECEDING))"
+GAIN = f"ga AS (SELECT cu.tree_key, feature, (v + nx) / 2 AS threshold, round({_imp('ng', 'n')} - lw / n * {_imp('lg', 'lw')} - (n - lw) / n * {_imp('(ng - lg)', '(n - lw)')}, 12) AS gain FROM cu JOIN nm ON nm.tree_key = cu.tree_key WHERE nx IS NOT NULL)"
+SPLIT = f"{T}, {TOT}, {NORM}, {STACK}, {DIST}, {CUM}, {GAIN}, sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree_key, feature ORDER BY gain DESC, threshold) AS rn FROM ga) WHERE rn = 1)"
+
+
+@query(f"WITH {T}, {TOT}, {NORM} SELECT tree_key, n, ng, round((ng + 1) * g / ((ng + 1) * g + (n - ng + 1) * h), 9) AS value, round({_imp('ng', 'n')}, 9) AS impurity FROM nm")
+def node_values(spark: SparkSession, sf: str) -> DataFrame:
+    """O-32, O-100: root value (one half by construction) and impurity of every tree."""
+    t = trees.totals(probes.train(spark, sf), ["tree_key"])
+    n, ng, one = F.col("n"), F.col("ng"), F.lit(1.0)
+    g, h = (n + 2) / 2 / (ng + 1), (n + 2) / 2 / (n - ng + 1)
+    value = (ng + 1) * g / ((ng + 1) * g + (n - ng + 1) * h)
+    return t.select("tree_key", "n", "ng", r9(value).alias("value"), r9(trees.impurity_expr(ng, n, g, h, one)).alias("impurity"))
+
+
+@query(f"WITH {SPLIT} SELECT tree_key, feature, round(gain, 9) AS gain, round(threshold, 9) AS threshold FROM sp")
+def best_root_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """O-101: exact best threshold of every tree and feature at the root."""
+    rows = probes.train(spark, sf).withColumn("path", F.lit("R"))
+    t = trees.totals(rows, ["tree_key", "path"])
+    n, ng = F.col("n"), F.col("ng")
+    nodes = t.select("tree_key", "path", "n", "ng", "rows", n.alias("tree_n"), ((n + 2) / 2 / (ng + 1)).alias("g"), ((n + 2) / 2 / (n - ng + 1)).alias("h"), F.lit(1.0).alias("alpha"))
+    return trees.split_gains(rows, nodes, FEATURES).select("tree_key", "feature", r9("gain").alias("gain"), r9("threshold").alias("threshold"))
+
+
+_STUMP = """f AS (SELECT tree_key, feature, threshold, gain FROM (SELECT *, row_number() OVER (PARTITION BY tree_key ORDER BY gain DESC, CASE feature WHEN 'f_quantity' THEN 0 WHEN 'f_discount' THEN 1 ELSE 2 END) AS r2 FROM sp) WHERE r2 = 1 AND gain > 0),
+k AS (SELECT t.tree_key, CASE WHEN (CASE feature WHEN 'f_quantity' THEN f_quantity WHEN 'f_discount' THEN f_discount ELSE f_tax END) > threshold THEN 'RT' ELSE 'RF' END AS path, count(*) AS n, CAST(sum(CASE WHEN has_goal THEN 1 ELSE 0 END) AS DOUBLE) AS ng FROM t JOIN f ON f.tree_key = t.tree_key GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {SPLIT}, {_STUMP}
+SELECT nm.tree_key, 'R' AS path, feature, round(threshold, 9) AS threshold, round((ng + 1) * g / ((ng + 1) * g + (n - ng + 1) * h), 9) AS value FROM nm LEFT JOIN f ON f.tree_key = nm.tree_key
+UNION ALL SELECT k.tree_key, path, NULL, NULL, round((k.ng + 1) * g / ((k.ng + 1) * g + (k.n - k.ng + 1) * h), 9) FROM k JOIN nm ON nm.tree_key = k.tree_key""")
+def fitted_stumps(spark: SparkSession, sf: str) -> DataFrame:
+    """O-102 at depth one, unpruned, which SQL can express whole."""
+    nodes = trees.fit(probes.train(spark, sf), trees.Options(FEATURES, max_depth=1, ccp_alpha=-1.0))
+    return nodes.select("tree_key", "path", "feature", r9("threshold").alias("threshold"), r9("value").alias("value"))
+
+
+def _aware(**over) -> trees.Options:
+    return trees.Options(**({"features": FEATURES, "missing": MISSING, "max_depth": 4, "ccp_alpha": 0.0001} | over))
+
+
+@query()
+def fitted_occlusion_aware_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """O-102, O-103: look-ahead over the indicator, pruned."""
+    return trees.fit(probes.train(spark, sf), _aware())
+
+
+@query()
+def fitted_balanced_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """O-104: gini, children of ten rows or more, one tree per goal and type."""
+    rows = probes.train(spark, sf).withColumn("tree_key", F.concat_ws("/", "tree_key", F.col("goal").cast("string")))
+    return trees.fit(rows, _aware(criterion="gini", min_child=10, oracle=True, max_depth=3))
+
+
+@query()
+def fitted_model_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """O-110, O-120: every variant that has trees, with its accuracy at a likelihood of one half."""
+    out = None
+    for name, v in sorted(trees.VARIANTS.items()):
+        if not v["features"]:
+            continue
+        rows = probes.train(spark, sf)
+        if v.get("key"):
+            rows = rows.withColumn("tree_key", F.concat_ws("/", "tree_key", F.col(v["key"]).cast("string")))
+        nodes = trees.fit(rows, _aware(features=v["features"], missing=v.get("missing", {}), oracle=v.get("oracle", False), max_depth=3))
+        lk = trees.score_exprs(nodes, F.col("tree_key"), MISSING)["truncated" if v.get("truncate") else "likelihood"]
+        one = rows.select(((lk > 0.5) == F.col("has_goal")).cast("double").alias("ok")).agg(F.avg("ok").alias("accuracy")).select(F.lit(name).alias("variant"), F.lit(v["prior"]).alias("prior"), "accuracy")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_HAND = """CASE tree_key WHEN 'A' THEN CASE WHEN f_quantity > 25 THEN 'RT' WHEN f_discount > 0.05 THEN 'RFT' ELSE 'RFF' END WHEN 'N' THEN CASE WHEN f_tax > 0.04 THEN 'RT' ELSE 'RF' END END"""
+_HAND_VALUE = "CASE tree_key || path WHEN 'ART' THEN 0.7 WHEN 'ARFT' THEN 0.2 WHEN 'ARFF' THEN 0.45 WHEN 'NRT' THEN 0.6 WHEN 'NRF' THEN 0.3 ELSE 0.5 END"
+
+
+@query(f"""WITH {T}, p AS (SELECT *, {_HAND} AS path FROM t)
+SELECT tree_key, path, CAST({_HAND_VALUE} AS DOUBLE) AS likelihood, CAST(CASE WHEN tree_key = 'N' AND tax_missing THEN 0.5 ELSE {_HAND_VALUE} END AS DOUBLE) AS truncated, count(*) AS n FROM p GROUP BY 1, 2, 3, 4""")
+def scored_by_hand_written_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """O-105, O-106, O-107, O-109, O-119, O-121: value, truncated value and path; tree R is unknown."""
+    e = trees.score_exprs(trees.hand_written(spark), F.col("tree_key"), MISSING)
+    return probes.train(spark, sf).select("tree_key", *[e[k].alias(k) for k in ("path", "likelihood", "truncated")]).groupBy("tree_key", "path", "likelihood", "truncated").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {T}, p AS (SELECT *, {_HAND} AS path FROM t), e AS (SELECT tree_key, unnest(CASE WHEN length(path) = 2 THEN [CASE path WHEN 'RT' THEN 'RF' ELSE 'RT' END] WHEN length(path) = 3 THEN ['RT', CASE path WHEN 'RFT' THEN 'RFF' ELSE 'RFT' END] ELSE [] END) AS prefix FROM p)
+SELECT tree_key, prefix, count(*) AS n FROM e GROUP BY 1, 2""")
+def untaken_branches(spark: SparkSession, sf: str) -> DataFrame:
+    """O-107: how often each branch was passed by."""
+    path = trees.score_exprs(trees.hand_written(spark), F.col("tree_key"))["path"]
+    rows = probes.train(spark, sf).select("tree_key", path.alias("path")).filter(F.col("path").isNotNull())
+    return rows.select("tree_key", F.explode(trees.untaken(F.col("path"))).alias("prefix")).groupBy("tree_key", "prefix").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {SPLIT}, {_STUMP}
+SELECT k.tree_key, 'R' AS path, path AS child, round(((k.ng + 1) * g / ((k.ng + 1) * g + (k.n - k.ng + 1) * h)) / ((nm.ng + 1) * g / ((nm.ng + 1) * g + (nm.n - nm.ng + 1) * h)), 9) AS weight FROM k JOIN nm ON nm.tree_key = k.tree_key""")
+def tree_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """O-108."""
+    nodes = trees.fit(probes.train(spark, sf), trees.Options(FEATURES, max_depth=1, ccp_alpha=-1.0))
+    return trees.edges(nodes).withColumn("weight", r9("weight"))
+
+
+def _posterior(rows: DataFrame, likelihood) -> DataFrame:
+    """Candidates with a likelihood to one row per sample."""
+    c = rows.groupBy("sample_id", F.col("goal").alias("possible_goal")).agg(F.min("tree_key").alias("goal_type"), F.avg(likelihood).alias("likelihood"))
+    c = c.withColumn("true_goal", (F.col("sample_id") % 7 + 1).cast("int"))
+    return post.summarise(post.posterior(post.uniform_prior(c, ["sample_id"]), ["sample_id"]), ["sample_id"], [])
+
+
+@query()
+def pruning_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """O-111: the parameter is part of the tree key, so all settings of a level are one job; mean of per-key means."""
+    rows = probes.train(spark, sf)
+    out = None
+    for ccp in (0.0001, 0.001, 0.01):
+        lk = trees.score_exprs(trees.fit(rows, _aware(ccp_alpha=ccp, max_depth=3)), F.col("tree_key"))["likelihood"]
+        per = rows.groupBy("tree_key").agg(F.avg(F.when(F.col("has_goal"), lk)).alias("m")).agg(F.avg("m").alias("mean_goal_likelihood")).select(F.lit(ccp).alias("ccp_alpha"), "mean_goal_likelihood")
+        out = per if out is None else out.unionByName(per)
+    return out
+
+
+@query()
+def leave_one_out_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """O-112: the fold is part of the tree key, so all folds are fitted in the same jobs; each is scored on its held-out rows."""
+    rows = probes.train(spark, sf).withColumn("fold", (F.col("sample_id") % 4).cast("string"))
+    folds = spark.createDataFrame([(str(i),) for i in range(4)], "held_out string")
+    training = rows.join(F.broadcast(folds), F.col("fold") != F.col("held_out")).withColumn("tree_key", F.concat_ws("/", "tree_key", "held_out"))
+    lk = trees.score_exprs(trees.fit(training, _aware(max_depth=2)), F.concat_ws("/", "tree_key", "fold"))["likelihood"]
+    return rows.groupBy("fold").agg(F.avg(F.when(F.col("has_goal"), lk)).alias("goal_likelihood"), F.avg(F.when(~F.col("has_goal"), lk)).alias("other_likelihood"), F.count("*").alias("n"))
+
+
+@query()
+def significant_subset_study(spark: SparkSession, sf: str) -> DataFrame:
+    """O-113: fit with and without the feature that may be missing, keep the samples that gain, refit on them."""
+    rows = probes.train(spark, sf)
+    full = trees.score_exprs(trees.fit(rows, _aware(max_depth=2)), F.col("tree_key"))["likelihood"]
+    bare = trees.score_exprs(trees.fit(rows, _aware(features=FEATURES[:2], missing={}, max_depth=2)), F.col("tree_key"))["likelihood"]
+    won = post.gained(_posterior(rows, full), _posterior(rows, bare), ["sample_id"], 0.0001)
+    kept = rows.join(won.select("sample_id"), "sample_id", "left_semi")
+    return trees.fit(kept, _aware(max_depth=2))
+
+
+@query(f"""WITH {T}, p AS (SELECT *, {_HAND} AS path FROM t), v AS (SELECT *, {_HAND_VALUE} AS a, CASE tree_key WHEN 'A' THEN CASE WHEN f_quantity > 25 THEN 0.7 WHEN f_discount + 0.02 > 0.05 THEN 0.2 ELSE 0.45 END WHEN 'N' THEN CASE WHEN f_tax > 0.04 THEN 0.6 ELSE 0.3 END ELSE 0.5 END AS b FROM p)
+SELECT 'a higher discount never raises the likelihood' AS proposition, count(*) AS n, CAST(sum(CASE WHEN b > a THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM v
+UNION ALL SELECT 'a higher discount never lowers the likelihood', count(*), CAST(sum(CASE WHEN b < a THEN 1 ELSE 0 END) AS BIGINT) FROM v""")
+def counterfactual_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """O-114: score every sample with one field overridden and count violations; evidence from data, not a proof."""
+    lk = trees.score_exprs(trees.hand_written(spark), F.col("tree_key"))["likelihood"]
+    both = probes.train(spark, sf).withColumn("a", lk).withColumn("f_discount", F.col("f_discount") + 0.02).withColumn("b", lk)
+    one = lambda text, bad: both.agg(F.count("*").alias("n"), F.sum(bad.cast("long")).alias("violations")).select(F.lit(text).alias("proposition"), "n", "violations")
+    return one("a higher discount never raises the likelihood", F.col("b") > F.col("a")).union(one("a higher discount never lowers the likelihood", F.col("b") < F.col("a")))
