@@ -1 +1,194 @@
-"""Registered queries."""
+"""Queries of states on a literal road network: a four-arm crossing and a roundabout with three exits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from trackwise import probes
+from trackwise.functions import angle_diff
+from trackwise.operators import lanes as op
+from trackwise.operators import tracks
+from trackwise.operators.posterior import r9
+from trackwise.registry import query
+
+LANES = """SELECT * FROM (VALUES
+('w_in', 1, 10, NULL, NULL, 0.0, 48.0, 45.0, 48.0), ('w_out', 1, 11, NULL, NULL, 45.0, 52.0, 0.0, 52.0), ('e_in', 2, 20, NULL, NULL, 100.0, 52.0, 55.0, 52.0), ('e_out', 2, 21, NULL, NULL, 55.0, 48.0, 100.0, 48.0),
+('s_in', 3, 30, NULL, NULL, 52.0, 0.0, 52.0, 45.0), ('s_out', 3, 31, NULL, NULL, 48.0, 45.0, 48.0, 0.0), ('n_in', 4, 40, NULL, NULL, 48.0, 100.0, 48.0, 55.0), ('n_out', 4, 41, NULL, NULL, 52.0, 55.0, 52.0, 100.0),
+('j_we', 5, 50, 1, NULL, 45.0, 48.0, 55.0, 48.0), ('j_wn', 6, 60, 1, NULL, 45.0, 48.0, 52.0, 55.0), ('j_ws', 7, 70, 1, NULL, 45.0, 48.0, 48.0, 45.0), ('j_ew', 8, 80, 1, NULL, 55.0, 52.0, 45.0, 52.0),
+('j_es', 9, 90, 1, NULL, 55.0, 52.0, 48.0, 45.0), ('j_en', 10, 100, 1, NULL, 55.0, 52.0, 52.0, 55.0), ('j_sn', 11, 110, 1, NULL, 52.0, 45.0, 52.0, 55.0), ('j_sw', 12, 120, 1, NULL, 52.0, 45.0, 45.0, 52.0), ('j_se', 13, 130, 1, NULL, 52.0, 45.0, 55.0, 48.0),
+('j_ns', 14, 140, 1, NULL, 48.0, 55.0, 48.0, 45.0), ('j_ne', 15, 150, 1, NULL, 48.0, 55.0, 55.0, 48.0), ('j_nw', 16, 160, 1, NULL, 48.0, 55.0, 45.0, 52.0),
+('r_in', 17, 170, NULL, NULL, 100.0, 48.0, 115.0, 48.0), ('r_a', 18, 180, 2, 'roundabout', 115.0, 48.0, 130.0, 33.0), ('r_b', 18, 181, 2, 'roundabout', 130.0, 33.0, 145.0, 48.0), ('r_c', 18, 182, 2, 'roundabout', 145.0, 48.0, 130.0, 63.0), ('r_d', 18, 183, 2, 'roundabout', 130.0, 63.0, 115.0, 48.0),
+('x_1', 19, 190, NULL, NULL, 130.0, 33.0, 130.0, 0.0), ('x_2', 20, 200, NULL, NULL, 145.0, 48.0, 180.0, 48.0), ('x_3', 21, 210, NULL, NULL, 130.0, 63.0, 130.0, 100.0)
+) AS v(lane, road, section, junction, jgroup, x0, y0, x1, y1)"""
+LINKS = """SELECT * FROM (VALUES
+('w_in', 'j_we', 0), ('w_in', 'j_wn', 1), ('w_in', 'j_ws', 2), ('e_in', 'j_ew', 0), ('e_in', 'j_es', 1), ('e_in', 'j_en', 2), ('s_in', 'j_sn', 0), ('s_in', 'j_sw', 1), ('s_in', 'j_se', 2), ('n_in', 'j_ns', 0), ('n_in', 'j_ne', 1), ('n_in', 'j_nw', 2),
+('j_we', 'e_out', 0), ('j_wn', 'n_out', 0), ('j_ws', 's_out', 0), ('j_ew', 'w_out', 0), ('j_es', 's_out', 0), ('j_en', 'n_out', 0), ('j_sn', 'n_out', 0), ('j_sw', 'w_out', 0), ('j_se', 'e_out', 0), ('j_ns', 's_out', 0), ('j_ne', 'e_out', 0), ('j_nw', 'w_out', 0),
+('e_out', 'r_in', 0), ('r_in', 'r_a', 0), ('r_a', 'r_b', 0), ('r_a', 'x_1', 1), ('r_b', 'r_c', 0), ('r_b', 'x_2', 1), ('r_c', 'r_d', 0), ('r_c', 'x_3', 1), ('r_d', 'r_a', 0)
+) AS v(src, dst, ord)"""
+#: Roads 1 and 2 (west-east) have priority over roads 3 and 4.
+PRIORITIES = "SELECT * FROM (VALUES (1, 1, 3), (1, 1, 4), (1, 2, 3), (1, 2, 4)) AS v(junction, high, low)"
+REACH = 6.0
+KEY = ["episode", "agent_id", "frame_id"]
+
+
+class Net:
+    """The literal network as the operators' tables."""
+
+    def __init__(self, spark: SparkSession):
+        raw = spark.sql(LANES)
+        self.lanes = raw.select("lane", "road", "section", "junction", "jgroup")
+        self.segments = op.with_arc_length(raw.select("lane", F.lit(0).alias("seg"), "x0", "y0", "x1", "y1"))
+        self.links = spark.sql(LINKS)
+        self.priorities = spark.sql(PRIORITIES)
+        self.entries = op.junction_entries(self.lanes, self.links, self.segments, self.priorities)
+        self.flags = op.junction_flags(self.lanes, self.links)
+
+    def goals(self) -> DataFrame:
+        return op.reachable_goals(self.lanes, self.segments, self.links, self.entries)
+
+
+def _states(spark: SparkSession, sf: str) -> DataFrame:
+    return tracks.each_second(probes.states(spark, sf), probes.FPS).select(*KEY, "x", "y", "heading", "speed")
+
+
+def _located(spark: SparkSession, sf: str, net: Net) -> DataFrame:
+    return op.best_lane(op.lane_candidates(_states(spark, sf), net.segments, reach=REACH), KEY)
+
+
+S = f"s AS (SELECT episode, agent_id, frame_id, x, y, heading, speed FROM ({probes.STATES}) WHERE frame_id % {probes.FPS} = 0)"
+L = f"""l AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len, atan2(y1 - y0, x1 - x0) AS lh FROM ({LANES})), k AS ({LINKS}), pr AS ({PRIORITIES})"""
+CAND = f"""c0 AS (SELECT s.*, lane, len, lh, x0, y0, x1, y1, least(1.0, greatest(0.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (len * len))) AS t, heading - lh AS d FROM s, l),
+c1 AS (SELECT *, t * len AS lon, sqrt((x - x0 - t * (x1 - x0)) * (x - x0 - t * (x1 - x0)) + (y - y0 - t * (y1 - y0)) * (y - y0 - t * (y1 - y0))) AS dist, d - 2 * pi() * floor((d + pi()) / (2 * pi())) AS turn FROM c0),
+c AS (SELECT * FROM c1 WHERE dist <= {REACH} AND abs(turn) <= pi() / 4),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode, agent_id, frame_id ORDER BY round(dist, 9), round(abs(turn), 9), lane) AS rn FROM c) WHERE rn = 1)"""
+#: Static goals: paths as text, first arrivals only; lanes that end a search are stops.
+GOALS = """st AS (SELECT lane FROM l WHERE (junction IS NOT NULL AND jgroup IS NULL) OR lane IN ('x_1', 'x_2', 'x_3') OR lane NOT IN (SELECT src FROM k)),
+pa AS (WITH RECURSIVE p AS (SELECT lane AS start, lane, 0 AS depth, '/' || lane || '/' AS path, '' AS way FROM l UNION ALL
+  SELECT p.start, k.dst, p.depth + 1, p.path || k.dst || '/', p.way || k.ord FROM p JOIN k ON k.src = p.lane WHERE p.path NOT LIKE '%/' || k.dst || '/%' AND (p.depth = 0 OR p.lane NOT IN (SELECT lane FROM st))) SELECT * FROM p),
+fa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start, lane ORDER BY depth, way) AS rn FROM pa) WHERE rn = 1),
+ent AS (SELECT DISTINCT a.dst AS lane FROM k a JOIN l la ON la.lane = a.src JOIN l ja ON ja.lane = a.dst AND ja.junction IS NOT NULL JOIN k ao ON ao.src = a.dst JOIN k bo ON bo.dst = ao.dst AND bo.src <> ao.src JOIN k b ON b.dst = bo.src JOIN l lb ON lb.lane = b.src JOIN pr ON pr.junction = ja.junction AND pr.high = lb.road AND pr.low = la.road),
+g0 AS (SELECT fa.*, l.junction, l.x1 AS gx, l.y1 AS gy, coalesce((SELECT min(n.lh) FROM k JOIN l n ON n.lane = k.dst WHERE k.src = fa.lane), l.lh) AS eh, CASE WHEN depth > 0 THEN (SELECT pl.lh FROM l pl WHERE pl.lane = string_split(trim(path, '/'), '/')[-2]) ELSE l.lh END AS sh FROM fa JOIN st ON st.lane = fa.lane JOIN l ON l.lane = fa.lane),
+g1 AS (SELECT *, (eh - sh) - 2 * pi() * floor(((eh - sh) + pi()) / (2 * pi())) AS tn FROM g0),
+g AS (SELECT start, lane AS goal_lane, gx, gy, path, depth, CASE WHEN lane IN ('x_1', 'x_2', 'x_3') THEN 'exit-roundabout' WHEN junction IS NULL THEN 'straight-on'
+  WHEN tn > pi() / 8 AND tn < 7 * pi() / 8 THEN CASE WHEN lane IN (SELECT lane FROM ent) THEN 'enter-left' ELSE 'exit-left' END WHEN tn < -pi() / 8 AND tn > -7 * pi() / 8 THEN CASE WHEN lane IN (SELECT lane FROM ent) THEN 'enter-right' ELSE 'exit-right' END
+  WHEN abs(tn) <= pi() / 8 THEN CASE WHEN lane IN (SELECT lane FROM ent) THEN 'cross-road' ELSE 'straight-on' END ELSE 'u-turn' END AS goal_type FROM g1)"""
+
+
+@query(f"WITH {S}, {L}, {CAND} SELECT agent_id, frame_id, lane, round(lon, 9) AS lon, round(dist, 9) AS dist, round(turn, 9) AS turn FROM c")
+def lane_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """O-19, O-22, O-50: lanes near a state in its direction, by a grid-cell equi join."""
+    c = op.lane_candidates(_states(spark, sf), Net(spark).segments, reach=REACH)
+    return c.select("agent_id", "frame_id", "lane", r9("lon").alias("lon"), r9("dist").alias("dist"), r9("turn").alias("turn"))
+
+
+@query(f"WITH {S}, {L}, {CAND} SELECT agent_id, frame_id, lane, round(dist, 9) AS dist FROM b")
+def best_lanes(spark: SparkSession, sf: str) -> DataFrame:
+    """O-76."""
+    return _located(spark, sf, Net(spark)).select("agent_id", "frame_id", "lane", r9("dist").alias("dist"))
+
+
+@query(f"WITH {S}, {L}, {CAND}, {GOALS} SELECT agent_id, frame_id, b.lane, goal_lane, goal_type, CAST(depth AS INT) AS depth, round(atan2(gy - y, gx - x), 9) AS bearing FROM b JOIN g ON g.start = b.lane")
+def goals_per_state(spark: SparkSession, sf: str) -> DataFrame:
+    """O-27, O-28, O-53, O-57, O-58, O-59, O-60: typed goals reachable from each state's lane."""
+    net = Net(spark)
+    met = _located(spark, sf, net).join(F.broadcast(net.goals()), F.col("lane") == F.col("start"))
+    return met.select("agent_id", "frame_id", "lane", "goal_lane", "goal_type", "depth", r9(F.atan2(F.col("gy") - F.col("y"), F.col("gx") - F.col("x"))).alias("bearing"))
+
+
+_PATHLEN = "ps AS (SELECT g.start, g.goal_lane, sum(l.len) AS path_length, min(CASE WHEN l.junction IS NOT NULL THEN strpos(g.path, '/' || l.lane || '/') END) AS jp FROM g JOIN l ON g.path LIKE '%/' || l.lane || '/%' GROUP BY 1, 2)"
+
+
+@query(f"""WITH {S}, {L}, {CAND}, {GOALS}, {_PATHLEN}, r AS (SELECT b.*, g.goal_lane, g.goal_type, g.gx, g.gy, g.path, ps.path_length, ps.jp, atan2(gy - y, gx - x) AS be FROM b JOIN g ON g.start = b.lane JOIN ps ON ps.start = g.start AND ps.goal_lane = g.goal_lane)
+SELECT agent_id, frame_id, goal_lane, round(path_length - lon, 9) AS path_to_goal_length, round(turn, 9) AS angle_in_lane, true AS in_correct_lane, string_split(substr(path, CAST(jp AS INT) + 1), '/')[1] AS junction_lane,
+round((heading - be) - 2 * pi() * floor(((heading - be) + pi()) / (2 * pi())), 6) AS angle_to_goal FROM r""")
+def route_features(spark: SparkSession, sf: str) -> DataFrame:
+    """O-20, O-21, O-24, O-25, O-26."""
+    net = Net(spark)
+    goals = net.goals()
+    facts = op.path_facts(op.path_table(goals, net.lanes, net.segments))
+    met = _located(spark, sf, net).join(F.broadcast(goals.join(facts, ["start", "goal_lane"])), F.col("lane") == F.col("start"))
+    to_goal = F.round(angle_diff(F.atan2(F.col("gy") - F.col("y"), F.col("gx") - F.col("x")), F.col("heading")), 6)
+    return met.select("agent_id", "frame_id", "goal_lane", r9(F.col("path_length") - F.col("lon")).alias("path_to_goal_length"), r9("turn").alias("angle_in_lane"), "in_correct_lane", "junction_lane", to_goal.alias("angle_to_goal"))
+
+
+def in_front(located: DataFrame, table: DataFrame) -> DataFrame:
+    """Nearest vehicle ahead on each path: ``front_dist front_speed``, 100 and 20 where there is none."""
+    t = F.broadcast(table.select("start", "goal_lane", F.col("lane").alias("peer_lane"), "s_before"))
+    own = located.select(*KEY, F.col("lane").alias("start"), "lon")
+    peer = located.select("episode", "frame_id", F.col("agent_id").alias("peer_id"), F.col("lane").alias("peer_lane"), F.col("lon").alias("_lon"), F.col("speed").alias("_v"))
+    met = own.join(peer, ["episode", "frame_id"]).filter(F.col("agent_id") != F.col("peer_id")).join(t, ["start", "peer_lane"])
+    d = F.col("s_before") + F.col("_lon") - F.col("lon")
+    near = met.withColumn("_d", d).filter(F.col("_d") > 1e-4).groupBy(*KEY, "goal_lane").agg(F.min("_d").alias("front_dist"), F.min_by("_v", F.struct(F.round("_d", 9), "peer_id")).alias("front_speed"))
+    every = own.join(F.broadcast(table.select("start", "goal_lane").distinct()), "start")
+    return every.join(near, [*KEY, "goal_lane"], "left").select(*KEY, "start", "goal_lane", "lon", F.coalesce("front_dist", F.lit(100.0)).alias("front_dist"), F.coalesce("front_speed", F.lit(20.0)).alias("front_speed"))
+
+
+_SB = "sb AS (SELECT g.start, g.goal_lane, l.lane, coalesce((SELECT sum(q.len) FROM l q WHERE strpos(g.path, '/' || q.lane || '/') > 0 AND strpos(g.path, '/' || q.lane || '/') < strpos(g.path, '/' || l.lane || '/')), 0) AS s_before FROM g JOIN l ON g.path LIKE '%/' || l.lane || '/%')"
+
+
+@query(f"""WITH {S}, {L}, {CAND}, {GOALS}, {_SB}, m AS (SELECT a.episode, a.agent_id, a.frame_id, sb.goal_lane, p.speed, p.agent_id AS pid, sb.s_before + p.lon - a.lon AS dd FROM b a JOIN b p ON p.episode = a.episode AND p.frame_id = a.frame_id AND p.agent_id <> a.agent_id JOIN sb ON sb.start = a.lane AND sb.lane = p.lane WHERE sb.s_before + p.lon - a.lon > 1e-4),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode, agent_id, frame_id, goal_lane ORDER BY round(dd, 9), pid) AS rn FROM m) WHERE rn = 1)
+SELECT a.agent_id, a.frame_id, g.goal_lane, round(coalesce(n.dd, 100), 9) AS front_dist, round(coalesce(n.speed, 20), 9) AS front_speed FROM b a JOIN g ON g.start = a.lane LEFT JOIN n ON n.episode = a.episode AND n.agent_id = a.agent_id AND n.frame_id = a.frame_id AND n.goal_lane = g.goal_lane""")
+def vehicles_in_front(spark: SparkSession, sf: str) -> DataFrame:
+    """O-48, O-49, O-77."""
+    net = Net(spark)
+    f = in_front(_located(spark, sf, net), op.path_table(net.goals(), net.lanes, net.segments))
+    return f.select("agent_id", "frame_id", "goal_lane", r9("front_dist").alias("front_dist"), r9("front_speed").alias("front_speed"))
+
+
+def crossings(net: Net) -> DataFrame:
+    """Where two straight junction lanes cross: ``lane other area cross_s cross_s_other``; area is that of 3 m wide lanes, 9 over the sine of their angle."""
+    seg = net.segments.join(net.lanes.filter(F.col("junction") == 1).select("lane"), "lane")
+    o = seg.select(*[F.col(c).alias(f"_{c}") for c in ("lane", "x0", "y0", "x1", "y1", "len")])
+    dx, dy, ex, ey = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
+    det = dx * ey - dy * ex
+    met = seg.join(F.broadcast(o), F.col("lane") != F.col("_lane")).withColumn("_det", F.nullif(F.round(det, 9), F.lit(0.0))).filter(F.col("_det").isNotNull())
+    t = ((F.col("_x0") - F.col("x0")) * ey - (F.col("_y0") - F.col("y0")) * ex) / F.col("_det")
+    u = ((F.col("_x0") - F.col("x0")) * dy - (F.col("_y0") - F.col("y0")) * dx) / F.col("_det")
+    met = met.withColumn("_t", t).withColumn("_u", u).filter(F.col("_t").between(0, 1) & F.col("_u").between(0, 1))
+    return met.select("lane", F.col("_lane").alias("other"), (9 * F.col("len") * F.col("_len") / F.abs("_det")).alias("area"), (F.col("_t") * F.col("len")).alias("cross_s"), (F.col("_u") * F.col("_len")).alias("cross_s_other"))
+
+
+def oncoming(located: DataFrame, net: Net, goals: DataFrame) -> DataFrame:
+    """Nearest vehicle upstream of a crossing with a lane we do not have priority over: ``oncoming_dist oncoming_speed``, 100 and 20 where there is none within 100."""
+    conflicts = op.conflict_lanes(net.lanes, net.links, crossings(net), net.priorities)
+    up = op.upstream(net.links, net.segments, net.lanes)
+    paths = goals.select("start", "goal_lane", F.explode("path").alias("lane")).join(conflicts, "lane").join(up.withColumnRenamed("lane", "other"), "other")
+    watch = F.broadcast(paths.select("start", "goal_lane", F.col("up").alias("peer_lane"), (F.col("gap") + F.col("cross_s_other")).alias("_c")))
+    own = located.select(*KEY, F.col("lane").alias("start"))
+    peer = located.select("episode", "frame_id", F.col("agent_id").alias("peer_id"), F.col("lane").alias("peer_lane"), F.col("lon").alias("_lon"), F.col("speed").alias("_v"))
+    met = own.join(peer, ["episode", "frame_id"]).filter(F.col("agent_id") != F.col("peer_id")).join(watch, ["start", "peer_lane"]).withColumn("_d", F.col("_c") - F.col("_lon"))
+    near = met.filter((F.col("_d") > 0) & (F.col("_d") < 100)).groupBy(*KEY, "goal_lane").agg(F.min("_d").alias("d"), F.min_by("_v", F.struct(F.round("_d", 9), "peer_id")).alias("v"))
+    every = own.join(F.broadcast(goals.select("start", "goal_lane")), "start")
+    return every.join(near, [*KEY, "goal_lane"], "left").select(*KEY, "goal_lane", F.coalesce("d", F.lit(100.0)).alias("oncoming_dist"), F.coalesce("v", F.lit(20.0)).alias("oncoming_speed"))
+
+
+@query()
+def oncoming_vehicles(spark: SparkSession, sf: str) -> DataFrame:
+    """O-51, O-52, O-56, O-78; the nearest oncoming vehicle wins."""
+    net = Net(spark)
+    return oncoming(_located(spark, sf, net), net, net.goals()).drop("episode")
+
+
+@query(f"""WITH {S}, {L}, {CAND}, {GOALS}, e AS (SELECT start, goal_lane, CASE WHEN goal_type = 'exit-roundabout' AND path LIKE '%/r_in/%' THEN row_number() OVER (PARTITION BY start ORDER BY CASE WHEN goal_type = 'exit-roundabout' AND path LIKE '%/r_in/%' THEN 0 ELSE 1 END, len(string_split(path, '/')), goal_lane) ELSE 0 END AS exit_number FROM g)
+SELECT agent_id, frame_id, goal_lane, exit_number, exit_number = 0 AS exit_number_missing FROM b JOIN e ON e.start = b.lane""")
+def exit_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """O-84."""
+    net = Net(spark)
+    nums = op.exit_numbers(net.goals(), net.flags, net.lanes)
+    return _located(spark, sf, net).join(F.broadcast(nums), F.col("lane") == F.col("start")).select("agent_id", "frame_id", "goal_lane", "exit_number", (F.col("exit_number") == 0).alias("exit_number_missing"))
+
+
+@query(f"""WITH {S}, {L}, {CAND}, {GOALS}, cf AS (SELECT * FROM (VALUES (0, 55.0, 48.0), (1, 52.0, 55.0), (2, 45.0, 52.0), (3, 48.0, 45.0), (4, 500.0, 500.0)) AS v(goal_idx, cx, cy)),
+m AS (SELECT b.agent_id, b.frame_id, cf.goal_idx, g.goal_lane, g.goal_type, row_number() OVER (PARTITION BY b.agent_id, b.frame_id, cf.goal_idx ORDER BY g.depth, g.goal_lane) AS rn FROM b JOIN g ON g.start = b.lane JOIN cf ON sqrt((gx - cx) * (gx - cx) + (gy - cy) * (gy - cy)) <= 3.5)
+SELECT b.agent_id, b.frame_id, cf.goal_idx, m.goal_lane, m.goal_type FROM b CROSS JOIN cf LEFT JOIN m ON m.agent_id = b.agent_id AND m.frame_id = b.frame_id AND m.goal_idx = cf.goal_idx AND m.rn = 1""")
+def typed_goal_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """O-55: the first generated goal within 3.5 of each configured goal, null if none."""
+    net = Net(spark)
+    conf = spark.sql("SELECT * FROM (VALUES (0, 55.0, 48.0), (1, 52.0, 55.0), (2, 45.0, 52.0), (3, 48.0, 45.0), (4, 500.0, 500.0)) AS v(goal_idx, cx, cy)")
+    near = net.goals().join(F.broadcast(conf), F.hypot(F.col("gx") - F.col("cx"), F.col("gy") - F.col("cy")) <= 3.5)
+    w = Window.partitionBy("start", "goal_idx").orderBy("depth", "goal_lane")
+    first = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).select(F.col("start").alias("lane"), "goal_idx", "goal_lane", "goal_type")
+    grid = _located(spark, sf, net).select("agent_id", "frame_id", "lane").crossJoin(F.broadcast(conf.select("goal_idx")))  # five configured goals
+    return grid.join(F.broadcast(first), ["lane", "goal_idx"], "left").select("agent_id", "frame_id", "goal_idx", "goal_lane", "goal_type")
