@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwise.llm import ctw, fingerprint, htmltext, jaccard, langid, packing, quality, tokencount, warc
+from trackwise.llm import ctw, fingerprint, htmltext, jaccard, langid, packing, piecelattice, quality, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op6_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecelattice.encode(_table(spark, sf_dir, "documents"), whole=False)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_table(spark, sf_dir, "documents"))
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_warc_fixity": op4_warc_fixity,
     "op5_html_extraction": op5_html_extraction,
+    "op6_sentencepiece_lattice": op6_sentencepiece_lattice,
     "op7_packing": op7_packing,
     "op8_fingerprints": op8_fingerprints,
     "op9_ctw_scoring": op9_ctw_scoring,
