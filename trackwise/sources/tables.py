@@ -116,10 +116,11 @@ def exploded_rings(store: DataFrame, col: str) -> DataFrame:
 
 
 def rings_to_json(rows: DataFrame) -> DataFrame:
-    """One JSON text per frame, ``{ego: [[[x...],[y...]], ...]}``, from flat rows."""
+    """One JSON text per frame, ``{frame: {ego: [[[x...],[y...]], ...]}}``, from flat rows."""
     ring = F.array(F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"]))
     egos = rows.groupBy("frame_id", "ego_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring_id", ring.alias("r")))), lambda z: z["r"]).alias("rings"))
-    return egos.groupBy("frame_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("ego_id").cast("string").alias("k"), "rings"))))).alias("json"))
+    frames = egos.groupBy("frame_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("ego_id").cast("string").alias("k"), "rings")))).alias("egos"))
+    return frames.select("frame_id", F.to_json(F.create_map(F.col("frame_id").cast("string"), "egos")).alias("json"))
 
 
 def write_samples(samples: DataFrame, path: str) -> None:

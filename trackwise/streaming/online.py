@@ -92,7 +92,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def replay_windows(spark: SparkSession, path: str) -> DataFrame:
-    """The event table as a stream: repeats dropped, hourly windows by agent, in complete mode so that the last windows are emitted too."""
+    """The event table as a stream (``path`` is a pattern, so that one file or a folder of files will do): repeats dropped, hourly windows by agent, in complete mode so that the last windows are emitted too."""
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     clean = deduplicated(events, ["event_id"])
