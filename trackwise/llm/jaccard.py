@@ -4,16 +4,18 @@ A document is the set of its five-word shingles, by 64-bit hash. Two sets link w
 100 * common >= 80 * union. The work is cut so that no step forms all pairs of a group:
 
 1. Documents with the same set are one class; only classes are compared.
-2. A set of n shingles can only link to a set that shares one of its first n // 5 + 1
-   shingles in any fixed order of all shingles. The order puts shingles that are
+2. Two sets that link share SHARED of their first n // 5 + SHARED shingles (fewer for
+   small sets) in any fixed order of all shingles. The order puts shingles that are
    frequent in a bounded sample last (this decides cost only, never the result), so
    shared passages seldom stand among the first. Shingles held by one class are dropped.
 3. In every (shingle, size band) the class with the least hash leads; every other class
-   is compared with its leader, by bitmaps, then exactly. This joins groups of near copies at linear cost.
+   is compared with its leader, by bitmaps, then exactly. The class with the greatest
+   hash then leads those of other components. This joins groups of near copies at linear cost.
 4. What is left are classes that share a first shingle but no component. They meet in
    size-banded tiles: classes of one band and the next, in blocks of at most
-   ``block`` classes a side. In a tile, sizes, components and then bit counts of hashed
-   bitmaps bound the overlap from above; pairs that pass are compared exactly.
+   ``block`` classes a side. Pairs of fitting sizes that meet over SHARED first shingles
+   are kept; bit counts of hashed bitmaps then bound the overlap from above, and pairs
+   that pass are compared exactly.
 
 The exact comparison intersects sorted shingle arrays, which are made again from the
 texts of those classes only.
@@ -38,9 +40,12 @@ from trackwise.llm.graph import components
 from trackwise.llm.text import cut_lineage
 
 WORDS = 5
-BITMAP = 2048
+SHARED = 16
+BITMAP, MAX_BITMAP = 2048, 1 << 17
 FILTER_BITS = 1 << 26
-SAMPLE_DOCS, SAMPLE_SHARE, MAX_HOT = 4096, 512, 1 << 18
+SAMPLE_DOCS, SAMPLE_SHARE, MAX_HOT = 32768, 4096, 1 << 18
+#: First shingles are the least hashes of a set, so frequent ones are looked for among the low hashes only.
+LOW_HASH = np.uint64(3 << 60 | 1 << 59)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,14 +78,23 @@ def set_hash(u: np.ndarray) -> int:
 
 
 def bitmap(u: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP, np.uint8)
-    bits[(u % np.uint64(BITMAP)).astype(np.int64)] = 1
+    """Hashed bits of a set: a power of two of them, twice the set's size or more, within fixed limits."""
+    width = BITMAP
+    while width < 2 * len(u) and width < MAX_BITMAP:
+        width *= 2
+    bits = np.zeros(width, np.uint8)
+    bits[(u % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def shared_least(n):
+    """How many of their first shingles two sets that link share at least, for the smaller of their values."""
+    return np.minimum(SHARED, n - n // 5)
+
+
 def in_order(u: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """The shingles that stand first: not hot before hot, by hash."""
-    n = len(u) // 5 + 1
+    n = len(u) // 5 + shared_least(len(u))
     if len(hot):
         at = np.minimum(np.searchsorted(hot, u), len(hot) - 1)
         is_hot = hot[at] == u
@@ -93,14 +107,14 @@ def links(common: Column, a: Column, b: Column) -> Column:
 
 
 def _hot(rows: DataFrame, n_docs: int) -> np.ndarray:
-    """Shingles that a 1 / SAMPLE_SHARE share of about SAMPLE_DOCS documents hold, at most MAX_HOT."""
+    """Shingles of low hash that a 1 / SAMPLE_SHARE share of about SAMPLE_DOCS documents hold, at most MAX_HOT."""
     share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
     some = rows.filter(F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, part in chunks(list(pdf["_text"])):
-                key, n = np.unique(np.concatenate(list(shingles(part))), return_counts=True)
+                key, n = np.unique(np.concatenate([u[: np.searchsorted(u, LOW_HASH)] for u in shingles(part)]), return_counts=True)
                 yield pd.DataFrame({"key": key.view(np.int64), "n": n})
 
     least = max(8, SAMPLE_DOCS // SAMPLE_SHARE)
@@ -185,9 +199,24 @@ def _compared(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def may_link(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether sizes and bitmaps leave a link possible: a bit that only one set has stands for an element the other lacks."""
-    most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-    return 100 * most >= 80 * (n + m - most)
+    """Whether sizes and bitmaps (arrays of bytes) leave a link possible: a bit that only one set has stands for an element the other lacks.
+
+    The wider of two bitmaps is folded onto the narrower.
+    """
+    out = np.zeros(len(n), bool)
+    if not len(n):
+        return out
+    wide = np.stack([np.fromiter(map(len, z), np.int64, len(z)) for z in (x, y)], 1)
+    for wx, wy in np.unique(wide, axis=0):
+        at = np.flatnonzero((wide[:, 0] == wx) & (wide[:, 1] == wy))
+        w = min(wx, wy) // 8
+        step = max(1, 4_000_000 // w)
+        for k in range(0, len(at), step):
+            i = at[k : k + step]
+            p, q = (np.bitwise_or.reduce(np.frombuffer(b"".join(z[i]), np.uint64).reshape(len(i), -1, w), 1) for z in (x, y))
+            most = np.minimum(n[i] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), m[i] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
+            out[i] = 100 * most >= 80 * (n[i] + m[i] - most)
+    return out
 
 
 def _bounded(pairs: DataFrame, signs: DataFrame) -> DataFrame:
@@ -197,32 +226,22 @@ def _bounded(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(len(pdf), -1) for c in ("ya", "yb"))
+                x, y = (pdf[c].to_numpy(object) for c in ("ya", "yb"))
                 yield pdf.loc[may_link(pdf["na"].to_numpy(np.int64), x, pdf["nb"].to_numpy(np.int64), y), ["a", "b"]]
 
     return met.mapInPandas(check, "a long, b long")
 
 
 def _tile_pairs(tiles: DataFrame) -> DataFrame:
-    """Pairs of classes of different components whose sizes and bitmaps allow a link, from rows of tiles."""
-
-    def check(n: np.ndarray, comp: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ok = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (comp[i] != comp[j])
-        i, j = i[ok], j[ok]
-        out = np.zeros(len(i), bool)
-        for at in range(0, len(i), 20_000):
-            a, b = i[at : at + 20_000], j[at : at + 20_000]
-            out[at : at + 20_000] = may_link(n[a], bits[a], n[b], bits[b])
-        return i[out], j[out]
+    """Pairs of classes of different components and fitting sizes that meet often enough, from rows of tiles."""
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         """All tiles of a frame sorted by tile; tiles of the same size are worked on together."""
         n, comp, cls, side = (pdf[c].to_numpy(np.int64) for c in ("n", "comp", "cls", "side"))
-        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
         tile = pdf["tile"].to_numpy(np.int64)
         start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
         size = np.diff(np.append(start, len(tile)))
-        got = []
+        got = [np.zeros((0, 3), np.int64)]
         for m in np.unique(size[size > 1]):
             up, right = np.triu_indices(m, 1)
             first = start[size == m]
@@ -230,11 +249,11 @@ def _tile_pairs(tiles: DataFrame) -> DataFrame:
             for at in range(0, len(first), step):
                 f = first[at : at + step, None]
                 i, j = (f + up).ravel(), (f + right).ravel()
-                use = (side[i] != side[j]) | (side[i] == 2)
-                i, j = check(n, comp, bits, i[use], j[use])
-                got.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1))
-        pairs = np.unique(np.concatenate(got), axis=0) if got else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+                use = ((side[i] != side[j]) | (side[i] == 2)) & (comp[i] != comp[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+                i, j = i[use], j[use]
+                got.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.minimum(shared_least(n[i]), shared_least(n[j]))], 1))
+        pairs, times = np.unique(np.concatenate(got), axis=0, return_counts=True)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "least": pairs[:, 2], "times": times})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -248,7 +267,8 @@ def _tile_pairs(tiles: DataFrame) -> DataFrame:
         if held is not None and len(held):
             yield whole(held)
 
-    return tiles.repartition("tile").sortWithinPartitions("tile").mapInPandas(run, "a long, b long").distinct()
+    met = tiles.repartition("tile").sortWithinPartitions("tile").mapInPandas(run, "a long, b long, least long, times long")
+    return met.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("times").alias("times")).filter(F.col("times") >= F.col("least")).select("a", "b")
 
 
 def _tiles(rest: DataFrame) -> DataFrame:
@@ -296,12 +316,22 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bloc
     found = cut_lineage(_compared(cut_lineage(_bounded(stars, signs)), rows, reps))
     comp = components(found)
 
-    tagged = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    tagged = cut_lineage(tagged.select("key", "cls", "n", "band", "comp"))
+    def tag(comp: DataFrame) -> DataFrame:
+        out = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        return cut_lineage(out.select("key", "cls", "n", "band", "comp"))
+
+    # a second leader, for copies too far from the first
+    tagged = tag(comp)
+    lead = tagged.groupBy("key", "band").agg(F.max(F.struct("cls", "comp")).alias("l"))
+    again = tagged.join(lead, ["key", "band"]).filter(F.col("l.comp") != F.col("comp")).select(F.col("l.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    second = cut_lineage(_compared(cut_lineage(_bounded(again, signs)), rows, reps))
+    if second.limit(1).count():
+        found = found.union(second)
+        comp = components(found)
+        tagged = tag(comp)
     mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter(F.col("lo") != F.col("hi"))
     rest = tagged.join(mixed.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "key")
-    tiles = _tiles(rest).join(signs.select("cls", "bits"), "cls")
-    near = cut_lineage(_tile_pairs(tiles))
+    near = cut_lineage(_bounded(_tile_pairs(_tiles(rest)), signs))
     more = _compared(near, rows, reps)
     every = found.union(more)
     if near.limit(1).count():
