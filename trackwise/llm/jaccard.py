@@ -300,9 +300,11 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bloc
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     sc = docs.sparkSession.sparkContext
     hot = _hot(rows, rows.count())
-    sets = cut_lineage(_sets(rows, hot))
-    some = sets.filter((F.col("n") > 0) & F.col("_id").isNotNull())
-    reps = some.groupBy("cls").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"))
+    # shingles and bitmaps are made anew from the texts where they are used: that costs less than storing them
+    made = _sets(rows, hot)
+    some = made.filter((F.col("n") > 0) & F.col("_id").isNotNull())
+    sets = cut_lineage(made.select("_id", "n", "cls"))
+    reps = sets.filter((F.col("n") > 0) & F.col("_id").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"))
     by_key = some.select(F.explode("first").alias("key"), "cls").repartition("key").groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
     keys = cut_lineage(by_key.filter(F.col("lo") != F.col("hi")).select("key"))
     bits = sc.broadcast(_key_filter(keys, "key"))
