@@ -8,17 +8,18 @@ A document is the set of its five-word shingles, by 64-bit hash. Two sets link w
    small sets) in any fixed order of all shingles. The order puts shingles that are
    frequent in a bounded sample last (this decides cost only, never the result), so
    shared passages seldom stand among the first. Shingles held by one class are dropped.
-3. In every (shingle, size band) the class with the least hash leads; every other class
-   is compared with its leader, by bitmaps, then exactly. The class with the greatest
-   hash then leads those of other components. This joins groups of near copies at linear cost.
+3. In every (shingle, size band) the class leads that shares the largest part of its first
+   shingles, as the source of a group of copies does. Every other class is compared with
+   the one leader it meets most often, which joins groups of near copies at linear cost; in a
+   second round any class leads, for those of other components.
 4. What is left are classes that share a first shingle but no component. They meet in
    size-banded tiles: classes of one band and the next, in blocks of at most
    ``block`` classes a side. Pairs of fitting sizes that meet over SHARED first shingles
    are kept; bit counts of hashed bitmaps then bound the overlap from above, and pairs
    that pass are compared exactly.
 
-The exact comparison intersects sorted shingle arrays, which are made again from the
-texts of those classes only.
+The exact comparison intersects sorted shingle arrays. Texts are shorter than their arrays, so
+the texts of the compared classes travel, once for each group of FAN comparisons with a leader.
 
 Defined results: texts that are null or without words have the empty set, which links
 with nothing; documents with fewer words than a shingle have their whole word sequence
@@ -37,10 +38,11 @@ from pyspark.sql import functions as F
 
 from trackwise.llm.bytewords import Words, chunks, mix
 from trackwise.llm.graph import components
-from trackwise.llm.text import cut_lineage
+from trackwise.llm.text import written
 
 WORDS = 5
 SHARED = 16
+FAN = 256
 BITMAP, MAX_BITMAP = 2048, 1 << 17
 FILTER_BITS = 1 << 26
 SAMPLE_DOCS, SAMPLE_SHARE, MAX_HOT = 32768, 4096, 1 << 18
@@ -122,19 +124,87 @@ def _hot(rows: DataFrame, n_docs: int) -> np.ndarray:
     return np.sort(found.orderBy(F.desc("n"), "key").limit(MAX_HOT).toPandas()["key"].to_numpy(np.int64).view(np.uint64))
 
 
-def _sets(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``_id n cls first bits`` per row."""
-    shared = rows.sparkSession.sparkContext.broadcast(hot)
+def _sets(rows: DataFrame) -> DataFrame:
+    """``_id n cls`` per row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at, part in chunks(list(pdf["_text"])):
-                out = [(len(u), set_hash(u), in_order(u, shared.value).view(np.int64), bitmap(u)) if len(u) else (0, 0, None, None) for u in shingles(part)]
-                frame = pd.DataFrame(out, columns=["n", "cls", "first", "bits"])
+                out = [(len(u), set_hash(u)) if len(u) else (0, 0) for u in shingles(part)]
+                frame = pd.DataFrame(out, columns=["n", "cls"])
                 frame.insert(0, "_id", pdf["_id"].iloc[at : at + len(part)].array)
                 yield frame
 
-    return rows.mapInPandas(run, "_id long, n long, cls long, first array<long>, bits binary")
+    return rows.mapInPandas(run, "_id long, n long, cls long")
+
+
+def _first(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """``key cls``: the first shingles of each class, once a task however many copies it reads."""
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for pdf in batches:
+            for _, part in chunks(list(pdf["_text"])):
+                keys, own = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for u in shingles(part):
+                    if len(u) and (c := set_hash(u)) not in seen:
+                        seen.add(c)
+                        keys.append(in_order(u, shared.value).view(np.int64))
+                        own.append(np.full(len(keys[-1]), c))
+                key, cls = np.concatenate(keys), np.concatenate(own)
+                for at in range(0, len(key), 200_000):
+                    yield pd.DataFrame({"key": key[at : at + 200_000], "cls": cls[at : at + 200_000]})
+
+    return rows.filter(F.col("_id").isNotNull()).select("_text").mapInPandas(run, "key long, cls long")
+
+
+def _members(first: DataFrame) -> DataFrame:
+    """The distinct rows of keys that several classes hold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, cls, told = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for pdf in batches:
+            # the last row of the batch before stands in front, as it may be of the same key
+            key, cls = np.concatenate([key, pdf["key"].to_numpy(np.int64)]), np.concatenate([cls, pdf["cls"].to_numpy(np.int64)])
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
+            key, cls = key[new], cls[new]
+            same = key[1:] == key[:-1]
+            held = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            last_told = bool(held[-1]) or (told and len(key) == 1)
+            if told:
+                held[0] = False
+            yield pd.DataFrame({"key": key[held], "cls": cls[held]})
+            key, cls, told = key[-1:], cls[-1:], last_told
+
+    return first.repartition("key").sortWithinPartitions("key", "cls").mapInPandas(run, "key long, cls long")
+
+
+def _led(tagged: DataFrame, order: Column) -> DataFrame:
+    """``a b``: for each class ``b`` the leader of another component it meets over the most keys, from ``key cls n comp``.
+
+    The class least in ``order`` leads a key and size band.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lead = None
+        for pdf in batches:
+            key, band, cls, comp = (pdf[c].to_numpy(np.int64) for c in ("key", "band", "cls", "comp"))
+            if lead is not None:
+                key, band, cls, comp = (np.concatenate([[x], y]) for x, y in zip(lead, (key, band, cls, comp), strict=True))
+            if not len(key):
+                continue
+            start = np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])])
+            at = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
+            use = comp != comp[at]
+            pairs, times = np.unique(np.stack([cls[at][use], cls[use]], 1), axis=0, return_counts=True)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "times": times})
+            lead = tuple(int(x[at[-1]]) for x in (key, band, cls, comp))
+
+    rows = tagged.select("key", _band(F.col("n")).alias("band"), "cls", "comp", order.alias("_order"))
+    met = rows.repartition("key").sortWithinPartitions("key", "band", "_order", "cls").select("key", "band", "cls", "comp").mapInPandas(run, "a long, b long, times long")
+    counted = met.groupBy("b", "a").agg(F.sum("times").alias("times"))
+    return counted.groupBy("b").agg(F.max(F.struct("times", "a"))["a"].alias("a")).select("a", "b")
 
 
 def _slot(col: Column) -> Column:
@@ -168,34 +238,57 @@ def _may_be_in(col: Column, shared) -> Column:
     return ask(_slot(col))
 
 
-def _compared(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of the class pairs ``a, b`` those that link, by exact intersection of their sorted arrays."""
-    sc = rows.sparkSession.sparkContext
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    whose = cut_lineage(reps.join(wanted, "cls", "left_semi").select("cls", F.col("rep").alias("_id")))
-    bits = sc.broadcast(_key_filter(whose, "_id"))
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` (``_id`` and others) with the texts of their ids; rows not wanted are left out before the shuffle."""
+    bits = rows.sparkSession.sparkContext.broadcast(_key_filter(wanted, "_id"))
+    return rows.filter(F.col("_id").isNotNull() & _may_be_in(F.col("_id"), bits)).join(wanted, "_id")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, part in chunks(list(pdf["_text"])):
-                us = [u for u in shingles(part) if len(u)]
-                yield pd.DataFrame({"cls": [set_hash(u) for u in us], "u": [u.tobytes() for u in us]})
 
-    texts = rows.filter(F.col("_id").isNotNull() & _may_be_in(F.col("_id"), bits)).join(whose.select("_id"), "_id", "left_semi")
-    arrays = cut_lineage(texts.select("_text").mapInPandas(run, "cls long, u binary").dropDuplicates(["cls"]))
-    met = pairs.join(arrays.withColumnsRenamed({"cls": "b", "u": "ub"}), "b").join(arrays.withColumnsRenamed({"cls": "a", "u": "ua"}), "a")
+def _compared(pairs: DataFrame, rows: DataFrame, info: DataFrame) -> DataFrame:
+    """Of the class pairs ``a, b`` those that link, by exact intersection of their sorted arrays.
+
+    Pairs of one ``a`` are dealt to groups of about FAN; the text of ``a`` comes first in each.
+    """
+    fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fans"))
+    dealt = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(5)), F.col("fans")).alias("fan"))
+    roles = dealt.select("a", "fan", F.col("b").alias("cls"), F.lit(1).alias("role")).union(dealt.select("a", "fan", F.col("a").alias("cls"), F.lit(0).alias("role")).distinct())
+    wanted = written(roles.join(info.select("cls", F.col("rep").alias("_id")), "cls").select("_id", "cls", "a", "fan", "role"))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lead, whose = None, None
+        for pdf in batches:
+            for at, part in chunks(list(pdf["_text"]), 4_000_000):
+                rest = pdf.iloc[at : at + len(part)]
+                out = []
+                for u, a, fan, cls, role in zip(shingles(part), rest["a"], rest["fan"], rest["cls"], rest["role"], strict=True):
+                    if not len(u) or set_hash(u) != cls:  # another text of a repeated id
+                        continue
+                    if role == 0:
+                        lead, whose = u, (a, fan)
+                    elif whose == (a, fan):
+                        both = np.sort(np.concatenate([lead, u]), kind="stable")
+                        common = int((both[1:] == both[:-1]).sum())
+                        if 100 * common >= 80 * (len(lead) + len(u) - common):
+                            out.append((a, cls))
+                yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    met = _texts(rows, wanted).repartition("a", "fan").sortWithinPartitions("a", "fan", "role")
+    return met.mapInPandas(meet, "a long, b long").distinct()
+
+
+def _signs(pairs: DataFrame, rows: DataFrame, info: DataFrame) -> DataFrame:
+    """``cls n bits`` of the classes of the pairs."""
+    held = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    wanted = written(held.join(info, "cls").select("cls", F.col("rep").alias("_id")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["ua"], pdf["ub"], strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([u, v]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= 80 * (len(u) + len(v) - common))
-            yield pdf.loc[keep, ["a", "b"]]
+            for at, part in chunks(list(pdf["_text"])):
+                cls = pdf["cls"].iloc[at : at + len(part)]
+                out = [(c, len(u), bitmap(u)) for u, c in zip(shingles(part), cls, strict=True) if len(u) and set_hash(u) == c]
+                yield pd.DataFrame(out, columns=["cls", "n", "bits"])
 
-    return met.mapInPandas(meet, "a long, b long")
+    return written(_texts(rows, wanted).mapInPandas(run, "cls long, n long, bits binary").dropDuplicates(["cls"]))
 
 
 def may_link(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -298,51 +391,34 @@ def _band(n: Column) -> Column:
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block: int = 512) -> DataFrame:
     """Per row of ``docs``: ``doc_id n_shingles component_id``."""
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    sc = docs.sparkSession.sparkContext
-    hot = _hot(rows, rows.count())
-    # shingles and bitmaps are made anew from the texts where they are used: that costs less than storing them
-    made = _sets(rows, hot)
-    some = made.filter((F.col("n") > 0) & F.col("_id").isNotNull())
-    sets = cut_lineage(made.select("_id", "n", "cls"))
-    reps = sets.filter((F.col("n") > 0) & F.col("_id").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"))
-    by_key = some.select(F.explode("first").alias("key"), "cls").repartition("key").groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-    keys = cut_lineage(by_key.filter(F.col("lo") != F.col("hi")).select("key"))
-    bits = sc.broadcast(_key_filter(keys, "key"))
-    met = some.select("cls", "n", F.explode("first").alias("key")).filter(_may_be_in(F.col("key"), bits))
-    members = cut_lineage(met.groupBy("key", "cls").agg(F.max("n").alias("n")).join(keys, "key", "left_semi").withColumn("band", _band(F.col("n"))))
-
-    lead = members.groupBy("key", "band").agg(F.min("cls").alias("a"))
-    stars = members.join(lead, ["key", "band"]).filter(F.col("a") != F.col("cls")).select("a", F.col("cls").alias("b")).distinct()
-    held = members.select("cls").distinct()
-    signs = cut_lineage(some.join(held, "cls", "left_semi").groupBy("cls").agg(F.max("n").alias("n"), F.max("bits").alias("bits")))
-    found = cut_lineage(_compared(cut_lineage(_bounded(stars, signs)), rows, reps))
+    sets = written(_sets(rows))
+    hot = _hot(rows, sets.count())
+    reps = sets.filter((F.col("n") > 0) & F.col("_id").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    members = written(_members(_first(rows, hot)))
+    firsts = (F.floor(F.col("n") / 5) + F.least(F.lit(SHARED), F.col("n") - F.floor(F.col("n") / 5))).cast("double")
+    held = members.groupBy("cls").agg(F.count("*").alias("k"))
+    info = written(held.join(reps, "cls").select("cls", "n", "rep", (F.col("k") / firsts).alias("part")))
+
+    def tag(comp: DataFrame | None) -> DataFrame:
+        known = info.withColumn("comp", F.col("cls")) if comp is None else info.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        return members.join(known.select("cls", "n", "part", "comp"), "cls")
+
+    found = written(_compared(written(_led(tag(None), -F.col("part"))), rows, info))
     comp = components(found)
-
-    def tag(comp: DataFrame) -> DataFrame:
-        out = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        return cut_lineage(out.select("key", "cls", "n", "band", "comp"))
-
-    # a second leader, for copies too far from the first
-    tagged = tag(comp)
-    lead = tagged.groupBy("key", "band").agg(F.max(F.struct("cls", "comp")).alias("l"))
-    again = tagged.join(lead, ["key", "band"]).filter(F.col("l.comp") != F.col("comp")).select(F.col("l.cls").alias("a"), F.col("cls").alias("b")).distinct()
-    second = cut_lineage(_compared(cut_lineage(_bounded(again, signs)), rows, reps))
-    if second.limit(1).count():
-        found = found.union(second)
-        comp = components(found)
-        tagged = tag(comp)
+    second = written(_compared(written(_led(tag(comp), F.xxhash64("cls", F.lit(11)))), rows, info))
+    found = found.union(second)
+    comp = components(found)
+    tagged = written(tag(comp).withColumn("band", _band(F.col("n"))).select("key", "cls", "n", "band", "comp"))
     mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter(F.col("lo") != F.col("hi"))
     rest = tagged.join(mixed.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "key")
-    near = cut_lineage(_bounded(_tile_pairs(_tiles(rest)), signs))
-    more = _compared(near, rows, reps)
-    every = found.union(more)
-    if near.limit(1).count():
-        comp = components(every)
+    met = written(_tile_pairs(_tiles(rest)))
+    near = written(_bounded(met, _signs(met, rows, info)))
+    comp = components(found.union(written(_compared(near, rows, info))))
     linked = comp.withColumnRenamed("node", "cls")
     named = reps.join(linked, "cls", "left").filter((F.col("copies") > 1) | F.col("comp").isNotNull()).withColumn("comp", F.coalesce("comp", "cls"))
-    named = cut_lineage(named.select("cls", "rep", "comp"))
+    named = written(named.select("cls", "rep", "comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = cut_lineage(named.join(least, "comp").select("cls", "component_id"))
+    of_class = written(named.join(least, "comp").select("cls", "component_id"))
     out = sets.select("_id", "n", "cls").join(of_class, "cls", "left")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("_id").isNotNull(), F.col("component_id")), F.col("_id")).alias("component_id"))
 
