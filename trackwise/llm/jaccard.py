@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackwise.llm.bytewords import Words, chunks, mix
@@ -46,8 +46,6 @@ FAN = 256
 BITMAP, MAX_BITMAP = 2048, 1 << 17
 FILTER_BITS = 1 << 26
 SAMPLE_DOCS, SAMPLE_SHARE, MAX_HOT = 32768, 4096, 1 << 18
-#: First shingles are the least hashes of a set, so frequent ones are looked for among the low hashes only.
-LOW_HASH = np.uint64(3 << 60 | 1 << 59)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,14 +107,17 @@ def links(common: Column, a: Column, b: Column) -> Column:
 
 
 def _hot(rows: DataFrame, n_docs: int) -> np.ndarray:
-    """Shingles of low hash that a 1 / SAMPLE_SHARE share of about SAMPLE_DOCS documents hold, at most MAX_HOT."""
+    """Shingles that a 1 / SAMPLE_SHARE share of about SAMPLE_DOCS documents hold, at most MAX_HOT.
+
+    A document counts the shingles that may stand among its first: twice as many as do.
+    """
     share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
     some = rows.filter(F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, part in chunks(list(pdf["_text"])):
-                key, n = np.unique(np.concatenate([u[: np.searchsorted(u, LOW_HASH)] for u in shingles(part)]), return_counts=True)
+                key, n = np.unique(np.concatenate([u[: 2 * (len(u) // 5 + shared_least(len(u)))] for u in shingles(part)]), return_counts=True)
                 yield pd.DataFrame({"key": key.view(np.int64), "n": n})
 
     least = max(8, SAMPLE_DOCS // SAMPLE_SHARE)
@@ -328,25 +329,34 @@ def _bounded(pairs: DataFrame, signs: DataFrame) -> DataFrame:
 def _tile_pairs(tiles: DataFrame) -> DataFrame:
     """Pairs of classes of different components and fitting sizes that meet often enough, from rows of tiles."""
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All tiles of a frame sorted by tile; tiles of the same size are worked on together."""
+    def met(n, comp, cls, side, i, j) -> np.ndarray:
+        use = ((side[i] != side[j]) | (side[i] == 2)) & (comp[i] != comp[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+        i, j = i[use], j[use]
+        return np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.minimum(shared_least(n[i]), shared_least(n[j]))], 1)
+
+    def counted(got: list) -> pd.DataFrame:
+        return pd.DataFrame(np.concatenate(got), columns=["a", "b", "least"]).groupby(["a", "b", "least"], sort=False).size().rename("times").reset_index()
+
+    def whole(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """All tiles of a frame sorted by tile; tiles of the same size are worked on together, in runs of bounded size."""
         n, comp, cls, side = (pdf[c].to_numpy(np.int64) for c in ("n", "comp", "cls", "side"))
         tile = pdf["tile"].to_numpy(np.int64)
         start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
         size = np.diff(np.append(start, len(tile)))
-        got = [np.zeros((0, 3), np.int64)]
+        got, held = [], 0
         for m in np.unique(size[size > 1]):
             up, right = np.triu_indices(m, 1)
             first = start[size == m]
-            step = max(1, 2_000_000 // len(up))
+            step = max(1, 500_000 // len(up))
             for at in range(0, len(first), step):
                 f = first[at : at + step, None]
-                i, j = (f + up).ravel(), (f + right).ravel()
-                use = ((side[i] != side[j]) | (side[i] == 2)) & (comp[i] != comp[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
-                i, j = i[use], j[use]
-                got.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.minimum(shared_least(n[i]), shared_least(n[j]))], 1))
-        pairs, times = np.unique(np.concatenate(got), axis=0, return_counts=True)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "least": pairs[:, 2], "times": times})
+                got.append(met(n, comp, cls, side, (f + up).ravel(), (f + right).ravel()))
+                held += len(got[-1])
+                if held > 500_000:
+                    yield counted(got)
+                    got, held = [], 0
+        if held:
+            yield counted(got)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -355,31 +365,46 @@ def _tile_pairs(tiles: DataFrame) -> DataFrame:
             last = held["tile"].iloc[-1]
             done = held["tile"] != last
             if len(held) > 4000 and done.any():
-                yield whole(held[done])
+                yield from whole(held[done])
                 held = held[~done].reset_index(drop=True)
         if held is not None and len(held):
-            yield whole(held)
+            yield from whole(held)
 
-    met = tiles.repartition("tile").sortWithinPartitions("tile").mapInPandas(run, "a long, b long, least long, times long")
-    return met.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("times").alias("times")).filter(F.col("times") >= F.col("least")).select("a", "b")
+    pairs = tiles.repartition("tile").sortWithinPartitions("tile").mapInPandas(run, "a long, b long, least long, times long")
+    return pairs.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("times").alias("times")).filter(F.col("times") >= F.col("least")).select("a", "b")
 
 
-def _tiles(rest: DataFrame) -> DataFrame:
-    """Rows ``tile side cls n comp`` of every tile a class stands in, from ``key cls n comp band blocks``.
+def _tiles(tagged: DataFrame, block: int) -> DataFrame:
+    """Rows ``tile side cls n comp`` of every tile a class stands in, from ``key cls n comp band``.
 
-    A key of one block is one tile. Otherwise tiles are pairs of blocks within a band,
-    and pairs of a block of a band with a block of the next. Side 0 meets side 1; in
-    side 2 all meet.
+    A key of at most ``block`` classes is one tile. Otherwise tiles are pairs of blocks
+    within a band, and pairs of a block of a band with a block of the next. Tiles of
+    one component are left out. Side 0 meets side 1; in side 2 all meet.
     """
-    own = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int")
-    spot = lambda kind, t, i, j, side: F.struct(kind.alias("kind"), t.alias("t"), i.alias("i"), j.alias("j"), side.alias("side"))
-    each = F.sequence(F.lit(0), F.col("blocks") - 1)
-    within = F.transform(each, lambda k: spot(F.lit(1), F.col("band"), F.least(k, F.col("own")), F.greatest(k, F.col("own")), F.when(k == F.col("own"), 2).when(F.col("own") < k, 0).otherwise(1)))
-    lower = F.transform(each, lambda k: spot(F.lit(2), F.col("band"), F.col("own"), k, F.lit(0)))
-    upper = F.transform(each, lambda k: spot(F.lit(2), F.col("band") - 1, k, F.col("own"), F.lit(1)))
-    alone = F.array(spot(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(2)))
-    spots = F.when(F.col("blocks") == 1, alone).otherwise(F.concat(within, lower, upper))
-    spread = rest.withColumn("own", own).select("key", "cls", "n", "comp", F.explode(spots).alias("s"))
+    w = Window.partitionBy("key").orderBy("band")
+    every = Window.partitionBy("key")
+    bands = tagged.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
+    bands = bands.withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    beside = lambda f, d: F.when(f("band").over(w) == F.col("band") + d, f(F.struct("blocks", "lo", "hi")).over(w))
+    bands = bands.withColumn("up", beside(F.lead, 1)).withColumn("down", beside(F.lag, -1)).withColumn("all", F.sum("m").over(every))
+    bands = bands.withColumn("mixed", F.min("lo").over(every) != F.max("hi").over(every)).filter("mixed")
+    mixes = lambda other: F.least("lo", f"{other}.lo") != F.greatest("hi", f"{other}.hi")
+    with_next = lambda other: F.coalesce(F.when(mixes(other), F.col(f"{other}.blocks")), F.lit(0))
+    bands = bands.select("key", "band", "all", F.when(F.col("lo") != F.col("hi"), F.col("blocks")).otherwise(0).alias("within"), "blocks", with_next("up").alias("up"), with_next("down").alias("down"))
+    rest = tagged.join(bands, ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int"))
+
+    spot = lambda kind, t, i, j, side: F.struct(F.lit(kind).alias("kind"), t.alias("t"), i.alias("i"), j.alias("j"), side.alias("side"))
+    zero = F.lit(0)
+
+    def each(count: str, body) -> Column:
+        """One spot for every block of ``count``."""
+        return F.transform(F.filter(F.sequence(zero, F.col(count)), lambda k: k < F.col(count)), body)
+
+    within = each("within", lambda k: spot(1, F.col("band"), F.least(k, F.col("own")), F.greatest(k, F.col("own")), F.when(k == F.col("own"), 2).when(F.col("own") < k, 0).otherwise(1)))
+    lower = each("up", lambda k: spot(2, F.col("band"), F.col("own"), k, zero))
+    upper = each("down", lambda k: spot(2, F.col("band") - 1, k, F.col("own"), F.lit(1)))
+    spots = F.when(F.col("all") <= block, F.array(spot(0, zero, zero, zero, F.lit(2)))).otherwise(F.concat(within, lower, upper))
+    spread = rest.select("key", "cls", "n", "comp", F.explode(spots).alias("s"))
     return spread.select(F.xxhash64("key", "s.kind", "s.t", "s.i", "s.j").alias("tile"), F.col("s.side").cast("long").alias("side"), "cls", "n", "comp")
 
 
@@ -409,9 +434,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bloc
     found = found.union(second)
     comp = components(found)
     tagged = written(tag(comp).withColumn("band", _band(F.col("n"))).select("key", "cls", "n", "band", "comp"))
-    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter(F.col("lo") != F.col("hi"))
-    rest = tagged.join(mixed.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "key")
-    met = written(_tile_pairs(_tiles(rest)))
+    met = written(_tile_pairs(_tiles(tagged, block)))
     near = written(_bounded(met, _signs(met, rows, info)))
     comp = components(found.union(written(_compared(near, rows, info))))
     linked = comp.withColumnRenamed("node", "cls")
