@@ -10,8 +10,8 @@ A document is the set of its five-word shingles, by 64-bit hash. Two sets link w
    shared passages seldom stand among the first. Shingles held by one class are dropped.
 3. In every (shingle, size band) the class leads that shares the largest part of its first
    shingles, as the source of a group of copies does. Every other class is compared with
-   the one leader it meets most often, which joins groups of near copies at linear cost; in a
-   second round any class leads, for those of other components.
+   the one leader it meets most often, by bitmaps, then exactly. This joins groups of near
+   copies at linear cost.
 4. What is left are classes that share a first shingle but no component. They meet in
    size-banded tiles: classes of one band and the next, in blocks of at most
    ``block`` classes a side. Pairs of fitting sizes that meet over SHARED first shingles
@@ -281,15 +281,16 @@ def _signs(pairs: DataFrame, rows: DataFrame, info: DataFrame) -> DataFrame:
     """``cls n bits`` of the classes of the pairs."""
     held = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = written(held.join(info, "cls").select("cls", F.col("rep").alias("_id")))
+    bits = rows.sparkSession.sparkContext.broadcast(_key_filter(wanted, "_id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at, part in chunks(list(pdf["_text"])):
-                cls = pdf["cls"].iloc[at : at + len(part)]
-                out = [(c, len(u), bitmap(u)) for u, c in zip(shingles(part), cls, strict=True) if len(u) and set_hash(u) == c]
-                yield pd.DataFrame(out, columns=["cls", "n", "bits"])
+            for _, part in chunks(list(pdf["_text"])):
+                yield pd.DataFrame([(set_hash(u), len(u), bitmap(u)) for u in shingles(part) if len(u)], columns=["cls", "n", "bits"])
 
-    return written(_texts(rows, wanted).mapInPandas(run, "cls long, n long, bits binary").dropDuplicates(["cls"]))
+    # bitmaps are made before the shuffle, as they are smaller than texts
+    made = rows.filter(F.col("_id").isNotNull() & _may_be_in(F.col("_id"), bits)).select("_text").mapInPandas(run, "cls long, n long, bits binary")
+    return written(made.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
 
 
 def may_link(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -428,10 +429,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bloc
         known = info.withColumn("comp", F.col("cls")) if comp is None else info.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         return members.join(known.select("cls", "n", "part", "comp"), "cls")
 
-    found = written(_compared(written(_led(tag(None), -F.col("part"))), rows, info))
-    comp = components(found)
-    second = written(_compared(written(_led(tag(comp), F.xxhash64("cls", F.lit(11)))), rows, info))
-    found = found.union(second)
+    led = written(_led(tag(None), -F.col("part")))
+    found = written(_compared(written(_bounded(led, _signs(led, rows, info))), rows, info))
     comp = components(found)
     tagged = written(tag(comp).withColumn("band", _band(F.col("n"))).select("key", "cls", "n", "band", "comp"))
     met = written(_tile_pairs(_tiles(tagged, block)))
