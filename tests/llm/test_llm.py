@@ -203,6 +203,43 @@ def test_context_tree(docs, empty):
     assert ctw.score(empty).count() == 0
 
 
+def brute_levels(text, least):
+    """By depth, the contexts (newest symbol lowest) seen at least ``least`` times and their symbol counts; a byte is its own symbol."""
+    b = [ctw.OTHER] * ctw.DEPTH + text + [ctw.OTHER]
+    levels = []
+    for d in range(ctw.DEPTH + 1):
+        seen = {}
+        for i in range(ctw.DEPTH, len(b)):
+            seen.setdefault(sum(b[i - k] * ctw.CLASSES ** (k - 1) for k in range(1, d + 1)), np.zeros(ctw.CLASSES))[b[i]] += 1
+        kept = sorted(c for c, n in seen.items() if d == 0 or n.sum() >= least)
+        levels.append((np.array(kept, np.int64), np.array([seen[c] for c in kept])))
+    return levels
+
+
+def test_context_walk_ends_at_a_missing_node():
+    r = np.random.default_rng(4)
+    classes = np.arange(256).clip(0, ctw.OTHER).astype(np.uint8)
+    train = [int(x) for x in r.choice(6, 3000, p=[0.5, 0.3, 0.1, 0.05, 0.03, 0.02])]
+    levels = brute_levels(train, 12)
+    tree = ctw.build_tree(classes, np.bincount([*train, ctw.END], minlength=256).astype(float), levels)
+    where = [{int(c): i for i, c in enumerate(codes)} for codes, _ in levels]
+    start = np.cumsum([0, *map(len, where)])
+    texts = [[int(x) for x in r.integers(0, 8, 60)] for _ in range(20)]
+    ended = 0
+    for t in texts:
+        b, want = [ctw.OTHER] * ctw.DEPTH + t + [ctw.OTHER], 0.0
+        for i in range(ctw.DEPTH, len(b)):
+            d = 0
+            while d < ctw.DEPTH and sum(b[i - k] * ctw.CLASSES ** (k - 1) for k in range(1, d + 2)) in where[d + 1]:
+                d += 1
+            ended += d < ctw.DEPTH
+            node = start[d] + where[d][sum(b[i - k] * ctw.CLASSES ** (k - 1) for k in range(1, d + 1))]
+            want += float(tree.log10[node, b[i]])
+        want += float(tree.other[ctw.END])
+        assert abs(tree.score([bytes(t).decode()])[0] - want) < 1e-3
+    assert ended > 100
+
+
 def test_lattice_is_the_library(docs, empty):
     import public_tokenizers
     import sentencepiece

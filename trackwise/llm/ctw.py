@@ -138,10 +138,10 @@ class Tree:
     _child: np.ndarray | None = None
 
     def child(self) -> np.ndarray:
-        """Node row and the symbol before its context -> row of the longer context, or the same row if that is no node."""
+        """Node row and the symbol before its context -> row of the longer context, or -1 if that is no node."""
         if self._child is None:
             n = sum(map(len, self.codes))
-            out = np.repeat(np.arange(n, dtype=np.int32)[:, None], CLASSES, 1)
+            out = np.full((n, CLASSES), -1, np.int32)
             above, row = np.zeros(1, np.int64), 1
             for d in range(1, len(self.codes)):
                 oldest, rest = np.divmod(self.codes[d], CLASSES ** (d - 1))
@@ -157,8 +157,11 @@ class Tree:
         sym = self.classes[buf].astype(np.int32)
         own = sym[at]
         child, row = self.child().ravel(), np.zeros(len(at), np.int32)
+        live = np.arange(len(at))
         for d in range(1, len(self.codes)):
-            row = child[row * CLASSES + sym[at - d]]
+            longer = child[row[live] * CLASSES + sym[at[live] - d]]
+            live, longer = live[longer >= 0], longer[longer >= 0]
+            row[live] = longer
         lp = self.log10.ravel()[row * CLASSES + own].astype(np.float64)
         rare = np.flatnonzero(own == OTHER)
         lp[rare] += self.other[buf[at[rare]]]
