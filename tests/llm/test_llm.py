@@ -240,6 +240,55 @@ def test_context_walk_ends_at_a_missing_node():
     assert ended > 100
 
 
+def brute_ctw(train, texts):
+    """log10 probability of each text by ratios of the root's weighted probability, every byte context kept."""
+    from collections import Counter
+    from math import exp, lgamma, log, log1p
+
+    def runs(t):
+        b = b"\xff" * ctw.DEPTH + (t or "").translate(LOW).encode() + b"\xff"
+        return [b[i - ctw.DEPTH : i + 1] for i in range(ctw.DEPTH, len(b))]
+
+    path = lambda s: [((1 << k) | (s >> (8 - k)), (s >> (7 - k)) & 1) for k in range(8)]
+    n = {}
+    for r, c in Counter(r for t in train for r in runs(t)).items():
+        for dec, bit in path(r[-1]):
+            for d in range(ctw.DEPTH + 1):
+                n.setdefault((r[ctw.DEPTH - d : ctw.DEPTH], dec), [0, 0])[bit] += c
+    pe = lambda a, b: lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - log(np.pi)
+    half = lambda x, y: max(x, y) + log1p(exp(-abs(x - y))) - log(2)
+    pw, below = {}, {}
+    for ctx, dec in sorted(n, key=lambda k: -len(k[0])):
+        own = pe(*n[ctx, dec])
+        pw[ctx, dec] = own if len(ctx) == ctw.DEPTH else half(own, below[ctx, dec])
+        if ctx:
+            below[ctx[1:], dec] = below.get((ctx[1:], dec), 0.0) + pw[ctx, dec]
+
+    def bit_log(ctx5, dec, bit):
+        new = 0.0
+        for d in range(ctw.DEPTH, -1, -1):
+            key = (ctx5[ctw.DEPTH - d :], dec)
+            a = list(n.get(key, (0, 0)))
+            a[bit] += 1
+            deeper = (ctx5[ctw.DEPTH - d - 1 :], dec)
+            new = pe(*a) if d == ctw.DEPTH else half(pe(*a), below.get(key, 0.0) - pw.get(deeper, 0.0) + new)
+        return new - pw.get((b"", dec), 0.0)
+
+    return [sum(bit_log(r[:-1], dec, bit) for r in runs(t) for dec, bit in path(r[-1])) / log(10) for t in texts]
+
+
+def test_context_tree_keeps_every_context(spark):
+    r = np.random.default_rng(8)
+    texts = ["ab" * 350_000 + "".join(chr(x) for x in r.integers(97, 123, 300)), None, "", "Rare zqu words, " * 2]
+    texts += ["".join(chr(x) for x in r.integers(*span, 40)) for span in [(0x4E00, 0x4E20), (0x3B1, 0x3C9), (0x410, 0x450), (97, 105)] * 5]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    assert any(held[4:]) and not held[0]
+    want = brute_ctw([t for t, h in zip(texts, held, strict=True) if not h], texts[1:])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.score for x in ctw.score(rows).collect()}
+    assert len(got) == len(texts) and np.allclose([got[i] for i in range(1, len(texts))], want, atol=1e-3, rtol=1e-5)
+
+
 def test_lattice_is_the_library(docs, empty):
     import public_tokenizers
     import sentencepiece

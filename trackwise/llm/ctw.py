@@ -1,14 +1,18 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 Training texts (A-Z lower-cased) are counted as runs of ``DEPTH`` context bytes and the
-next byte; the end of a text is a byte of its own. The 63 most frequent bytes and one
-class for all others are the symbols; a symbol is six binary decisions. Each decision
-has a context tree over the preceding symbols, in which a node's Krichevsky-Trofimov
-estimate is mixed with those of all deeper nodes by context-tree weights. A context is a
-node if it holds at least 1/2**18 of all training bytes, so that each depth has at most
-2**18 nodes at any input size; what a node's other children hold is one shared child.
-Scoring uses the trained tree as it stands: the log10 probability of a text is the sum
-over its bytes and its end.
+next byte; the end of a text is a byte of its own. All 256 byte values are symbols; a
+symbol is eight binary decisions. Each decision has a context tree over the preceding
+bytes, in which a node's Krichevsky-Trofimov estimate is mixed with those of all deeper
+nodes by context-tree weights. Every context is kept, however rare. Scoring uses the
+trained tree as it stands: the log10 probability of a text is the sum over its bytes and
+its end.
+
+The tree is a distributed table: subtrees below contexts of ``TOP`` bytes are weighed
+where their counts lie, and only the nodes above them (at most 257 contexts of 255
+decisions) reach the driver. Texts are scored in runs; a run's distinct codes are joined
+to the table of log10 probabilities and meet the run's texts again. ``Tree`` is the same
+model held in one place, over fewer symbols and with dropped contexts.
 
 Beside it stands a unigram base over words: sum of log10((c + 1) / (N + V + 1)). Words
 are known by a 64-bit hash. Words with at least 1/2**20 of the tokens (so at most 2**20
@@ -27,18 +31,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackwise.llm.bytewords import Words, chunks, distinct
-from trackwise.llm.text import cut_lineage
+from trackwise.llm.text import cut_lineage, written
 
 DEPTH, CLASSES, LEVELS = 5, 64, 6
 END = 0xFF
 #: Bytes of text worked on at once in a task.
 CHUNK = 4_000_000
 OTHER = CLASSES - 1
-NODE_SHARE, WORD_SHARE = 1 << 18, 1 << 20
+#: Bytes of text that share one list of codes, context bytes of a subtree's root, and groups of subtrees.
+GROUP, TOP, BUCKETS = 16_000_000, 2, 1024
+WORD_SHARE = 1 << 20
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 
@@ -67,26 +74,49 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return value[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def context_counts(rows: DataFrame, text: str) -> DataFrame:
-    """Counts ``n`` of each run of DEPTH + 1 bytes, packed in ``code``."""
+def coded_runs(own: DataFrame) -> DataFrame:
+    """Texts in runs of about ``GROUP`` bytes, with each run's distinct codes of DEPTH + 1 bytes, written once.
+
+    Rows of a text have ``run rid _id _text _held``, rows of a code ``run code n``,
+    where ``n`` counts the training texts only (0: held-out texts alone have it).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part_id = TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        group = size = row = 0
+
+        def codes(group: int) -> pd.DataFrame:
+            code, n = _merged(held)
+            held.clear()
+            return pd.DataFrame({"run": (part_id << 33) + group, "rid": pd.array([None] * len(code), "Int64"), "_id": pd.array([None] * len(code), "Int64"), "_text": None, "_held": None, "code": pd.array(code, "Int64"), "n": pd.array(n, "Int64")})
+
         for pdf in batches:
-            for _, part in chunks(list(pdf[text]), CHUNK):
-                buf, at, _ = byte_run(part)
-                code = np.zeros(len(at), np.int64)
-                for k in range(DEPTH, -1, -1):
-                    code = (code << 8) | buf[at - k]
-                held.append(np.unique(code, return_counts=True))
-                if sum(len(x) for x, _ in held) > 3_000_000:
-                    held = [_merged(held)]
-                    if len(held[0][0]) > 2_000_000:
-                        yield pd.DataFrame(dict(zip(("code", "n"), held.pop(), strict=True)))
+            for at, part in chunks(list(pdf["_text"]), CHUNK):
+                frame = pdf.iloc[at : at + len(part)]
+                buf, use, first = byte_run(part)
+                learn = np.repeat(~frame["_held"].to_numpy(bool), np.diff(np.append(first, len(use))))
+                code = pack_codes(buf, use)
+                for chosen, weight in ((learn, 1), (~learn, 0)):
+                    value, n = np.unique(code[chosen], return_counts=True)
+                    held.append((value, n * weight))
+                yield pd.DataFrame({"run": (part_id << 33) + group, "rid": pd.array((part_id << 33) + row + np.arange(len(part)), "Int64"), "_id": pd.array(frame["_id"], "Int64"), "_text": part, "_held": frame["_held"].to_numpy(bool), "code": pd.array([None] * len(part), "Int64"), "n": pd.array([None] * len(part), "Int64")})
+                row, size = row + len(part), size + len(buf)
+                if size >= GROUP:
+                    yield codes(group)
+                    group, size = group + 1, 0
         if held:
-            yield pd.DataFrame(dict(zip(("code", "n"), _merged(held), strict=True)))
+            yield codes(group)
 
-    return rows.select(text).mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return written(own.mapInPandas(run, "run long, rid long, _id long, _text string, _held boolean, code long, n long"))
+
+
+def pack_codes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The DEPTH bytes before each position and its own, oldest highest."""
+    code = np.zeros(len(at), np.int64)
+    for k in range(DEPTH, -1, -1):
+        code = (code << 8) | buf[at - k]
+    return code
 
 
 def word_counts(rows: DataFrame, text: str) -> DataFrame:
@@ -213,31 +243,107 @@ def build_tree(classes: np.ndarray, byte_n: np.ndarray, levels: list[tuple[np.nd
     return Tree(classes, other, [c for c, _ in levels], np.concatenate(tables))
 
 
-def train(rows: DataFrame, text: str) -> Tree:
-    """Count the rows' texts on the cluster and build the tree from the bounded node counts."""
-    counts = cut_lineage(context_counts(rows, text))
-    own = counts.groupBy(F.col("code").bitwiseAND(F.lit(255)).alias("b")).agg(F.sum("n").alias("n")).toPandas()
-    byte_n = np.zeros(256)
-    byte_n[own["b"].to_numpy(int)] = own["n"]
-    order = np.argsort(-byte_n, kind="stable")
-    classes = np.full(256, OTHER, np.uint8)
-    classes[order[:OTHER]] = np.arange(OTHER)
-    lookup = F.lit([int(x) for x in classes])
-    sym = [lookup[F.shiftright("code", 8 * k).bitwiseAND(F.lit(255)).cast("int")] for k in range(DEPTH + 1)]
-    least = max(1.0, float(byte_n.sum()) / NODE_SHARE)
-    levels = []
-    for d in range(DEPTH + 1):
-        ctx: Column = F.lit(0)
-        for k in range(d, 0, -1):
-            ctx = ctx * CLASSES + sym[k]
-        seen = counts.groupBy(ctx.cast("int").alias("ctx"), sym[0].cast("int").alias("s")).agg(F.sum("n").alias("n"))
-        nodes = seen.groupBy("ctx").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-        found = seen.join(nodes, "ctx", "left_semi").toPandas() if d else seen.toPandas()
-        codes, where = np.unique(found["ctx"].to_numpy(np.int64), return_inverse=True) if len(found) else (np.zeros(int(d == 0), np.int64), np.zeros(0, int))
-        n = np.zeros((len(codes), CLASSES))
-        n[where, found["s"].to_numpy(int)] = found["n"]
-        levels.append((codes, n))
-    return build_tree(classes, byte_n, levels)
+def subtrees(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
+    """Weigh whole subtrees below contexts of ``TOP`` bytes, from all their codes.
+
+    Gives for each code and each of its eight decisions the probability of its bit by the
+    nodes of depth TOP to DEPTH, and per context of TOP bytes and decision the counts and
+    log weight ``at decision a b pw``, which the shallower nodes need. A context or
+    decision without training counts has log weight 0 and probability 1/2, as in the
+    full tree, so that codes of held-out texts are answered by the same table.
+    """
+    rev = np.zeros(len(code), np.int64)
+    for k in range(1, DEPTH + 1):
+        rev = (rev << 8) | ((code >> 8 * k) & 255)
+    own, up = {}, {}
+    last = np.arange(len(code))
+    for d in range(DEPTH, TOP - 1, -1):
+        own[d], up[d] = np.unique(((rev >> 8 * (DEPTH - d)) << 8) | (code & 255), return_inverse=True)
+    count = {d: np.bincount(up[d], n, len(own[d])) for d in own}
+    sample = {d: np.zeros(len(own[d]), np.int64) for d in own}
+    for d in own:
+        sample[d][up[d]] = last
+    out, roots = np.empty((len(code), 8), np.float32), []
+    bit = lambda x, level: (x >> (7 - level)) & 1
+    for level in range(8):
+        a, b, pe, pw, node, begin = {}, {}, {}, {}, {}, {}
+        for d in own:
+            key = own[d] >> (8 - level)
+            new = np.append(True, key[1:] != key[:-1])
+            begin[d], node[d] = np.flatnonzero(new), np.cumsum(new) - 1
+            one = bit(own[d], level)
+            a[d], b[d] = (np.add.reduceat(count[d] * (one == v), begin[d]) for v in (0, 1))
+            pe[d] = _log_kt(a[d], b[d])
+        one = bit(code, level)
+        at = node[DEPTH][up[DEPTH]]
+        q = (np.where(one, b[DEPTH][at], a[DEPTH][at]) + 0.5) / (a[DEPTH][at] + b[DEPTH][at] + 1)
+        pw[DEPTH] = pe[DEPTH]
+        for d in range(DEPTH - 1, TOP - 1, -1):
+            above = node[d][up[d][sample[d + 1][begin[d + 1]]]]
+            pw[d] = np.logaddexp(pe[d], np.bincount(above, pw[d + 1], len(pe[d]))) - np.log(2)
+            stop = np.exp(pe[d] - np.log(2) - pw[d])
+            at = node[d][up[d]]
+            q = stop[at] * (np.where(one, b[d][at], a[d][at]) + 0.5) / (a[d][at] + b[d][at] + 1) + (1 - stop[at]) * q
+        out[:, level] = q
+        head = own[TOP][begin[TOP]]
+        roots.append(pd.DataFrame({"at": head >> 8, "decision": (1 << level) | ((head & 255) >> (8 - level)), "a": a[TOP], "b": b[TOP], "pw": pw[TOP]}))
+    return out, pd.concat(roots)
+
+
+@dataclass
+class Top:
+    """The nodes of depth 0 and 1, folded: by newest byte, decision and bit, what they add, and the share left to deeper nodes."""
+
+    base: np.ndarray  # (256, 256, 2)
+    share: np.ndarray  # (256, 256)
+
+    def log10(self, code: np.ndarray, deep: np.ndarray) -> np.ndarray:
+        """log10 probability of each code's last byte, from the probabilities of the deeper nodes."""
+        newest, s, lp = (code >> 8) & 255, code & 255, np.zeros(len(code))
+        for level in range(8):
+            k = (1 << level) | (s >> (8 - level))
+            lp += np.log10(self.base[newest, k, (s >> (7 - level)) & 1] + self.share[newest, k] * deep[:, level])
+        return lp
+
+
+def fold_top(roots: pd.DataFrame) -> Top:
+    """Weigh the nodes of depth 1 and 0 over ``at decision a b pw``, summed by newest byte: at most 256 * 255 rows."""
+    a, b, below = np.zeros((3, 256, 256))
+    where = roots["at"].to_numpy(int), roots["decision"].to_numpy(int)
+    a[where], b[where], below[where] = roots["a"], roots["b"], roots["pw"]
+    kt = lambda a, b: np.stack([a + 0.5, b + 0.5], -1) / (a + b + 1)[..., None]
+    pe1 = _log_kt(a, b)
+    pw1 = np.logaddexp(pe1, below) - np.log(2)
+    pe0 = _log_kt(a.sum(0), b.sum(0))
+    pw0 = np.logaddexp(pe0, pw1.sum(0)) - np.log(2)
+    stop1, stop0 = np.exp(pe1 - np.log(2) - pw1), np.exp(pe0 - np.log(2) - pw0)
+    base = (stop0[:, None] * kt(a.sum(0), b.sum(0)))[None] + ((1 - stop0)[None] * stop1)[..., None] * kt(a, b)
+    return Top(base, (1 - stop0)[None] * (1 - stop1))
+
+
+def code_table(coded: DataFrame) -> DataFrame:
+    """``code lp``: the log10 probability of the last byte of every code of the corpus, by a tree that keeps every context."""
+    total = coded.filter(F.col("code").isNotNull()).groupBy("code").agg(F.sum("n").alias("n"))
+    bucket = F.pmod(F.xxhash64(F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1))), F.lit(BUCKETS))
+
+    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+        code = pdf["code"].to_numpy(np.int64)
+        deep, roots = subtrees(code, pdf["n"].to_numpy(np.float64))
+        return pd.concat([
+            pd.DataFrame({"code": pd.array(code, "Int64"), "deep": [x.tobytes() for x in deep]}),
+            roots.assign(code=pd.array([None] * len(roots), "Int64"), deep=None),
+        ])
+
+    nodes = written(total.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(weigh, "code long, deep binary, at long, decision long, a double, b double, pw double"))
+    roots = nodes.filter(F.col("code").isNull()).groupBy(F.shiftright("at", 8 * (TOP - 1)).alias("at"), "decision").agg(*[F.sum(c).alias(c) for c in ("a", "b", "pw")])
+    top = nodes.sparkSession.sparkContext.broadcast(fold_top(roots.toPandas()))
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            code = pdf["code"].to_numpy(np.int64)
+            yield pd.DataFrame({"code": code, "lp": top.value.log10(code, np.frombuffer(b"".join(pdf["deep"]), np.float32).reshape(-1, 8)).astype(np.float32)})
+
+    return nodes.filter(F.col("code").isNotNull()).select("code", "deep").mapInPandas(answer, "code long, lp float")
 
 
 def _held_out(doc_id: str, mod: int, remainder: int) -> Column:
@@ -247,10 +353,10 @@ def _held_out(doc_id: str, mod: int, remainder: int) -> Column:
 def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mod: int = 7, remainder: int = 2) -> DataFrame:
     """Per row of ``docs``: base counts and scores, the model's log10 probability and bits per byte; see the module."""
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), _held_out(doc_id, mod, remainder).alias("_held"))
-    learn = own.filter(~F.col("_held"))
     spark = docs.sparkSession
-    tree = train(learn, "_text")
-    counted = cut_lineage(word_counts(learn, "_text"))
+    coded = coded_runs(own)
+    texts = coded.filter(F.col("code").isNull()).select("run", "rid", "_id", "_text", "_held")
+    counted = cut_lineage(word_counts(texts.filter(~F.col("_held")), "_text"))
     total = counted.agg(F.sum("n").alias("n"), F.count("key").alias("v"), F.sum(F.when(F.col("key").isNull(), F.col("n"))).alias("docs")).first()
     n_all, n_ends = int(total["n"] or 0), int(total["docs"] or 0)
     base = np.log10(n_all + int(total["v"]) + (n_ends > 0) + 1)
@@ -258,33 +364,38 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mod: i
     least = max(1.0, n_all / WORD_SHARE)
     top = words.filter(F.col("n") >= least).toPandas().sort_values("key")
     rare = words.filter(F.col("n") < least)
-    shared = spark.sparkContext.broadcast((tree, top["key"].to_numpy(np.int64), np.append(top["n"].to_numpy(np.int64), 0)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, top_key, top_n = shared.value
-        for pdf in batches:
-            for at, part in chunks(list(pdf["_text"]), CHUNK):
-                frame = pdf.iloc[at : at + len(part)]
-                rid = frame["_rid"].to_numpy(np.int64)
-                w = Words(part, lower=True)
-                every = w.hashes()
-                codes, where = distinct(every)
-                h = every[where].view(np.int64)
-                slot = np.minimum(np.searchsorted(top_key, h), max(len(top_key) - 1, 0))
-                hit = top_key[slot] == h if len(top_key) else np.zeros(len(h), bool)
-                n = np.where(hit, top_n[slot], 0)
-                gain, known = np.log10(n + 1.0)[codes], hit[codes]
-                count = np.diff(w.first)
-                add = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[w.first])
-                yield pd.DataFrame({"rid": rid, "key": rid * 2 + 1, "tf": 0, "n_tokens": pd.array(count + 1, "Int64"), "n_known": add(known) + int(n_ends > 0), "gain": add(gain) + np.log10(n_ends + 1.0), "score": tree.score(part), "n_bytes": w.sizes - 1, "doc_id": frame["_id"].to_numpy(), "held_out": frame["_held"].to_numpy()})
-                doc = np.repeat(np.arange(len(part)), count)
-                left = np.flatnonzero(~known)
-                pair, tf = np.unique(doc[left] * (len(h) + 1) + codes[left], return_counts=True)
-                d, k = np.divmod(pair, len(h) + 1)
-                yield pd.DataFrame({"rid": rid[d], "key": h[k], "tf": tf, "n_tokens": pd.array([None] * len(d), "Int64"), "n_known": 0, "gain": 0.0, "score": np.nan, "n_bytes": 0, "doc_id": None, "held_out": None})
-
-    rows = own.withColumn("_rid", F.monotonically_increasing_id())
-    found = rows.mapInPandas(run, "rid long, key long, tf long, n_tokens long, n_known long, gain double, score double, n_bytes long, doc_id long, held_out boolean")
+    shared = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), np.append(top["n"].to_numpy(np.int64), 0)))
+
+    def run(pdf: pd.DataFrame, known_codes: pd.DataFrame) -> pd.DataFrame:
+        top_key, top_n = shared.value
+        order = np.argsort(known_codes["code"].to_numpy(np.int64))
+        all_codes, all_lp = known_codes["code"].to_numpy(np.int64)[order], known_codes["lp"].to_numpy(np.float64)[order]
+        out = []
+        for at, part in chunks(list(pdf["_text"]), CHUNK):
+            frame = pdf.iloc[at : at + len(part)]
+            rid = frame["rid"].to_numpy(np.int64)
+            w = Words(part, lower=True)
+            every = w.hashes()
+            codes, where = distinct(every)
+            h = every[where].view(np.int64)
+            slot = np.minimum(np.searchsorted(top_key, h), max(len(top_key) - 1, 0))
+            hit = top_key[slot] == h if len(top_key) else np.zeros(len(h), bool)
+            n = np.where(hit, top_n[slot], 0)
+            gain, known = np.log10(n + 1.0)[codes], hit[codes]
+            count = np.diff(w.first)
+            add = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[w.first])
+            buf, use, first = byte_run(part)
+            lp = np.add.reduceat(all_lp[np.searchsorted(all_codes, pack_codes(buf, use))], first)
+            out.append(pd.DataFrame({"rid": rid, "key": rid * 2 + 1, "tf": 0, "n_tokens": pd.array(count + 1, "Int64"), "n_known": add(known) + int(n_ends > 0), "gain": add(gain) + np.log10(n_ends + 1.0), "score": lp, "n_bytes": w.sizes - 1, "doc_id": pd.array(frame["_id"], "Int64"), "held_out": frame["_held"].to_numpy()}))
+            doc = np.repeat(np.arange(len(part)), count)
+            left = np.flatnonzero(~known)
+            pair, tf = np.unique(doc[left] * (len(h) + 1) + codes[left], return_counts=True)
+            d, k = np.divmod(pair, len(h) + 1)
+            out.append(pd.DataFrame({"rid": rid[d], "key": h[k], "tf": tf, "n_tokens": pd.array([None] * len(d), "Int64"), "n_known": 0, "gain": 0.0, "score": np.nan, "n_bytes": 0, "doc_id": pd.array([None] * len(d), "Int64"), "held_out": None}))
+        return pd.concat(out)
+
+    asked = coded.filter(F.col("code").isNotNull()).select(F.col("run").alias("asks"), "code").join(code_table(coded), "code")
+    found = texts.groupBy("run").cogroup(asked.groupBy("asks")).applyInPandas(run, "rid long, key long, tf long, n_tokens long, n_known long, gain double, score double, n_bytes long, doc_id long, held_out boolean")
     met = found.join(rare.select("key", F.col("n").alias("_c")), "key", "left")
     seen = (F.col("_c").isNotNull() & (F.col("tf") > 0)).cast("long")
     by_doc = met.groupBy("rid").agg(
