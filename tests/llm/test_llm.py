@@ -174,6 +174,26 @@ def test_boilerplate_depletes(spark):
     assert {r.doc_id for r in quality.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()} == set(range(1, 25))
 
 
+def test_near_copies_are_left_to_deduplication(spark):
+    lines = [" ".join(words(12, 700 + k, 10**6)) for k in range(40)]
+    texts = []
+    for i in range(100):
+        t = lines[:]
+        t[(i * 7) % 40] = f"changed line {i}"
+        texts.append("\n".join(t))
+    cased = ["Some  Words here of a Page that is merely copied with changed case or spaces or ends\nand a Second line of it"] * 2
+    texts += [(cased[0].upper() if k % 2 else cased[0]) + " " * k + "\n" * (k // 5) for k in range(50)]
+    common = "This is a common licence line of more than ten words in all."
+    texts += [common + "\n" + " ".join(words(30, 900 + i, 10**6)) for i in range(25)] + [common]
+    docs = spark.createDataFrame([(i, t, None, "h", None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    good = quality.keep_good(docs)
+    assert {r.doc_id for r in good.collect()} == set(range(175))
+    assert {r.doc_id: r.kept for r in quality.quality_rules(docs).collect()} == {i: i < 175 for i in range(176)}
+    assert not any(r.kept for r in quality.quality_rules(docs, near_once=False).collect() if r.doc_id < 150)
+    left = [r.doc_id for r in jaccard.keep_one(good).collect()]
+    assert [i for i in left if i < 100] == [0] and [i for i in left if 100 <= i < 150] == [100] and len(left) == 27
+
+
 def test_language_id(spark, empty):
     r = np.random.default_rng(3)
     stock = {"en": ["the", "and", "thing", "other", "with"], "fr": ["les", "une", "eaux", "être", "aux"]}

@@ -7,8 +7,8 @@ whose remaining words are too few is rejected as depleted.
 
 Defined results: null text counts as empty (no words, ``base_failed`` is true); a
 null host is a host of its own; rows that repeat an id and a text share one verdict;
-documents with the same text are one document to the line counts, so a page that is
-merely copied is left to deduplication; columns other than the named ones are kept
+documents that share most of their lines are one document to the line counts, so a page
+that is merely copied, or nearly, is left to deduplication; columns other than the named ones are kept
 out of the result. An empty table gives an empty result.
 """
 
@@ -86,7 +86,7 @@ def document_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row per non-blank line: ``_host _id _text_hash _at _line _n``."""
+    """One row per non-blank line: ``_host _id _text_hash _norm _at _line _n``; ``_norm`` is the hash of all normalised lines."""
     norm = lambda x: F.trim(F.regexp_replace(F.lower(x), SPACE_CLASS + "+", " "))
     each = F.transform(
         F.filter(F.split(F.coalesce("_text", F.lit("")), "\n"), lambda x: x.rlike(WORD_CLASS)),
@@ -95,25 +95,55 @@ def _lines(docs: DataFrame) -> DataFrame:
             lambda y: F.struct(i.alias("at"), F.xxhash64(y).alias("line"), (F.char_length(y) - F.char_length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("n")),
         ),
     )
-    return docs.select("_host", "_id", "_text_hash", F.explode(each).alias("x")).select(
-        "_host", "_id", "_text_hash", F.col("x.at").alias("_at"), F.col("x.line").alias("_line"), F.col("x.n").alias("_n")
+    of_text = docs.select("_host", "_id", "_text_hash", each.alias("all")).select("_host", "_id", "_text_hash", "all", F.xxhash64(F.col("all.line")).alias("_norm"))
+    return of_text.select("_host", "_id", "_text_hash", "_norm", F.explode("all").alias("x")).select(
+        "_host", "_id", "_text_hash", "_norm", F.col("x.at").alias("_at"), F.col("x.line").alias("_line"), F.col("x.n").alias("_n")
     )
 
 
+def _signed(lines: DataFrame, limit: int, salts: int) -> DataFrame:
+    """The lines again with ``_text_hash`` for counting: near copies share it at each line.
+
+    A text is known by its normalised lines. Where lines that more than ``limit`` of these
+    texts hold make up most of a text's words, the text counts at a line as the least
+    hash among its other such lines: texts that share most of their lines have few
+    different least hashes (about log N of N near copies), whichever lines were changed.
+    """
+    # one row per normalised text, host and place of a line
+    each = lines.groupBy("_host", "_norm", "_at").agg(F.first("_line").alias("_line"), F.first("_n").alias("_n"))
+    hot = boilerplate_lines(each.withColumnRenamed("_norm", "_text_hash"), limit).select(
+        F.col("_host").alias("_kh"), F.col("_line").alias("_kl"), F.lit(True).alias("_hot"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_ks"),
+    )
+    salted = each.withColumn("_salt", F.pmod(F.xxhash64("_norm", "_at"), F.lit(salts)).cast("int"))
+    own_line = F.col("_host").eqNullSafe(F.col("_kh")) & (F.col("_line") == F.col("_kl")) & (F.col("_salt") == F.col("_ks"))
+    marked = salted.join(hot, own_line, "left").select("_host", "_norm", "_line", "_n", F.coalesce("_hot", F.lit(False)).alias("_hot"))
+    texts = marked.groupBy("_host", "_norm").agg(
+        (2 * F.sum(F.when(F.col("_hot"), F.col("_n")).otherwise(0)) > F.sum("_n")).alias("_most"),
+        F.array_sort(F.collect_set(F.when(F.col("_hot"), F.struct(F.xxhash64("_line").alias("h"), F.col("_line").alias("line"))))).alias("_shared"),
+        F.collect_set(F.when(F.col("_hot"), F.col("_line"))).alias("_lines"),
+    )
+    opened = texts.withColumn("_shared", F.slice("_shared", 1, 2)).select("_host", "_norm", "_most", "_shared", F.explode("_lines").alias("_line"))
+    others = F.filter("_shared", lambda x: x["line"] != F.col("_line"))
+    sign = F.when(F.col("_most"), F.coalesce(F.try_element_at(others, F.lit(1))["h"], F.lit(0))).otherwise(F.col("_norm"))
+    return opened.select("_host", "_line", sign.alias("_text_hash"))
+
+
 def boilerplate_lines(lines: DataFrame, limit: int) -> DataFrame:
-    """Lines that more than ``limit`` distinct documents of one host hold."""
+    """Lines that more than ``limit`` distinct documents (by ``_text_hash``) of one host hold."""
     once = lines.groupBy("_host", "_line", "_text_hash").agg(F.lit(1).alias("one"))
     return once.groupBy("_host", "_line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > limit)
 
 
-def removed_words(docs: DataFrame, *, limit: int, salts: int) -> DataFrame:
+def removed_words(docs: DataFrame, *, limit: int, salts: int, near_once: bool = True) -> DataFrame:
     """Per document (id and text) the words that stand in boilerplate lines; only documents that have some.
 
+    ``near_once``: texts that share most of their lines are one document to the counts; otherwise each distinct text is one.
+
     A very common line is held by a large share of the rows, so the join key is
     salted: the boilerplate side is repeated ``salts`` times.
     """
     lines = _lines(docs)
-    hot = boilerplate_lines(lines, limit).select(
+    hot = boilerplate_lines(_signed(lines, limit, salts) if near_once else lines, limit).select(
         F.coalesce("_host", F.lit("")).alias("_h"), F.col("_host").isNull().alias("_hn"), "_line",
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
     )
@@ -135,16 +165,17 @@ def _named(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
 
 def quality_rules(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-    limit: int = 20, min_left: int = 10, salts: int = 32,
+    limit: int = 20, min_left: int = 10, salts: int = 32, near_once: bool = True,
 ) -> DataFrame:
     """Counts and verdict per row of ``docs``.
 
     ``limit``: a line is boilerplate when more distinct documents of its host hold it.
     ``min_left``: a document is depleted when fewer words than this are left.
+    ``near_once``: see ``removed_words``; the query's SQL counts every distinct text.
     """
     own = _named(docs, doc_id, text, host)
     counted = document_counts(own, text="_text").drop("_text", "_host")
-    removed = removed_words(own, limit=limit, salts=salts).withColumnsRenamed({"_id": "_rid", "_text_hash": "_rhash"})
+    removed = removed_words(own, limit=limit, salts=salts, near_once=near_once).withColumnsRenamed({"_id": "_rid", "_text_hash": "_rhash"})
     met = counted.join(removed, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_text_hash") == F.col("_rhash")), "left")
     gone = F.coalesce("removed_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -17,7 +17,7 @@ def op9_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+    return quality.quality_rules(_table(spark, sf_dir, "documents"), near_once=False)  # as its SQL counts
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
