@@ -174,6 +174,19 @@ def test_boilerplate_depletes(spark):
     assert {r.doc_id for r in quality.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()} == set(range(1, 25))
 
 
+def test_boilerplate_lines_are_taken_out(spark):
+    line = "This is a common licence line of more than ten words in all."
+    own = [" ".join(words(20, i)) for i in range(25)]
+    rows = [(i, f"{own[i]}\n\n {line.upper() if i % 2 else line}\nlast line {i}\n", None, "h", 7, "extra", "clash") for i in range(25)]
+    rows.append((25, f"{own[0]}\n{line}\nother host", None, "g", 7, "extra", "clash"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in quality.keep_good(docs).collect()}
+    assert len(got) == 26 and got[25].text == rows[25][1] and got[25].n_chars == 7
+    for i in range(25):
+        want = f"{own[i]}\n\nlast line {i}\n"
+        assert (got[i].text, got[i].n_chars, got[i].b, got[i].cls) == (want, len(want), "extra", "clash")
+
+
 def test_near_copies_are_left_to_deduplication(spark):
     lines = [" ".join(words(12, 700 + k, 10**6)) for k in range(40)]
     texts = []

@@ -85,13 +85,16 @@ def document_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     )
 
 
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACE_CLASS + "+", " "))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """One row per non-blank line: ``_host _id _text_hash _norm _at _line _n``; ``_norm`` is the hash of all normalised lines."""
-    norm = lambda x: F.trim(F.regexp_replace(F.lower(x), SPACE_CLASS + "+", " "))
     each = F.transform(
         F.filter(F.split(F.coalesce("_text", F.lit("")), "\n"), lambda x: x.rlike(WORD_CLASS)),
         lambda x, i: let(
-            norm(x),
+            _normal(x),
             lambda y: F.struct(i.alias("at"), F.xxhash64(y).alias("line"), (F.char_length(y) - F.char_length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("n")),
         ),
     )
@@ -135,7 +138,7 @@ def boilerplate_lines(lines: DataFrame, limit: int) -> DataFrame:
 
 
 def removed_words(docs: DataFrame, *, limit: int, salts: int, near_once: bool = True) -> DataFrame:
-    """Per document (id and text) the words that stand in boilerplate lines; only documents that have some.
+    """Per document (id and text) the words that stand in boilerplate lines, and the hashes of these ``lines``; only documents that have some.
 
     ``near_once``: texts that share most of their lines are one document to the counts; otherwise each distinct text is one.
 
@@ -153,7 +156,7 @@ def removed_words(docs: DataFrame, *, limit: int, salts: int, near_once: bool =
         F.pmod(F.xxhash64("_id", "_text_hash", "_at"), F.lit(salts)).cast("int").alias("_salt"),
     )
     met = keyed.join(hot, ["_h", "_hn", "_line", "_salt"], "left_semi")
-    return met.groupBy("_id", "_text_hash", "_at").agg(F.max("_n").alias("_n")).groupBy("_id", "_text_hash").agg(F.sum("_n").alias("removed_words"))
+    return met.groupBy("_id", "_text_hash", "_at").agg(F.max("_n").alias("_n"), F.first("_line").alias("_line")).groupBy("_id", "_text_hash").agg(F.sum("_n").alias("removed_words"), F.collect_set("_line").alias("lines"))
 
 
 def _named(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
@@ -186,15 +189,26 @@ def quality_rules(
     )
 
 
-def keep_good(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: int = 20, min_left: int = 10, salts: int = 32) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns unchanged."""
+def without_lines(text: Column, lines: Column) -> Column:
+    """A text's lines in their order without those whose normalised hash is in ``lines``; blank lines stay."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(WORD_CLASS) & F.array_contains(lines, F.xxhash64(_normal(x))))), "\n")
+
+
+def keep_good(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars",
+    limit: int = 20, min_left: int = 10, salts: int = 32,
+) -> DataFrame:
+    """The rows of ``docs`` that pass, their texts without boilerplate lines and ``n_chars``, if there is one, by the text left; other columns unchanged."""
     own = docs.withColumns({"_id": F.col(doc_id), "_text": F.col(text), "_host": F.col(host).cast("string"), "_text_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     counted = document_counts(own, text="_text")
     good = counted.filter((F.col("n_words") >= 10) & (100 * F.col("n_repeat_words") <= 20 * F.col("n_words")))
     named = _named(docs, doc_id, text, host)
-    few = removed_words(named, limit=limit, salts=salts).withColumnsRenamed({"_id": "_rid", "_text_hash": "_rhash", "removed_words": "_gone"})
+    few = removed_words(named, limit=limit, salts=salts).withColumnsRenamed({"_id": "_rid", "_text_hash": "_rhash", "removed_words": "_gone", "lines": "_hot_lines"})
     met = good.join(few, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_text_hash") == F.col("_rhash")), "left")
-    return met.filter(F.col("_gone").isNull() | (F.col("n_words") - F.col("_gone") >= min_left)).select(*[met[c] for c in docs.columns])
+    passed = met.filter(F.col("_gone").isNull() | (F.col("n_words") - F.col("_gone") >= min_left))
+    left = F.when(F.col("_gone").isNull(), met[text]).otherwise(without_lines(met[text], F.col("_hot_lines")))
+    new = {text: left, n_chars: F.when(F.col("_gone").isNull(), met[n_chars]).otherwise(F.char_length(left).cast(docs.schema[n_chars].dataType))} if n_chars in docs.columns else {text: left}
+    return passed.select(*[new[c].alias(c) if c in new else met[c] for c in docs.columns])
 
 
 ORACLE = r"""
