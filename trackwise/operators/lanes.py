@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackwise.functions import angle_diff
+from trackwise.shared import static
 
 
 def with_arc_length(points: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def lane_paths(links: DataFrame, starts: DataFrame, *, max_depth: int = 20, stop
         nxt = go.join(links.withColumnRenamed("src", "lane"), "lane").select("start", F.col("dst").alias("lane"), F.lit(level).alias("depth"), F.concat("path", F.array("dst")).alias("path"), F.concat("way", F.array("ord")).alias("way"))
         first = nxt.groupBy("start", "lane").agg(F.min(F.struct("way", "path", "depth")).alias("m")).select("start", "lane", "m.depth", "m.path", "m.way")
         front = first.join(seen.select("start", "lane"), ["start", "lane"], "left_anti")
-        front = links.sparkSession.createDataFrame(front.collect(), front.schema)  # a level of a map's lane graph
+        front = static(front)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -157,9 +158,9 @@ def upstream(links: DataFrame, segments: DataFrame, lanes: DataFrame, least: flo
     step = first.join(length.withColumnRenamed("lane", "prev"), "prev").select(F.col("lane").alias("up"), "prev", "length")
     at = lanes.select("lane", F.col("lane").alias("up"), F.lit(0.0).alias("gap"))
     out = at
-    for _ in range(10):
+    while True:
         at = at.filter(F.col("gap") < least).join(step, "up").select("lane", F.col("prev").alias("up"), (F.col("gap") + F.col("length")).alias("gap"))
-        at = lanes.sparkSession.createDataFrame(at.collect(), at.schema)  # at most a row per lane of the map
+        at = static(at)
         if at.isEmpty():
             break
         out = out.unionByName(at)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property, lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from trackwise.operators import lanes as op
 from trackwise.operators import tracks
 from trackwise.operators.posterior import r9
 from trackwise.registry import query
+from trackwise.shared import static
 
 LANES = """SELECT * FROM (VALUES
 ('w_in', 1, 10, NULL, NULL, 0.0, 48.0, 45.0, 48.0), ('w_out', 1, 11, NULL, NULL, 45.0, 52.0, 0.0, 52.0), ('e_in', 2, 20, NULL, NULL, 100.0, 52.0, 55.0, 52.0), ('e_out', 2, 21, NULL, NULL, 55.0, 48.0, 100.0, 48.0),
@@ -33,19 +36,47 @@ KEY = ["episode", "agent_id", "frame_id"]
 
 
 class Net:
-    """The literal network as the operators' tables."""
+    """The literal network as the operators' tables; what is derived from the map alone is computed once."""
 
     def __init__(self, spark: SparkSession):
         raw = spark.sql(LANES)
         self.lanes = raw.select("lane", "road", "section", "junction", "jgroup")
-        self.segments = op.with_arc_length(raw.select("lane", F.lit(0).alias("seg"), "x0", "y0", "x1", "y1"))
+        self.segments = static(op.with_arc_length(raw.select("lane", F.lit(0).alias("seg"), "x0", "y0", "x1", "y1")))
         self.links = spark.sql(LINKS)
         self.priorities = spark.sql(PRIORITIES)
         self.entries = op.junction_entries(self.lanes, self.links, self.segments, self.priorities)
         self.flags = op.junction_flags(self.lanes, self.links)
 
+    @cached_property
+    def paths(self) -> DataFrame:
+        return static(op.reachable_goals(self.lanes, self.segments, self.links, self.entries))
+
     def goals(self) -> DataFrame:
-        return op.reachable_goals(self.lanes, self.segments, self.links, self.entries)
+        return self.paths
+
+    @cached_property
+    def table(self) -> DataFrame:
+        return static(op.path_table(self.paths, self.lanes, self.segments))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return static(op.path_facts(self.table))
+
+    @cached_property
+    def crossed(self) -> DataFrame:
+        """``start goal_lane lane other cross_s_other``: where paths cross lanes that they have no priority over."""
+        conflicts = op.conflict_lanes(self.lanes, self.links, crossings(self), self.priorities)
+        return static(self.paths.select("start", "goal_lane", F.explode("path").alias("lane")).join(conflicts, "lane").select("start", "goal_lane", "lane", "other", "cross_s_other"))
+
+    @cached_property
+    def upstream(self) -> DataFrame:
+        return static(op.upstream(self.links, self.segments, self.lanes))
+
+
+@lru_cache(maxsize=1)
+def net_of(spark: SparkSession) -> Net:
+    """The network's tables of a session."""
+    return Net(spark)
 
 
 def _states(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,20 +109,20 @@ g AS (SELECT start, lane AS goal_lane, gx, gy, path, depth, CASE WHEN lane IN ('
 @query(f"WITH {S}, {L}, {CAND} SELECT agent_id, frame_id, lane, round(lon, 9) AS lon, round(dist, 9) AS dist, round(turn, 9) AS turn FROM c")
 def lane_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """O-19, O-22, O-50: lanes near a state in its direction, by a grid-cell equi join."""
-    c = op.lane_candidates(_states(spark, sf), Net(spark).segments, reach=REACH)
+    c = op.lane_candidates(_states(spark, sf), net_of(spark).segments, reach=REACH)
     return c.select("agent_id", "frame_id", "lane", r9("lon").alias("lon"), r9("dist").alias("dist"), r9("turn").alias("turn"))
 
 
 @query(f"WITH {S}, {L}, {CAND} SELECT agent_id, frame_id, lane, round(dist, 9) AS dist FROM b")
 def best_lanes(spark: SparkSession, sf: str) -> DataFrame:
     """O-76."""
-    return _located(spark, sf, Net(spark)).select("agent_id", "frame_id", "lane", r9("dist").alias("dist"))
+    return _located(spark, sf, net_of(spark)).select("agent_id", "frame_id", "lane", r9("dist").alias("dist"))
 
 
 @query(f"WITH {S}, {L}, {CAND}, {GOALS} SELECT agent_id, frame_id, b.lane, goal_lane, goal_type, CAST(depth AS INT) AS depth, round(atan2(gy - y, gx - x), 9) AS bearing FROM b JOIN g ON g.start = b.lane")
 def goals_per_state(spark: SparkSession, sf: str) -> DataFrame:
     """O-27, O-28, O-53, O-57, O-58, O-59, O-60: typed goals reachable from each state's lane."""
-    net = Net(spark)
+    net = net_of(spark)
     met = _located(spark, sf, net).join(F.broadcast(net.goals()), F.col("lane") == F.col("start"))
     return met.select("agent_id", "frame_id", "lane", "goal_lane", "goal_type", "depth", r9(F.atan2(F.col("gy") - F.col("y"), F.col("gx") - F.col("x"))).alias("bearing"))
 
@@ -104,9 +135,9 @@ SELECT agent_id, frame_id, goal_lane, round(path_length - lon, 9) AS path_to_goa
 round((heading - be) - 2 * pi() * floor(((heading - be) + pi()) / (2 * pi())), 6) AS angle_to_goal FROM r""")
 def route_features(spark: SparkSession, sf: str) -> DataFrame:
     """O-20, O-21, O-24, O-25, O-26."""
-    net = Net(spark)
+    net = net_of(spark)
     goals = net.goals()
-    facts = op.path_facts(op.path_table(goals, net.lanes, net.segments))
+    facts = net.facts
     met = _located(spark, sf, net).join(F.broadcast(goals.join(facts, ["start", "goal_lane"])), F.col("lane") == F.col("start"))
     to_goal = F.round(angle_diff(F.atan2(F.col("gy") - F.col("y"), F.col("gx") - F.col("x")), F.col("heading")), 6)
     return met.select("agent_id", "frame_id", "goal_lane", r9(F.col("path_length") - F.col("lon")).alias("path_to_goal_length"), r9("turn").alias("angle_in_lane"), "in_correct_lane", "junction_lane", to_goal.alias("angle_to_goal"))
@@ -127,13 +158,16 @@ def in_front(located: DataFrame, table: DataFrame) -> DataFrame:
 _SB = "sb AS (SELECT g.start, g.goal_lane, l.lane, coalesce((SELECT sum(q.len) FROM l q WHERE strpos(g.path, '/' || q.lane || '/') > 0 AND strpos(g.path, '/' || q.lane || '/') < strpos(g.path, '/' || l.lane || '/')), 0) AS s_before FROM g JOIN l ON g.path LIKE '%/' || l.lane || '/%')"
 
 
-@query(f"""WITH {S}, {L}, {CAND}, {GOALS}, {_SB}, m AS (SELECT a.episode, a.agent_id, a.frame_id, sb.goal_lane, p.speed, p.agent_id AS pid, sb.s_before + p.lon - a.lon AS dd FROM b a JOIN b p ON p.episode = a.episode AND p.frame_id = a.frame_id AND p.agent_id <> a.agent_id JOIN sb ON sb.start = a.lane AND sb.lane = p.lane WHERE sb.s_before + p.lon - a.lon > 1e-4),
-n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode, agent_id, frame_id, goal_lane ORDER BY round(dd, 9), pid) AS rn FROM m) WHERE rn = 1)
+AHEAD = """m AS (SELECT a.episode, a.agent_id, a.frame_id, sb.goal_lane, p.speed, p.agent_id AS pid, sb.s_before + p.lon - a.lon AS dd FROM b a JOIN b p ON p.episode = a.episode AND p.frame_id = a.frame_id AND p.agent_id <> a.agent_id JOIN sb ON sb.start = a.lane AND sb.lane = p.lane WHERE sb.s_before + p.lon - a.lon > 1e-4),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode, agent_id, frame_id, goal_lane ORDER BY round(dd, 9), pid) AS rn FROM m) WHERE rn = 1)"""
+
+
+@query(f"""WITH {S}, {L}, {CAND}, {GOALS}, {_SB}, {AHEAD}
 SELECT a.agent_id, a.frame_id, g.goal_lane, round(coalesce(n.dd, 100), 9) AS front_dist, round(coalesce(n.speed, 20), 9) AS front_speed FROM b a JOIN g ON g.start = a.lane LEFT JOIN n ON n.episode = a.episode AND n.agent_id = a.agent_id AND n.frame_id = a.frame_id AND n.goal_lane = g.goal_lane""")
 def vehicles_in_front(spark: SparkSession, sf: str) -> DataFrame:
     """O-48, O-49, O-77."""
-    net = Net(spark)
-    f = in_front(_located(spark, sf, net), op.path_table(net.goals(), net.lanes, net.segments))
+    net = net_of(spark)
+    f = in_front(_located(spark, sf, net), net.table)
     return f.select("agent_id", "frame_id", "goal_lane", r9("front_dist").alias("front_dist"), r9("front_speed").alias("front_speed"))
 
 
@@ -152,9 +186,7 @@ def crossings(net: Net) -> DataFrame:
 
 def oncoming(located: DataFrame, net: Net, goals: DataFrame) -> DataFrame:
     """Nearest vehicle upstream of a crossing with a lane we do not have priority over: ``oncoming_dist oncoming_speed``, 100 and 20 where there is none within 100."""
-    conflicts = op.conflict_lanes(net.lanes, net.links, crossings(net), net.priorities)
-    up = op.upstream(net.links, net.segments, net.lanes)
-    paths = goals.select("start", "goal_lane", F.explode("path").alias("lane")).join(conflicts, "lane").join(up.withColumnRenamed("lane", "other"), "other")
+    paths = net.crossed.join(net.upstream.withColumnRenamed("lane", "other"), "other")
     watch = F.broadcast(paths.select("start", "goal_lane", F.col("up").alias("peer_lane"), (F.col("gap") + F.col("cross_s_other")).alias("_c")))
     own = located.select(*KEY, F.col("lane").alias("start"))
     peer = located.select("episode", "frame_id", F.col("agent_id").alias("peer_id"), F.col("lane").alias("peer_lane"), F.col("lon").alias("_lon"), F.col("speed").alias("_v"))
@@ -164,18 +196,35 @@ def oncoming(located: DataFrame, net: Net, goals: DataFrame) -> DataFrame:
     return every.join(near, [*KEY, "goal_lane"], "left").select(*KEY, "goal_lane", F.coalesce("d", F.lit(100.0)).alias("oncoming_dist"), F.coalesce("v", F.lit(20.0)).alias("oncoming_speed"))
 
 
-@query()
+#: Crossings (cf) of junction lanes with those they have no priority over, and upstream lanes (up).
+CROSSED = """ic AS (SELECT k.dst AS lane, k.src AS from_lane, l.road FROM k JOIN l ON l.lane = k.src),
+jl AS (SELECT l.*, ic.from_lane, ic.road AS in_road FROM l JOIN ic ON ic.lane = l.lane WHERE l.junction IS NOT NULL),
+cx AS (SELECT a.lane, b.lane AS other, a.len AS la, b.len AS lb, round((a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0), 9) AS det, (b.x0 - a.x0) * (b.y1 - b.y0) - (b.y0 - a.y0) * (b.x1 - b.x0) AS tn, (b.x0 - a.x0) * (a.y1 - a.y0) - (b.y0 - a.y0) * (a.x1 - a.x0) AS un FROM jl a JOIN jl b ON a.junction = b.junction AND a.lane <> b.lane AND a.from_lane <> b.from_lane
+ WHERE a.junction = 1 AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.junction = a.junction AND pr.high = a.in_road AND pr.low = b.in_road)),
+cf AS (SELECT DISTINCT lane, other, un / det * lb AS cross_s_other FROM cx WHERE det <> 0 AND tn / det BETWEEN 0 AND 1 AND un / det BETWEEN 0 AND 1 AND 9 * la * lb / abs(det) > 1),
+fp AS (SELECT dst AS lane, arg_min(src, lpad(CAST(ord AS VARCHAR), 4, '0') || src) AS prev FROM k GROUP BY 1),
+up AS (WITH RECURSIVE u AS (SELECT lane, lane AS up, CAST(0.0 AS DOUBLE) AS gap FROM l UNION ALL SELECT u.lane, fp.prev, u.gap + q.len FROM u JOIN fp ON fp.lane = u.up JOIN l q ON q.lane = fp.prev WHERE u.gap < 100) SELECT * FROM u)"""
+ONCOMING = """wt AS (SELECT g.start, g.goal_lane, up.up AS peer_lane, up.gap + cf.cross_s_other AS c FROM g JOIN cf ON g.path LIKE '%/' || cf.lane || '/%' JOIN up ON up.lane = cf.other),
+om0 AS (SELECT a.episode, a.agent_id, a.frame_id, wt.goal_lane, p.speed, p.agent_id AS pid, wt.c - p.lon AS d FROM b a JOIN b p ON p.episode = a.episode AND p.frame_id = a.frame_id AND p.agent_id <> a.agent_id JOIN wt ON wt.start = a.lane AND wt.peer_lane = p.lane WHERE wt.c - p.lon > 0 AND wt.c - p.lon < 100),
+on1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode, agent_id, frame_id, goal_lane ORDER BY round(d, 9), pid) AS rn FROM om0) WHERE rn = 1),
+oc AS (SELECT a.episode, a.agent_id, a.frame_id, a.lane AS start, g.goal_lane, coalesce(on1.d, 100) AS oncoming_dist, coalesce(on1.speed, 20) AS oncoming_speed FROM b a JOIN g ON g.start = a.lane LEFT JOIN on1 ON on1.episode = a.episode AND on1.agent_id = a.agent_id AND on1.frame_id = a.frame_id AND on1.goal_lane = g.goal_lane)"""
+
+
+@query(f"WITH {S}, {L}, {CAND}, {GOALS}, {CROSSED}, {ONCOMING} SELECT agent_id, frame_id, goal_lane, round(oncoming_dist, 9) AS oncoming_dist, round(oncoming_speed, 9) AS oncoming_speed FROM oc")
 def oncoming_vehicles(spark: SparkSession, sf: str) -> DataFrame:
     """O-51, O-52, O-56, O-78; the nearest oncoming vehicle wins."""
-    net = Net(spark)
-    return oncoming(_located(spark, sf, net), net, net.goals()).drop("episode")
+    net = net_of(spark)
+    return oncoming(_located(spark, sf, net), net, net.goals()).select("agent_id", "frame_id", "goal_lane", r9("oncoming_dist").alias("oncoming_dist"), r9("oncoming_speed").alias("oncoming_speed"))
+
+
+EXITS = "e AS (SELECT start, goal_lane, CASE WHEN goal_type = 'exit-roundabout' AND path LIKE '%/r_in/%' THEN row_number() OVER (PARTITION BY start ORDER BY CASE WHEN goal_type = 'exit-roundabout' AND path LIKE '%/r_in/%' THEN 0 ELSE 1 END, len(string_split(path, '/')), goal_lane) ELSE 0 END AS exit_number FROM g)"
 
 
-@query(f"""WITH {S}, {L}, {CAND}, {GOALS}, e AS (SELECT start, goal_lane, CASE WHEN goal_type = 'exit-roundabout' AND path LIKE '%/r_in/%' THEN row_number() OVER (PARTITION BY start ORDER BY CASE WHEN goal_type = 'exit-roundabout' AND path LIKE '%/r_in/%' THEN 0 ELSE 1 END, len(string_split(path, '/')), goal_lane) ELSE 0 END AS exit_number FROM g)
+@query(f"""WITH {S}, {L}, {CAND}, {GOALS}, {EXITS}
 SELECT agent_id, frame_id, goal_lane, exit_number, exit_number = 0 AS exit_number_missing FROM b JOIN e ON e.start = b.lane""")
 def exit_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """O-84."""
-    net = Net(spark)
+    net = net_of(spark)
     nums = op.exit_numbers(net.goals(), net.flags, net.lanes)
     return _located(spark, sf, net).join(F.broadcast(nums), F.col("lane") == F.col("start")).select("agent_id", "frame_id", "goal_lane", "exit_number", (F.col("exit_number") == 0).alias("exit_number_missing"))
 
@@ -185,7 +234,7 @@ m AS (SELECT b.agent_id, b.frame_id, cf.goal_idx, g.goal_lane, g.goal_type, row_
 SELECT b.agent_id, b.frame_id, cf.goal_idx, m.goal_lane, m.goal_type FROM b CROSS JOIN cf LEFT JOIN m ON m.agent_id = b.agent_id AND m.frame_id = b.frame_id AND m.goal_idx = cf.goal_idx AND m.rn = 1""")
 def typed_goal_matches(spark: SparkSession, sf: str) -> DataFrame:
     """O-55: the first generated goal within 3.5 of each configured goal, null if none."""
-    net = Net(spark)
+    net = net_of(spark)
     conf = spark.sql("SELECT * FROM (VALUES (0, 55.0, 48.0), (1, 52.0, 55.0), (2, 45.0, 52.0), (3, 48.0, 45.0), (4, 500.0, 500.0)) AS v(goal_idx, cx, cy)")
     near = net.goals().join(F.broadcast(conf), F.hypot(F.col("gx") - F.col("cx"), F.col("gy") - F.col("cy")) <= 3.5)
     w = Window.partitionBy("start", "goal_idx").orderBy("depth", "goal_lane")
