@@ -99,7 +99,10 @@ def test_scoring_null_takes_false_branch(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "07_tracks.csv").write_text("recordingId,trackId,frame,trackLifetime,xCenter,yCenter,heading,width,length,xVelocity,yVelocity,xAcceleration,yAcceleration,lonAcceleration,latAcceleration\n7,1,0,0,1.0,2.0,180.0,2,4,1,0,0,0,0,0\n")
     (tmp_path / "07_tracksMeta.csv").write_text("recordingId,trackId,initialFrame,finalFrame,numFrames,width,length,class\n7,1,0,0,1,2,4,van\n")
-    (tmp_path / "07_recordingMeta.csv").write_text("recordingId,locationId,frameRate,startTime,duration,numVehicles,xUtmOrigin,yUtmOrigin,orthoPxToMeter\n7,1,25,0,1,1,0,0,0.1\n")
+    (tmp_path / "07_recordingMeta.csv").write_text("recordingId,locationId,frameRate,speedLimit,weekday,startTime,duration,numVehicles,xUtmOrigin,yUtmOrigin,orthoPxToMeter\n,1,25,13.9,2,8,1,1,0,0,0.1\n,1,30,13.9,2,9,1,1,0,0,0.1\n")
+    m = tables.read_recording_meta(spark, str(tmp_path / "07_recordingMeta.csv")).collect()
+    assert [(x.recordingId, x.frameRate, x.startTime, x.duration, x.numVehicles) for x in m] == [("07", 25.0, 8.0, 1.0, 1)]
+    (tmp_path / "07_recordingMeta.csv").write_text("orthoPxToMeter,frameRate,recordingId\n0.1,25,7\n")
     r = tables.read_recordings(spark, str(tmp_path)).first()
     assert (r.agent_type, r.fps, r.recording_id) == ("truck_bus", 25.0, "7") and r.heading == pytest.approx(math.pi)
     (tmp_path / "town.json").write_text('{"goals": [[1, 2], [3, 4]], "goal_types": [["a"], ["b", "c"]], "buildings": [[[0, 0], [1, 0], [1, 1]]]}')

@@ -52,7 +52,7 @@ def lane_candidates(states: DataFrame, segments: DataFrame, *, reach: float, ang
     near = states.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell)).join(spread, ["_cx", "_cy"])
     lon, dist = project(F.col("x"), F.col("y"))
     turn = angle_diff(F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")), F.col("heading"))
-    near = near.withColumn("lon", lon).withColumn("dist", dist).withColumn("turn", turn).filter((F.col("dist") <= reach) & (F.abs("turn") <= angle))
+    near = near.withColumn("lon", lon).withColumn("dist", dist).withColumn("turn", turn).filter((F.col("dist") <= reach) & (F.abs("turn") <= angle + 1e-9))
     best = F.min_by(F.struct("lon", "dist", "turn"), F.struct("dist", "seg"))
     return near.groupBy(*states.columns, "lane").agg(best.alias("_b")).select(*states.columns, "lane", "_b.lon", "_b.dist", "_b.turn")
 

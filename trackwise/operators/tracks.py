@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackwise.functions import angle_diff
+from trackwise.shared import spread
 
 AGENT = ["episode", "agent_id"]
 
@@ -28,7 +29,7 @@ def to_image(x: Column, y: Column, heading_deg: Column, metres_per_px: float) ->
 
 
 def life_spans(states: DataFrame) -> DataFrame:
-    """First and last frame, number of frames, seconds."""
+    """First and last frame, number of states and of frames."""
     return states.groupBy(*AGENT, "agent_type").agg(
         F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"), F.count("*").alias("n_states"),
     ).withColumn("num_frames", F.col("last_frame") - F.col("first_frame") + 1)
@@ -88,6 +89,7 @@ def trimmed(states: DataFrame, goals_of: DataFrame) -> DataFrame:
 
 def pairs(spans: DataFrame, fps: int) -> DataFrame:
     """Ordered ego-target pairs of an episode whose life spans overlap; the ego must live a second or more."""
+    spans = spread(spans, "episode")
     ego = spans.select("episode", F.col("agent_id").alias("ego_id"), F.col("first_frame").alias("_a"), F.col("last_frame").alias("_b"))
     met = spans.select("episode", "agent_id", "first_frame", "last_frame").join(ego, "episode").filter(
         (F.col("agent_id") != F.col("ego_id")) & (F.col("first_frame") <= F.col("_b")) & (F.col("_a") <= F.col("last_frame")) & (F.col("_b") - F.col("_a") + 1 >= fps)
@@ -97,6 +99,7 @@ def pairs(spans: DataFrame, fps: int) -> DataFrame:
 
 def peers(states: DataFrame) -> DataFrame:
     """Every other agent in the same frame of an episode, with its distance."""
+    states = spread(states, "episode", "frame_id")
     other = states.select("episode", "frame_id", F.col("agent_id").alias("peer_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     met = states.join(other, ["episode", "frame_id"]).filter(F.col("agent_id") != F.col("peer_id"))
     return met.withColumn("distance", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))).drop("_x", "_y")

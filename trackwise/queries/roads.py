@@ -13,7 +13,7 @@ from trackwise.operators import lanes as op
 from trackwise.operators import tracks
 from trackwise.operators.posterior import r9
 from trackwise.registry import query
-from trackwise.shared import static
+from trackwise.shared import spread, static
 
 LANES = """SELECT * FROM (VALUES
 ('w_in', 1, 10, NULL, NULL, 0.0, 48.0, 45.0, 48.0), ('w_out', 1, 11, NULL, NULL, 45.0, 52.0, 0.0, 52.0), ('e_in', 2, 20, NULL, NULL, 100.0, 52.0, 55.0, 52.0), ('e_out', 2, 21, NULL, NULL, 55.0, 48.0, 100.0, 48.0),
@@ -91,7 +91,7 @@ S = f"s AS (SELECT episode, agent_id, frame_id, x, y, heading, speed FROM ({prob
 L = f"""l AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len, atan2(y1 - y0, x1 - x0) AS lh FROM ({LANES})), k AS ({LINKS}), pr AS ({PRIORITIES})"""
 CAND = f"""c0 AS (SELECT s.*, lane, len, lh, x0, y0, x1, y1, least(1.0, greatest(0.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (len * len))) AS t, heading - lh AS d FROM s, l),
 c1 AS (SELECT *, t * len AS lon, sqrt((x - x0 - t * (x1 - x0)) * (x - x0 - t * (x1 - x0)) + (y - y0 - t * (y1 - y0)) * (y - y0 - t * (y1 - y0))) AS dist, d - 2 * pi() * floor((d + pi()) / (2 * pi())) AS turn FROM c0),
-c AS (SELECT * FROM c1 WHERE dist <= {REACH} AND abs(turn) <= pi() / 4),
+c AS (SELECT * FROM c1 WHERE dist <= {REACH} AND abs(turn) <= pi() / 4 + 1e-9),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode, agent_id, frame_id ORDER BY round(dist, 9), round(abs(turn), 9), lane) AS rn FROM c) WHERE rn = 1)"""
 #: Static goals: paths as text, first arrivals only; lanes that end a search are stops.
 GOALS = """st AS (SELECT lane FROM l WHERE (junction IS NOT NULL AND jgroup IS NULL) OR lane IN ('x_1', 'x_2', 'x_3') OR lane NOT IN (SELECT src FROM k)),
@@ -146,6 +146,7 @@ def route_features(spark: SparkSession, sf: str) -> DataFrame:
 def in_front(located: DataFrame, table: DataFrame) -> DataFrame:
     """Nearest vehicle ahead on each path: ``front_dist front_speed``, 100 and 20 where there is none."""
     t = F.broadcast(table.select("start", "goal_lane", F.col("lane").alias("peer_lane"), "s_before"))
+    located = spread(located, "episode", "frame_id")
     own = located.select(*KEY, F.col("lane").alias("start"), "lon")
     peer = located.select("episode", "frame_id", F.col("agent_id").alias("peer_id"), F.col("lane").alias("peer_lane"), F.col("lon").alias("_lon"), F.col("speed").alias("_v"))
     met = own.join(peer, ["episode", "frame_id"]).filter(F.col("agent_id") != F.col("peer_id")).join(t, ["start", "peer_lane"])
@@ -188,6 +189,7 @@ def oncoming(located: DataFrame, net: Net, goals: DataFrame) -> DataFrame:
     """Nearest vehicle upstream of a crossing with a lane we do not have priority over: ``oncoming_dist oncoming_speed``, 100 and 20 where there is none within 100."""
     paths = net.crossed.join(net.upstream.withColumnRenamed("lane", "other"), "other")
     watch = F.broadcast(paths.select("start", "goal_lane", F.col("up").alias("peer_lane"), (F.col("gap") + F.col("cross_s_other")).alias("_c")))
+    located = spread(located, "episode", "frame_id")
     own = located.select(*KEY, F.col("lane").alias("start"))
     peer = located.select("episode", "frame_id", F.col("agent_id").alias("peer_id"), F.col("lane").alias("peer_lane"), F.col("lon").alias("_lon"), F.col("speed").alias("_v"))
     met = own.join(peer, ["episode", "frame_id"]).filter(F.col("agent_id") != F.col("peer_id")).join(watch, ["start", "peer_lane"]).withColumn("_d", F.col("_c") - F.col("_lon"))

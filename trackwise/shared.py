@@ -32,3 +32,10 @@ def kept(df: DataFrame) -> DataFrame:
 def static(df: DataFrame) -> DataFrame:
     """A map's table, computed once: as small as the map, it is held on the driver and planned as a local relation."""
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to a fixed number of partitions, before a join that multiplies its rows: adaptive coalescing sees only the small input and would put it all in one task."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

@@ -29,20 +29,27 @@ def class_name(raw: Column) -> Column:
     return F.coalesce(known[raw], F.raise_error(F.concat(F.lit("unknown class: "), F.coalesce(raw, F.lit("null")))).cast("string"))
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(path)
-
-
 def recording_id() -> Column:
     """The recording's id from its file's name, e.g. ``07_tracks.csv``."""
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)_[A-Za-z]+\.csv[^/]*$", 1)
 
 
+def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The schema's columns by their names in the header, whatever their order; those the files lack are null. Files of one pattern share a header.
+
+    ``recordingId`` falls back to the file's name, ``_row`` orders the rows as they stand in the files.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    there = set(raw.columns)
+    cols = [(F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})") if f.name in there else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+    named = raw.select(*cols, recording_id().alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    return named.withColumn("recordingId", F.coalesce("recordingId", "_file")).drop("_file")
+
+
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     """Track states of one or many recordings (a glob), headings in radians; the recording id falls back to the file's name."""
-    t = _csv(spark, path, TRACKS).withColumn("_file", recording_id())
-    return t.select(
-        F.coalesce("recordingId", "_file").alias("recording_id"), F.col("trackId").alias("agent_id"), F.col("frame").alias("frame_id"), F.col("trackLifetime").alias("track_lifetime"),
+    return _csv(spark, path, TRACKS).select(
+        F.col("recordingId").alias("recording_id"), F.col("trackId").alias("agent_id"), F.col("frame").alias("frame_id"), F.col("trackLifetime").alias("track_lifetime"),
         F.col("xCenter").alias("x"), F.col("yCenter").alias("y"), F.radians("heading").alias("heading"), "width", "length",
         F.col("xVelocity").alias("vx"), F.col("yVelocity").alias("vy"), F.col("xAcceleration").alias("ax"), F.col("yAcceleration").alias("ay"), F.col("lonAcceleration").alias("lon_acc"), F.col("latAcceleration").alias("lat_acc"),
     )
@@ -50,16 +57,18 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_track_meta(spark: SparkSession, path: str) -> DataFrame:
     """Life span, size and class of each track."""
-    return _csv(spark, path, TRACK_META)
+    return _csv(spark, path, TRACK_META).drop("_row")
 
 
 def read_recording_meta(spark: SparkSession, path: str) -> DataFrame:
     """The first row of each recording's metadata."""
-    return _csv(spark, path, RECORDING_META).dropDuplicates(["recordingId"])
+    rows = _csv(spark, path, RECORDING_META)
+    first = rows.groupBy("recordingId").agg(F.min_by(F.struct(*RECORDING_META.fieldNames()), "_row").alias("r"))
+    return first.select("r.*")
 
 
 def read_recordings(spark: SparkSession, folder: str) -> DataFrame:
-    """States of all recordings of a folder with their metadata; joined by id, metadata broadcast as it holds a row per recording or track."""
+    """States of all recordings of a folder with their metadata, joined by recording and track."""
     tracks = read_tracks(spark, f"{folder}/*_tracks.csv")
     meta = read_track_meta(spark, f"{folder}/*_tracksMeta.csv").select(F.col("recordingId").alias("recording_id"), F.col("trackId").alias("agent_id"), F.col("class").alias("_class"))
     rec = read_recording_meta(spark, f"{folder}/*_recordingMeta.csv").select(F.col("recordingId").alias("recording_id"), F.col("frameRate").alias("fps"))

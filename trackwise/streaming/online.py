@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trackwise.shared import shared_folder
+
 
 def deduplicated(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str = "10 days") -> DataFrame:
     """Drop repeats of ``keys`` that come within the watermark."""
@@ -35,10 +37,11 @@ LAG_OUT = "agent_id long, frame_id long, speed_change double, dist_travelled dou
 LAG_STATE = "frames array<long>, xs array<double>, ys array<double>, speeds array<double>, hidden array<boolean>, first_seen long"
 
 
-def online_lags(stream: DataFrame, fps: int, seconds: int = 3) -> DataFrame:
-    """Lags and hidden history per agent from a stream of ``agent_id frame_id x y speed hidden``: emits at whole seconds.
+def online_lags(stream: DataFrame, fps: int, seconds: int = 3, ts: str | None = None, idle_ms: int = 3_600_000) -> DataFrame:
+    """Lags and hidden history per agent from a stream of ``agent_id frame_id x y speed hidden``: emits at whole seconds; repeats of a frame count once.
 
-    State is the last ``seconds`` of one agent, and goes when no row has come for an hour.
+    State is the last ``seconds`` of one agent. With ``ts``, a column under a watermark,
+    it goes ``idle_ms`` of event time after the agent's last row; without, it stays.
     """
     keep = seconds * fps
 
@@ -49,7 +52,8 @@ def online_lags(stream: DataFrame, fps: int, seconds: int = 3) -> DataFrame:
         frames, xs, ys, speeds, hidden, first = (list(v) if isinstance(v, (list, tuple)) else v for v in state.get) if state.exists else ([], [], [], [], [], -1)
         past = {f: (x, y, v, h) for f, x, y, v, h in zip(frames, xs, ys, speeds, hidden, strict=True)}
         out = []
-        for r in pd.concat(list(batches)).sort_values("frame_id").itertuples():
+        rows = pd.concat(list(batches)).drop_duplicates("frame_id").sort_values("frame_id")
+        for r in rows[~rows["frame_id"].isin(frames)].itertuples():
             past[int(r.frame_id)] = (float(r.x), float(r.y), float(r.speed), bool(r.hidden))
             if not r.hidden and first < 0:
                 first = int(r.frame_id)
@@ -60,10 +64,11 @@ def online_lags(stream: DataFrame, fps: int, seconds: int = 3) -> DataFrame:
         kept = sorted(past)
         cols = list(zip(*[past[f] for f in kept], strict=True)) if kept else [[], [], [], []]
         state.update((kept, *[list(c) for c in cols], first))
-        state.setTimeoutDuration(3_600_000)
+        if ts:
+            state.setTimeoutTimestamp(max(int(rows[ts].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=["agent_id", "frame_id", "speed_change", "dist_travelled", "occluded", "first_seen"])
 
-    return stream.groupBy("agent_id").applyInPandasWithState(step, LAG_OUT, LAG_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("agent_id").applyInPandasWithState(step, LAG_OUT, LAG_STATE, "append", GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
@@ -81,16 +86,6 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFr
     return spark.read.parquet(f"{run}/out")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local temporary one only where the cluster names none."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="spark-stream-")
-
-
 def replay_windows(spark: SparkSession, path: str) -> DataFrame:
     """The event table as a stream (``path`` is a pattern, so that one file or a folder of files will do): repeats dropped, hourly windows by agent, in complete mode so that the last windows are emitted too."""
     schema = spark.read.parquet(path).schema
@@ -101,3 +96,11 @@ def replay_windows(spark: SparkSession, path: str) -> DataFrame:
     )
     out = run_to_table(hourly.select("agent_id", F.col("w.start").alias("win"), "n_states", "mean_value", "any_hidden"), shared_folder(spark), "complete")
     return out.withColumn("win", F.col("win").cast("timestamp_ntz"))
+
+
+def replayed(table: DataFrame) -> DataFrame:
+    """A table as a stream: written to the shared folder, then read from there as it would arrive."""
+    spark = table.sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.readStream.schema(table.schema).parquet(path)
