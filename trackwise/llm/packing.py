@@ -1,12 +1,15 @@
 """Packing documents into fixed windows by Karmarkar-Karp multiway differencing.
 
 Every document becomes its token ids plus an end id. Whole windows are cut off
-documents longer than a window; the remainders of about ``block_windows`` windows are
-one block, and each block is partitioned by multiway differencing: partial partitions
-are merged largest spread first, the heaviest slot of one onto the lightest of the
-other, which leaves windows of nearly equal size. While a window exceeds the capacity
-by more than ``max_cut`` ids, the number of windows rises by one and the block is
-partitioned anew; an excess within ``max_cut`` is cut off and given to windows with room.
+documents longer than a window; the remainders of about ``block_windows`` windows, or of
+``block_docs`` documents, are one block, and each block is partitioned by multiway
+differencing: partial partitions are merged largest spread first, the heaviest slot of
+one onto the lightest of the other, which leaves windows of nearly equal size. Whenever
+the fullest window exceeds the capacity, the number of windows rises by one and the
+block is partitioned anew. Where that would leave more than ``slack`` of the block
+empty, as with many remainders of just over half a window, remainders are first cut in
+halves and the count starts again. Documents below ``LEAST`` ids go as bundles of
+neighbours.
 
 A block never leaves its input partition, so there is no shuffle, memory is bounded by
 a block and one batch, and a lost task is repeated with the same result. Sequence ids
@@ -27,68 +30,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackwise.llm.bytewords import chunks
+from trackwise.llm.text import light, slim
 from trackwise.llm.wordbpe import encoder
 
+LEAST = 64
+
+
 def multiway_difference(sizes: list[int], k: int) -> list[list[int]]:
-    """Partition item numbers into ``k`` groups of nearly equal total size."""
-    heap = []
-    for i, s in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = s
-        heap.append((-s, i, sums, [[i]] + [[] for _ in range(k - 1)]))
+    """Partition item numbers into ``k`` groups of nearly equal total size.
+
+    A partial partition holds its filled slots only, heaviest first; a slot is an item or
+    a node that joins two earlier slots.
+    """
+    n, left, right = len(sizes), [], []
+    heap = [(-s, i, np.array([s]), np.array([i])) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, i, a, ga = heapq.heappop(heap)
-        _, _, b, gb = heapq.heappop(heap)
-        total = a + b[::-1]
+        _, i, a, slot_a = heapq.heappop(heap)
+        _, _, b, slot_b = heapq.heappop(heap)
+        over = len(a) + len(b) - k  # slots in which both partitions hold something
+        if over > 0:
+            p, q = len(a) - over, len(b) - over
+            both = np.arange(n + len(left), n + len(left) + over)
+            left += slot_a[p:].tolist()
+            right += slot_b[q:][::-1].tolist()
+            total, slot = np.concatenate([a[:p], b[:q], a[p:] + b[q:][::-1]]), np.concatenate([slot_a[:p], slot_b[:q], both])
+        else:
+            total, slot = np.concatenate([a, b]), np.concatenate([slot_a, slot_b])
         order = np.argsort(-total, kind="stable")
-        total = total[order]
-        groups = [ga[j] + gb[k - 1 - j] for j in order]
-        heapq.heappush(heap, (int(total[-1] - total[0]), i, total, groups))
-    return heap[0][3] if heap else [[] for _ in range(k)]
-
-
-Piece = tuple[int, int, int]  # item, first id, end id
+        total, slot = total[order], slot[order]
+        heapq.heappush(heap, (-int(total[0] - (total[-1] if len(total) == k else 0)), i, total, slot))
+    groups = []
+    for slot in heap[0][3].tolist() if heap else []:
+        group, todo = [], [slot]
+        while todo:
+            at = todo.pop()
+            if at < n:
+                group.append(at)
+            else:
+                todo += [right[at - n], left[at - n]]
+        groups.append(group)
+    return groups + [[] for _ in range(k - len(groups))]
+
+
+Piece = tuple[int, int, int]  # document of the block, first id, end id
+
+
+def _bundled(sizes: list[int]) -> list[list[Piece]]:
+    """Items of one document, or of neighbours below ``LEAST`` ids."""
+    items: list[list[Piece]] = []
+    small: list[Piece] = []
+    held = 0
+    for i, s in enumerate(sizes):
+        if s >= LEAST:
+            items.append([(i, 0, s)])
+            continue
+        small.append((i, 0, s))
+        held += s
+        if held >= LEAST:
+            items.append(small)
+            small, held = [], 0
+    return [*items, small] if small else items
+
+
+def _halved(item: list[Piece], most: int) -> list[list[Piece]]:
+    """An item in parts of at most ``most`` ids."""
+    out: list[list[Piece]] = [[]]
+    room = most
+    for i, a, b in item:
+        while a < b:
+            if not room:
+                out.append([])
+                room = most
+            n = min(room, b - a)
+            out[-1].append((i, a, a + n))
+            a, room = a + n, room - n
+    return out
 
 
-def pack_block(sizes: list[int], capacity: int, max_cut: int) -> list[list[Piece]]:
+def pack_block(sizes: list[int], capacity: int, slack: float = 0.02) -> list[list[Piece]]:
     """Windows of pieces, none above ``capacity``."""
-    total = sum(sizes)
-    k = max(1, -(-total // capacity))
+    least = max(1, -(-sum(sizes) // capacity))
+    most, items = capacity, _bundled(sizes)
     while True:
-        groups = multiway_difference(sizes, k)
-        sums = [sum(sizes[i] for i in g) for g in groups]
-        over = [s - capacity for s in sums if s > capacity]
-        if not over or max(over) <= max_cut and sum(over) <= sum(capacity - s for s in sums if s < capacity):
-            break
-        k += 1
-    windows: list[list[Piece]] = [[(i, 0, sizes[i]) for i in g] for g in groups]
-    spare: list[Piece] = []
-    for w, s in zip(windows, sums, strict=True):
-        excess = s - capacity
-        while excess > 0:
-            i, a, b = max(w, key=lambda p: p[2] - p[1])
-            w.remove((i, a, b))
-            cut = min(excess, b - a)
-            spare.append((i, b - cut, b))
-            if b - cut > a:
-                w.append((i, a, b - cut))
-            excess -= cut
-    for w, s in zip(windows, sums, strict=True):
-        room = capacity - s
-        while room > 0 and spare:
-            i, a, b = spare.pop()
-            n = min(room, b - a)
-            w.append((i, a, a + n))
-            if a + n < b:
-                spare.append((i, a + n, b))
-            room -= n
-    return [w for w in windows if w]
+        parts = items if most == capacity else [x for item in items for x in _halved(item, most)]
+        weight = [sum(b - a for _, a, b in x) for x in parts]
+        k = least
+        while k <= least + max(1, int(least * slack)) or most <= 1:
+            groups = multiway_difference(weight, k)
+            if max(sum(weight[i] for i in g) for g in groups) <= capacity:
+                return [[p for i in g for p in parts[i]] for g in groups if g]
+            k += 1
+        most = max(1, most // 2)
 
 
 def pack(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
-    capacity: int = 4096, block_windows: int = 192, max_cut: int = 256,
+    capacity: int = 4096, block_windows: int = 192, block_docs: int = 65536, slack: float = 0.02,
 ) -> DataFrame:
     """One row per piece: ``doc_id start length ids doc_tokens sequence_id offset``; ``ids`` are little-endian 32-bit."""
 
@@ -101,7 +139,7 @@ def pack(
         held = 0
 
         def windows() -> Iterator[list[tuple[object, np.ndarray, int, int]]]:
-            for w in pack_block([len(x[1]) - x[2] for x in block], capacity, max_cut):
+            for w in pack_block([len(x[1]) - x[2] for x in block], capacity, slack):
                 yield [(block[i][0], block[i][1], block[i][2] + a, block[i][2] + b) for i, a, b in w]
 
         def rows(all_windows) -> pd.DataFrame:
@@ -126,7 +164,7 @@ def pack(
                 if full < len(ids):
                     block.append((d, ids, full))
                     held += len(ids) - full
-                    if held >= block_windows * capacity:
+                    if held >= block_windows * capacity or len(block) >= block_docs:
                         whole += windows()
                         block, held = [], 0
                 if len(whole) >= 512:
@@ -137,5 +175,6 @@ def pack(
         if block:
             yield rows(windows())
 
+    light(docs.sparkSession)
     named = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return named.mapInPandas(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return named.mapInPandas(slim(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
