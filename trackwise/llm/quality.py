@@ -1,14 +1,15 @@
 """Quality rules with cross-document line frequency (DataFrame functions only).
 
 Per document: word and symbol counts, repeated lines, repeated five-word windows.
-Across documents: normalised lines are hashed, the distinct documents of each host
+Across documents: normalised lines are hashed, the distinct documents (ids) of each host
 that hold a line are counted, lines above the limit are boilerplate, and a document
 whose remaining words are too few is rejected as depleted.
 
 Defined results: null text counts as empty (no words, ``base_failed`` is true); a
 null host is a host of its own; rows that repeat an id and a text share one verdict;
-documents that share most of their lines are one document to the line counts, so a page
-that is merely copied, or nearly, is left to deduplication; columns other than the named ones are kept
+rows without id are documents by their text; with ``near_once`` documents that share most
+of their lines are one document to the line counts, so that a page that is merely copied,
+or nearly, is left to deduplication; columns other than the named ones are kept
 out of the result. An empty table gives an empty result.
 """
 
@@ -140,13 +141,13 @@ def boilerplate_lines(lines: DataFrame, limit: int) -> DataFrame:
 def removed_words(docs: DataFrame, *, limit: int, salts: int, near_once: bool = True) -> DataFrame:
     """Per document (id and text) the words that stand in boilerplate lines, and the hashes of these ``lines``; only documents that have some.
 
-    ``near_once``: texts that share most of their lines are one document to the counts; otherwise each distinct text is one.
+    ``near_once``: documents that share most of their lines are one document to the counts; otherwise each id is one.
 
     A very common line is held by a large share of the rows, so the join key is
     salted: the boilerplate side is repeated ``salts`` times.
     """
     lines = _lines(docs)
-    hot = boilerplate_lines(_signed(lines, limit, salts) if near_once else lines, limit).select(
+    hot = boilerplate_lines(_signed(lines, limit, salts) if near_once else lines.withColumn("_text_hash", F.when(F.col("_id").isNotNull(), F.xxhash64("_id")).otherwise(F.col("_text_hash"))), limit).select(
         F.coalesce("_host", F.lit("")).alias("_h"), F.col("_host").isNull().alias("_hn"), "_line",
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
     )
@@ -159,8 +160,9 @@ def removed_words(docs: DataFrame, *, limit: int, salts: int, near_once: bool =
     return met.groupBy("_id", "_text_hash", "_at").agg(F.max("_n").alias("_n"), F.first("_line").alias("_line")).groupBy("_id", "_text_hash").agg(F.sum("_n").alias("removed_words"), F.collect_set("_line").alias("lines"))
 
 
-def _named(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
+def _named(docs: DataFrame, doc_id: str, text: str, host: str, *more: Column) -> DataFrame:
     return docs.select(
+        *more,
         F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(host).cast("string").alias("_host"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text_hash"),
     )
@@ -168,13 +170,13 @@ def _named(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
 
 def quality_rules(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-    limit: int = 20, min_left: int = 10, salts: int = 32, near_once: bool = True,
+    limit: int = 20, min_left: int = 10, salts: int = 32, near_once: bool = False,
 ) -> DataFrame:
     """Counts and verdict per row of ``docs``.
 
     ``limit``: a line is boilerplate when more distinct documents of its host hold it.
     ``min_left``: a document is depleted when fewer words than this are left.
-    ``near_once``: see ``removed_words``; the query's SQL counts every distinct text.
+    ``near_once``: see ``removed_words``.
     """
     own = _named(docs, doc_id, text, host)
     counted = document_counts(own, text="_text").drop("_text", "_host")
@@ -198,17 +200,21 @@ def keep_good(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars",
     limit: int = 20, min_left: int = 10, salts: int = 32,
 ) -> DataFrame:
-    """The rows of ``docs`` that pass, their texts without boilerplate lines and ``n_chars``, if there is one, by the text left; other columns unchanged."""
-    own = docs.withColumns({"_id": F.col(doc_id), "_text": F.col(text), "_host": F.col(host).cast("string"), "_text_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    """The rows of ``docs`` that pass, their texts without boilerplate lines and ``n_chars``, if there is one, by the text left; other columns unchanged, whatever their names.
+
+    Near copies count once here (see ``removed_words``). Null and empty texts go, rows that
+    repeat an id and text stay or go together, an empty table stays empty.
+    """
+    own = _named(docs.select("*", F.struct("*").alias("__row")), doc_id, text, host, F.col("__row"))
     counted = document_counts(own, text="_text")
     good = counted.filter((F.col("n_words") >= 10) & (100 * F.col("n_repeat_words") <= 20 * F.col("n_words")))
-    named = _named(docs, doc_id, text, host)
-    few = removed_words(named, limit=limit, salts=salts).withColumnsRenamed({"_id": "_rid", "_text_hash": "_rhash", "removed_words": "_gone", "lines": "_hot_lines"})
+    few = removed_words(_named(docs, doc_id, text, host), limit=limit, salts=salts).withColumnsRenamed({"_id": "_rid", "_text_hash": "_rhash", "removed_words": "_gone", "lines": "_hot_lines"})
     met = good.join(few, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_text_hash") == F.col("_rhash")), "left")
     passed = met.filter(F.col("_gone").isNull() | (F.col("n_words") - F.col("_gone") >= min_left))
-    left = F.when(F.col("_gone").isNull(), met[text]).otherwise(without_lines(met[text], F.col("_hot_lines")))
-    new = {text: left, n_chars: F.when(F.col("_gone").isNull(), met[n_chars]).otherwise(F.char_length(left).cast(docs.schema[n_chars].dataType))} if n_chars in docs.columns else {text: left}
-    return passed.select(*[new[c].alias(c) if c in new else met[c] for c in docs.columns])
+    field = lambda c: F.col("__row").getField(c)
+    left = F.when(F.col("_gone").isNull(), field(text)).otherwise(without_lines(field(text), F.col("_hot_lines")))
+    new = {text: left, n_chars: F.when(F.col("_gone").isNull(), field(n_chars)).otherwise(F.char_length(left).cast(docs.schema[n_chars].dataType))} if n_chars in docs.columns else {text: left}
+    return passed.select(*[new.get(c, field(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
@@ -221,7 +227,7 @@ rep AS (SELECT doc_id, g FROM win2 GROUP BY doc_id, g HAVING count(*) > 1),
 cov AS (SELECT DISTINCT win2.doc_id, i + k AS p FROM win2 JOIN rep ON rep.doc_id = win2.doc_id AND rep.g = win2.g, range(0, 5) r(k)),
 nrep AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id),
 ln AS (SELECT doc_id, source, th, trim(regexp_replace(lower(unnest(ls)), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS l FROM w),
-hot AS (SELECT source, l FROM (SELECT source, l, count(DISTINCT th) AS n FROM ln GROUP BY source, l) WHERE n > 20),
+hot AS (SELECT source, l FROM (SELECT source, l, count(DISTINCT doc_id) AS n FROM ln GROUP BY source, l) WHERE n > 20),
 gone AS (SELECT ln.doc_id, sum(len(ln.l) - len(replace(ln.l, ' ', '')) + 1) AS n FROM ln JOIN hot ON hot.source IS NOT DISTINCT FROM ln.source AND hot.l = ln.l GROUP BY ln.doc_id),
 x AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
              len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
