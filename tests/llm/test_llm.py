@@ -89,7 +89,7 @@ def test_tiles_split_large_groups(spark):
 
 
 def test_packing(docs, empty):
-    got = packing.pack(docs, capacity=64, block_windows=4, max_cut=8).collect()
+    got = packing.pack(docs, capacity=64, block_windows=4).collect()
     enc = packing.encoder("word_bpe_49k.json").tok
     want = sorted((str(d), bytes(np.array([*enc.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for d, t, *_ in corpus())
     by_doc, seqs = {}, {}
@@ -106,6 +106,32 @@ def test_packing(docs, empty):
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in g) for g in groups) in ([14, 16], [15, 15])
 
 
+def test_packing_raises_the_count_and_survives_tiny_documents():
+    r = np.random.default_rng(2)
+    for sizes in ([2100] * 300, [1] * 20_000, [int(x) for x in r.integers(1, 4096, 900)], [4095, 1, 4095], [4095, 2, 4095], [3]):
+        windows = packing.pack_block(sizes, 4096)
+        assert max(sum(b - a for _, a, b in w) for w in windows) <= 4096
+        assert len(windows) <= -(-sum(sizes) // 4096) * 1.02 + 1
+        got = sorted(p for w in windows for p in w)
+        ends = {i: s for i, s in enumerate(sizes)}
+        at = dict.fromkeys(ends, 0)
+        for i, a, b in got:
+            assert a == at[i]
+            at[i] = b
+        assert at == ends
+
+
+def test_clashing_columns(spark):
+    rows = [(i, " ".join(words(30, i)), "en", "h", 3, i, "x", "y", "z", 1.5) for i in range(40)] + [(40, " ".join(words(30, 3)), "en", "h", 3, 40, "x", "y", "z", 1.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words long, _gone string, _id string, lang_pred string, score double")
+    for kept in (quality.keep_good(docs), jaccard.keep_one(docs), langid.keep_known(docs)):
+        assert kept.columns == docs.columns
+        got = {r.doc_id: r for r in kept.collect()}
+        assert got[5] == rows[5] and set(range(40)) <= set(got)
+    assert 40 not in {r.doc_id for r in jaccard.keep_one(docs).collect()}
+    assert langid.predict(docs, langid.train(docs)).columns == [c for c in docs.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"]
+
+
 def test_token_counts(docs, empty):
     enc, _ = tokencount._encoder("byte_bpe_50k.tiktoken")
     got = tokencount.token_counts(docs).collect()
@@ -201,8 +227,8 @@ def test_near_copies_are_left_to_deduplication(spark):
     docs = spark.createDataFrame([(i, t, None, "h", None, None, None) for i, t in enumerate(texts)], SCHEMA)
     good = quality.keep_good(docs)
     assert {r.doc_id for r in good.collect()} == set(range(175))
-    assert {r.doc_id: r.kept for r in quality.quality_rules(docs).collect()} == {i: i < 175 for i in range(176)}
-    assert not any(r.kept for r in quality.quality_rules(docs, near_once=False).collect() if r.doc_id < 150)
+    assert {r.doc_id: r.kept for r in quality.quality_rules(docs, near_once=True).collect()} == {i: i < 175 for i in range(176)}
+    assert not any(r.kept for r in quality.quality_rules(docs).collect() if r.doc_id < 150)
     left = [r.doc_id for r in jaccard.keep_one(good).collect()]
     assert [i for i in left if i < 100] == [0] and [i for i in left if 100 <= i < 150] == [100] and len(left) == 27
 

@@ -56,7 +56,7 @@ class Words:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 
 
-def chunks(texts: list, max_bytes: int = 12_000_000) -> Iterator[tuple[int, list]]:
+def chunks(texts: list, max_bytes: int = 3_000_000) -> Iterator[tuple[int, list]]:
     """Runs of whole texts of about ``max_bytes``, with the number of the first."""
     at, held, first = [], 0, 0
     for i, t in enumerate(texts):

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackwise.llm.bytewords import Words, chunks, distinct
-from trackwise.llm.text import cut_lineage, written
+from trackwise.llm.text import cut_lineage, light, slim, written
 
 DEPTH, CLASSES, LEVELS = 5, 64, 6
 END = 0xFF
@@ -108,7 +108,7 @@ def coded_runs(own: DataFrame) -> DataFrame:
         if held:
             yield codes(group)
 
-    return written(own.mapInPandas(run, "run long, rid long, _id long, _text string, _held boolean, code long, n long"))
+    return written(own.mapInPandas(slim(run), "run long, rid long, _id long, _text string, _held boolean, code long, n long"))
 
 
 def pack_codes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ def word_counts(rows: DataFrame, text: str) -> DataFrame:
                 yield pd.DataFrame({"key": pd.array(value, "Int64"), "n": n})
         yield pd.DataFrame({"key": pd.array([None], "Int64"), "n": [docs]})
 
-    return rows.select(text).mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.select(text).mapInPandas(slim(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -343,7 +343,7 @@ def code_table(coded: DataFrame) -> DataFrame:
             code = pdf["code"].to_numpy(np.int64)
             yield pd.DataFrame({"code": code, "lp": top.value.log10(code, np.frombuffer(b"".join(pdf["deep"]), np.float32).reshape(-1, 8)).astype(np.float32)})
 
-    return nodes.filter(F.col("code").isNotNull()).select("code", "deep").mapInPandas(answer, "code long, lp float")
+    return nodes.filter(F.col("code").isNotNull()).select("code", "deep").mapInPandas(slim(answer), "code long, lp float")
 
 
 def _held_out(doc_id: str, mod: int, remainder: int) -> Column:
@@ -352,6 +352,7 @@ def _held_out(doc_id: str, mod: int, remainder: int) -> Column:
 
 def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mod: int = 7, remainder: int = 2) -> DataFrame:
     """Per row of ``docs``: base counts and scores, the model's log10 probability and bits per byte; see the module."""
+    light(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), _held_out(doc_id, mod, remainder).alias("_held"))
     spark = docs.sparkSession
     coded = coded_runs(own)

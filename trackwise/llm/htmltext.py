@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackwise.llm.text import light, slim
+
 # Groups of HTML elements.
 HIDDEN = frozenset("script style noscript template head title svg math canvas iframe object audio video select option datalist textarea button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
@@ -320,6 +322,7 @@ def train(pages: DataFrame, *, html: str = "html", sample_pages: int = 200, samp
 
 def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", model: Crf | None = None, **training) -> DataFrame:
     """Per row of ``pages``: ``page_id url text``; without a model one is trained on labelled pages."""
+    light(pages.sparkSession)
     crf = model or train(pages, html=html, **training) or Crf({})
     shared = pages.sparkSession.sparkContext.broadcast(crf)
 
@@ -329,4 +332,4 @@ def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
             yield pdf.assign(text=[m.main_text(h) for h in pdf["_html"]]).drop(columns="_html")
 
     named = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("_html"))
-    return named.mapInPandas(run, "page_id long, url string, text string")
+    return named.mapInPandas(slim(run), "page_id long, url string, text string")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from trackwise.llm.bytewords import Words, chunks, mix
 from trackwise.llm.graph import components
-from trackwise.llm.text import written
+from trackwise.llm.text import light, slim, written
 
 WORDS = 5
 SHARED = 16
@@ -121,7 +121,7 @@ def _hot(rows: DataFrame, n_docs: int) -> np.ndarray:
                 yield pd.DataFrame({"key": key.view(np.int64), "n": n})
 
     least = max(8, SAMPLE_DOCS // SAMPLE_SHARE)
-    found = some.mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    found = some.mapInPandas(slim(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return np.sort(found.orderBy(F.desc("n"), "key").limit(MAX_HOT).toPandas()["key"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -136,7 +136,7 @@ def _sets(rows: DataFrame) -> DataFrame:
                 frame.insert(0, "_id", pdf["_id"].iloc[at : at + len(part)].array)
                 yield frame
 
-    return rows.mapInPandas(run, "_id long, n long, cls long")
+    return rows.mapInPandas(slim(run), "_id long, n long, cls long")
 
 
 def _first(rows: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -157,7 +157,7 @@ def _first(rows: DataFrame, hot: np.ndarray) -> DataFrame:
                 for at in range(0, len(key), 200_000):
                     yield pd.DataFrame({"key": key[at : at + 200_000], "cls": cls[at : at + 200_000]})
 
-    return rows.filter(F.col("_id").isNotNull()).select("_text").mapInPandas(run, "key long, cls long")
+    return rows.filter(F.col("_id").isNotNull()).select("_text").mapInPandas(slim(run), "key long, cls long")
 
 
 def _members(first: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _members(first: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key": key[held], "cls": cls[held]})
             key, cls, told = key[-1:], cls[-1:], last_told
 
-    return first.repartition("key").sortWithinPartitions("key", "cls").mapInPandas(run, "key long, cls long")
+    return first.repartition("key").sortWithinPartitions("key", "cls").mapInPandas(slim(run), "key long, cls long")
 
 
 def _led(tagged: DataFrame, order: Column) -> DataFrame:
@@ -203,7 +203,7 @@ def _led(tagged: DataFrame, order: Column) -> DataFrame:
             lead = tuple(int(x[at[-1]]) for x in (key, band, cls, comp))
 
     rows = tagged.select("key", _band(F.col("n")).alias("band"), "cls", "comp", order.alias("_order"))
-    met = rows.repartition("key").sortWithinPartitions("key", "band", "_order", "cls").select("key", "band", "cls", "comp").mapInPandas(run, "a long, b long, times long")
+    met = rows.repartition("key").sortWithinPartitions("key", "band", "_order", "cls").select("key", "band", "cls", "comp").mapInPandas(slim(run), "a long, b long, times long")
     counted = met.groupBy("b", "a").agg(F.sum("times").alias("times"))
     return counted.groupBy("b").agg(F.max(F.struct("times", "a"))["a"].alias("a")).select("a", "b")
 
@@ -274,7 +274,7 @@ def _compared(pairs: DataFrame, rows: DataFrame, info: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     met = _texts(rows, wanted).repartition("a", "fan").sortWithinPartitions("a", "fan", "role")
-    return met.mapInPandas(meet, "a long, b long").distinct()
+    return met.mapInPandas(slim(meet), "a long, b long").distinct()
 
 
 def _signs(pairs: DataFrame, rows: DataFrame, info: DataFrame) -> DataFrame:
@@ -285,11 +285,12 @@ def _signs(pairs: DataFrame, rows: DataFrame, info: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, part in chunks(list(pdf["_text"])):
+            wanted_texts = pdf["_text"][_passes(bits.value, pdf["_slot"].to_numpy(np.int64))]
+            for _, part in chunks(list(wanted_texts)):
                 yield pd.DataFrame([(set_hash(u), len(u), bitmap(u)) for u in shingles(part) if len(u)], columns=["cls", "n", "bits"])
 
     # bitmaps are made before the shuffle, as they are smaller than texts
-    made = rows.filter(F.col("_id").isNotNull() & _may_be_in(F.col("_id"), bits)).select("_text").mapInPandas(run, "cls long, n long, bits binary")
+    made = rows.filter(F.col("_id").isNotNull()).select("_text", _slot(F.col("_id")).alias("_slot")).mapInPandas(slim(run), "cls long, n long, bits binary")
     return written(made.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
 
 
@@ -324,7 +325,7 @@ def _bounded(pairs: DataFrame, signs: DataFrame) -> DataFrame:
                 x, y = (pdf[c].to_numpy(object) for c in ("ya", "yb"))
                 yield pdf.loc[may_link(pdf["na"].to_numpy(np.int64), x, pdf["nb"].to_numpy(np.int64), y), ["a", "b"]]
 
-    return met.mapInPandas(check, "a long, b long")
+    return met.mapInPandas(slim(check), "a long, b long")
 
 
 def _tile_pairs(tiles: DataFrame) -> DataFrame:
@@ -348,12 +349,12 @@ def _tile_pairs(tiles: DataFrame) -> DataFrame:
         for m in np.unique(size[size > 1]):
             up, right = np.triu_indices(m, 1)
             first = start[size == m]
-            step = max(1, 500_000 // len(up))
+            step = max(1, 200_000 // len(up))
             for at in range(0, len(first), step):
                 f = first[at : at + step, None]
                 got.append(met(n, comp, cls, side, (f + up).ravel(), (f + right).ravel()))
                 held += len(got[-1])
-                if held > 500_000:
+                if held > 200_000:
                     yield counted(got)
                     got, held = [], 0
         if held:
@@ -371,7 +372,7 @@ def _tile_pairs(tiles: DataFrame) -> DataFrame:
         if held is not None and len(held):
             yield from whole(held)
 
-    pairs = tiles.repartition("tile").sortWithinPartitions("tile").mapInPandas(run, "a long, b long, least long, times long")
+    pairs = tiles.repartition("tile").sortWithinPartitions("tile").mapInPandas(slim(run), "a long, b long, least long, times long")
     return pairs.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("times").alias("times")).filter(F.col("times") >= F.col("least")).select("a", "b")
 
 
@@ -416,6 +417,7 @@ def _band(n: Column) -> Column:
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block: int = 512) -> DataFrame:
     """Per row of ``docs``: ``doc_id n_shingles component_id``."""
+    light(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     sets = written(_sets(rows))
     hot = _hot(rows, sets.count())
@@ -446,6 +448,10 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bloc
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, and those without id; columns unchanged."""
+    """The rows of ``docs`` with the smallest id of their component, and those without id; columns unchanged, whatever their names.
+
+    Rows that repeat an id stay or go together; empty texts are linked with nothing and stay; an empty table stays empty.
+    """
     gone = classes(docs, doc_id=doc_id, text=text).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    own = docs.select(F.struct("*").alias("_row"), F.col(doc_id).cast("long").alias("_id"))
+    return own.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

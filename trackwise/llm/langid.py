@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackwise.llm.text import light, slim
+
 BITS, MAX_N = 15, 3
 DIM = 1 << BITS
 _LETTER = re.compile(r"[^\W\d_]")
@@ -117,6 +119,7 @@ def _remainder(doc_id: str, mod: int) -> Column:
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_out_mod: int = 5, rows_per_lang: int = 800, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 4) -> Model:
     """Fit a model on the documents of non-null language whose crc32 of the id is not divisible by ``held_out_mod``."""
+    light(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"))
     rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (_remainder("_id", held_out_mod) != 0))
     n_of = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
@@ -143,7 +146,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
         yield pd.DataFrame({"bucket": at, "n": df[at], "id": None, "lang": None, "at": None, "count": None})
 
     cols = ["bucket", "n", "id", "lang", "at", "count"]
-    seen = rows.select("_id", "_text", "_lang", drawn.alias("_drawn")).mapInPandas(one_pass, "bucket long, n long, id string, lang string, at binary, count binary")
+    seen = rows.select("_id", "_text", "_lang", drawn.alias("_drawn")).mapInPandas(slim(one_pass), "bucket long, n long, id string, lang string, at binary, count binary")
     # one row per bucket and one per drawn document: both bounded by the parameters
     summed = seen.groupBy("bucket", "id", "lang", "at", "count").agg(F.sum("n").alias("n")).toPandas()
     freq = summed[summed["bucket"] >= 0]
@@ -164,7 +167,8 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """``docs`` with columns ``lang_pred`` and ``score``; only the text is read for the prediction."""
+    """``docs`` with columns ``lang_pred`` and ``score``, in the place of any that have these names; only the text is read for the prediction. Of equal probabilities the first language by name wins."""
+    light(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -172,8 +176,9 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         m = shared.value
         return pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.withColumn("_guess", guess(F.col(text)))
-    return out.select(*[out[c] for c in docs.columns], F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score"))
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    out = docs.select(F.struct(*rest).alias("_row"), guess(F.col(text)).alias("_guess"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in rest], F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score"))
 
 
 def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_out_mod: int = 5, **fit) -> DataFrame:
@@ -185,7 +190,7 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
 
 
 def keep_known(docs: DataFrame, *, min_score: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **fit) -> DataFrame:
-    """The rows of ``docs`` whose language is told with at least ``min_score``, columns unchanged."""
+    """The rows of ``docs`` whose language is told with at least ``min_score``, columns unchanged, whatever their names; texts that are null, empty or without letters go, rows that repeat an id are judged by their own texts, an empty table stays empty."""
     model = train(docs, doc_id=doc_id, text=text, lang=lang, **fit)
     tagged = predict(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), model, text="_text")
     return tagged.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("_row.*")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 #: White space is the space and the control characters 09-0D; a word is a run of anything else.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
+BATCH_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,37 +27,52 @@ def words(text: Column) -> Column:
     return F.filter(cut, lambda w: w != "")
 
 
-def n_splits(spark: SparkSession, df: DataFrame) -> int:
-    """Number of shuffle partitions the session asks for."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def light(spark: SparkSession) -> None:
+    """Keep the batches sent to Python below ``BATCH_BYTES``, so that runs of very long texts do not fill a worker's memory; results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def slim(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, its freed memory given back to the system at its end: Python workers outlive a stage and share their executor's memory."""
 
-    The folder is what ``spark.checkpoint.dir`` names; only where that is unset
-    (tests on one machine) a local temporary folder is used.
-    """
-    spark = df.sparkSession
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow
+
+        yield from run(batches)
+        pyarrow.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # other C libraries keep it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """What ``spark.checkpoint.dir`` names; on one machine, where it is unset, a temporary folder. A cluster without it is an error."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            import tempfile
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder:
+        return folder
+    if not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    import tempfile
+
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+    return sc.getCheckpointDir()
+
 
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(folder)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed columnar table in the shared checkpoint folder: less disk than a checkpoint."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-tables-")
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

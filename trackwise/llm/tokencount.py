@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackwise.llm.text import light, slim
+
 
 @lru_cache(maxsize=2)
 def _encoder(name: str):
@@ -77,6 +79,7 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ``sections``: an array of structs ``start, stop`` in characters, sorted, not
     overlapping; if none is given, the lines of the text.
     """
+    light(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, sizes = _encoder(tokenizer)
@@ -108,4 +111,4 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 yield frame
 
     named = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), (F.lit(None).cast("string") if sections is None else sections).alias("_sections"))
-    return named.mapInPandas(run, "doc_id long, section long, char_start long, char_end long, n_tokens long, n_boundary long, doc_tokens long")
+    return named.mapInPandas(slim(run), "doc_id long, section long, char_start long, char_end long, n_tokens long, n_boundary long, doc_tokens long")
