@@ -10,26 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackwise.llm import jaccard, langid, packing, quality
-from trackwise.llm.text import cut_lineage
+from trackwise.llm.text import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules, without their boilerplate lines; null and empty texts go."""
     return quality.keep_good(docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a calibrated probability of a half or more."""
+    """Documents whose language is told with a calibrated probability of a half or more; texts without letters go."""
     return langid.keep_known(docs)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies, the one of the smallest id."""
+    """One document of each group of exact and near copies, the one of the smallest id; rows that repeat an id stay or go together."""
     return jaccard.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of windows of 4096 tokens."""
+    """The pieces of windows of 4096 tokens; an empty table gives none."""
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
@@ -40,7 +40,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither the fitted language model nor the packing; tests hold the stages against brute force.
+#: SQL can express neither the fitted language model nor the packing.
 ORACLE_SQL = None
 
 
@@ -49,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = cut_lineage(docs)
+            docs = written(docs)
     return docs
