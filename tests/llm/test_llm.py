@@ -348,15 +348,38 @@ def test_context_tree_keeps_every_context(spark):
     assert len(got) == len(texts) and np.allclose([got[i] for i in range(1, len(texts))], want, atol=1e-3, rtol=1e-5)
 
 
-def test_lattice_is_the_library(docs, empty):
-    import public_tokenizers
-    import sentencepiece
-
-    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    got = piecelattice.encode(docs).collect()
-    assert sorted((str(r.doc_id), list(r.ids)) for r in got) == sorted((str(d), m.encode(t or "")) for d, t, *_ in corpus())
+def brute_pieces(text, table, longest, least):
+    """Ids of the best path over the whole marked text, without any cut into segments."""
+    t = piecelattice.MARK + text.replace(" ", piecelattice.MARK)
+    best, back = [0.0], [None]
+    for e in range(1, len(t) + 1):
+        options = []
+        for n in range(1, min(longest, e) + 1):
+            hit = table.get(t[e - n : e])
+            if hit or n == 1:
+                options.append((best[e - n] + (hit[1] if hit else least - piecelattice.UNKNOWN), -n, hit[0] if hit else None))
+        total, n, i = max(options, key=lambda o: (o[0], o[1]))
+        best.append(total)
+        back.append((-n, i))
+    out, e = [], len(t)
+    while e:
+        n, i = back[e]
+        out += [i] if i is not None else [b + piecelattice.FIRST_BYTE for b in reversed(t[e - 1].encode())]
+        e -= n
+    return out[::-1]
+
+
+def test_lattice_takes_the_best_path(spark, docs, empty):
+    rows, longest = piecelattice.pieces(spark, "piece_bpe_32k.model")
+    table, least = {p: (i, v) for p, i, v in rows}, min(r[2] for r in rows)
+    texts = [t for _, t, *_ in corpus()] + ["a" * 700, "日本語のテキスト。漢字 123 abc,def! \U0001f600", "  two  spaces\n\nx"]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts[-3:], 100)), "doc_id long, text string"))
+    got = piecelattice.encode(more).collect()
+    want = sorted((str(d), brute_pieces(t, table, longest, least) if t else []) for d, t in [*[(r[0], r[1]) for r in corpus()], *enumerate(texts[-3:], 100)])
+    assert sorted((str(r.doc_id), list(r.ids)) for r in got) == want
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
     assert piecelattice.encode(empty).count() == 0
+    assert piecelattice.cut_of(["ab"]) == piecelattice.FINE and piecelattice.cut_of(["a1"]) == piecelattice.COARSE
 
 
 def test_html(spark):
