@@ -10,9 +10,11 @@ its end.
 
 The tree is a distributed table: subtrees below contexts of ``TOP`` bytes are weighed
 where their counts lie, and only the nodes above them (at most 257 contexts of 255
-decisions) reach the driver. Texts are scored in runs; a run's distinct codes are joined
-to the table of log10 probabilities and meet the run's texts again. ``Tree`` is the same
-model held in one place, over fewer symbols and with dropped contexts.
+decisions) reach the driver. Texts are scored in runs. The distinct codes (contexts with
+the next byte) of a run travel as packed arrays, one for each of ``BUCKETS`` groups of
+subtrees; a bucket's arrays are merged one after another, so a task holds the distinct
+codes of a bucket, not their occurrences; the answers go back to the runs' texts.
+``Tree`` is the same model held in one place, over fewer symbols and with dropped contexts.
 
 Beside it stands a unigram base over words: sum of log10((c + 1) / (N + V + 1)). Words
 are known by a 64-bit hash. Words with at least 1/2**20 of the tokens (so at most 2**20
@@ -31,11 +33,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackwise.llm.bytewords import Words, chunks, distinct
+from trackwise.llm.bytewords import Words, chunks, distinct, mix
 from trackwise.llm.text import cut_lineage, light, slim, written
 
 DEPTH, CLASSES, LEVELS = 5, 64, 6
@@ -44,7 +47,7 @@ END = 0xFF
 CHUNK = 4_000_000
 OTHER = CLASSES - 1
 #: Bytes of text that share one list of codes, context bytes of a subtree's root, and groups of subtrees.
-GROUP, TOP, BUCKETS = 16_000_000, 2, 1024
+GROUP, TOP, BUCKETS = 24_000_000, 2, 1024
 WORD_SHARE = 1 << 20
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -74,10 +77,37 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return value[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def packed(x: np.ndarray) -> bytes:
+    """An array as compressed bytes, its size in front."""
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(b: bytes, dtype: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd"), dtype)
+
+
+def packed_codes(code: np.ndarray) -> bytes:
+    """Ascending codes, by their steps."""
+    return packed(np.diff(code, prepend=0))
+
+
+def unpacked_codes(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b, np.int64))
+
+
+def bucket_of(code: np.ndarray) -> np.ndarray:
+    """The bucket of a code's newest ``TOP`` context bytes."""
+    return (mix(((code >> 8) & ((1 << 8 * TOP) - 1)).astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+_RUNS = "run long, rid long, _id long, _text string, _held boolean, bucket int, codes binary, n binary"
+
+
 def coded_runs(own: DataFrame) -> DataFrame:
     """Texts in runs of about ``GROUP`` bytes, with each run's distinct codes of DEPTH + 1 bytes, written once.
 
-    Rows of a text have ``run rid _id _text _held``, rows of a code ``run code n``,
+    Rows of a text have ``run rid _id _text _held``, rows of codes ``run bucket codes n``,
     where ``n`` counts the training texts only (0: held-out texts alone have it).
     """
 
@@ -85,11 +115,18 @@ def coded_runs(own: DataFrame) -> DataFrame:
         part_id = TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         group = size = row = 0
+        blank = lambda k, kind: pd.array([None] * k, kind)
 
         def codes(group: int) -> pd.DataFrame:
             code, n = _merged(held)
             held.clear()
-            return pd.DataFrame({"run": (part_id << 33) + group, "rid": pd.array([None] * len(code), "Int64"), "_id": pd.array([None] * len(code), "Int64"), "_text": None, "_held": None, "code": pd.array(code, "Int64"), "n": pd.array(n, "Int64")})
+            bucket = bucket_of(code)
+            order = np.argsort(bucket, kind="stable")
+            code, n, bucket = code[order], n[order], bucket[order]
+            own, cut = np.unique(bucket, return_index=True)
+            ends = np.append(cut[1:], len(code))
+            k = len(own)
+            return pd.DataFrame({"run": (part_id << 33) + group, "rid": blank(k, "Int64"), "_id": blank(k, "Int64"), "_text": None, "_held": None, "bucket": pd.array(own, "Int32"), "codes": [packed_codes(code[a:b]) for a, b in zip(cut, ends, strict=True)], "n": [packed(n[a:b].astype(np.uint32)) for a, b in zip(cut, ends, strict=True)]})
 
         for pdf in batches:
             for at, part in chunks(list(pdf["_text"]), CHUNK):
@@ -100,15 +137,18 @@ def coded_runs(own: DataFrame) -> DataFrame:
                 for chosen, weight in ((learn, 1), (~learn, 0)):
                     value, n = np.unique(code[chosen], return_counts=True)
                     held.append((value, n * weight))
-                yield pd.DataFrame({"run": (part_id << 33) + group, "rid": pd.array((part_id << 33) + row + np.arange(len(part)), "Int64"), "_id": pd.array(frame["_id"], "Int64"), "_text": part, "_held": frame["_held"].to_numpy(bool), "code": pd.array([None] * len(part), "Int64"), "n": pd.array([None] * len(part), "Int64")})
-                row, size = row + len(part), size + len(buf)
+                if sum(len(v) for v, _ in held) > 3_000_000:
+                    held[:] = [_merged(held)]
+                k = len(part)
+                yield pd.DataFrame({"run": (part_id << 33) + group, "rid": pd.array((part_id << 33) + row + np.arange(k), "Int64"), "_id": pd.array(frame["_id"], "Int64"), "_text": part, "_held": frame["_held"].to_numpy(bool), "bucket": blank(k, "Int32"), "codes": None, "n": None})
+                row, size = row + k, size + len(buf)
                 if size >= GROUP:
                     yield codes(group)
                     group, size = group + 1, 0
         if held:
             yield codes(group)
 
-    return written(own.mapInPandas(slim(run), "run long, rid long, _id long, _text string, _held boolean, code long, n long"))
+    return written(own.mapInPandas(slim(run), _RUNS))
 
 
 def pack_codes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -321,29 +361,59 @@ def fold_top(roots: pd.DataFrame) -> Top:
     return Top(base, (1 - stop0)[None] * (1 - stop1))
 
 
-def code_table(coded: DataFrame) -> DataFrame:
-    """``code lp``: the log10 probability of the last byte of every code of the corpus, by a tree that keeps every context."""
-    total = coded.filter(F.col("code").isNotNull()).groupBy("code").agg(F.sum("n").alias("n"))
-    bucket = F.pmod(F.xxhash64(F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1))), F.lit(BUCKETS))
+def _by_bucket(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket", *order)
+
+
+def weighed(blobs: DataFrame) -> DataFrame:
+    """Per bucket its merged ``codes n`` (one row), and the roots of its subtrees ``at decision a b pw``; written."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
-        code = pdf["code"].to_numpy(np.int64)
-        deep, roots = subtrees(code, pdf["n"].to_numpy(np.float64))
-        return pd.concat([
-            pd.DataFrame({"code": pd.array(code, "Int64"), "deep": [x.tobytes() for x in deep]}),
-            roots.assign(code=pd.array([None] * len(roots), "Int64"), deep=None),
-        ])
+        def done(bucket: int) -> Iterator[pd.DataFrame]:
+            code, n = _merged(held)
+            held.clear()
+            none = dict.fromkeys(("at", "decision"), pd.array([None], "Int64")) | dict.fromkeys(("a", "b", "pw"), np.nan)
+            yield pd.DataFrame({"bucket": [bucket], "codes": [packed_codes(code)], "n": [packed(n)], **none})
+            yield subtrees(code, n.astype(np.float64))[1].assign(bucket=bucket, codes=None, n=None)
 
-    nodes = written(total.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(weigh, "code long, deep binary, at long, decision long, a double, b double, pw double"))
-    roots = nodes.filter(F.col("code").isNull()).groupBy(F.shiftright("at", 8 * (TOP - 1)).alias("at"), "decision").agg(*[F.sum(c).alias(c) for c in ("a", "b", "pw")])
+        now = None
+        for pdf in batches:
+            for bucket, codes, n in zip(pdf["bucket"], pdf["codes"], pdf["n"], strict=True):
+                if now is not None and bucket != now:
+                    yield from done(now)
+                now = bucket
+                held.append((unpacked_codes(codes), unpacked(n, np.uint32).astype(np.int64)))
+                if len(held) > 1 and sum(len(v) for v, _ in held[1:]) > max(1_000_000, len(held[0][0])):
+                    held[:] = [_merged(held)]
+        if now is not None:
+            yield from done(now)
+
+    return written(_by_bucket(blobs.select("bucket", "codes", "n")).mapInPandas(slim(run), "bucket int, codes binary, n binary, at long, decision long, a double, b double, pw double"))
+
+
+def answered(blobs: DataFrame) -> DataFrame:
+    """``asks codes lp``: for the codes of every run and bucket the log10 probabilities of their last bytes, by a tree that keeps every context."""
+    nodes = weighed(blobs)
+    roots = nodes.filter(F.col("codes").isNull()).groupBy(F.shiftright("at", 8 * (TOP - 1)).alias("at"), "decision").agg(*[F.sum(c).alias(c) for c in ("a", "b", "pw")])
     top = nodes.sparkSession.sparkContext.broadcast(fold_top(roots.toPandas()))
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, lp = np.zeros(0, np.int64), np.zeros(0, np.float32)
         for pdf in batches:
-            code = pdf["code"].to_numpy(np.int64)
-            yield pd.DataFrame({"code": code, "lp": top.value.log10(code, np.frombuffer(b"".join(pdf["deep"]), np.float32).reshape(-1, 8)).astype(np.float32)})
+            out = []
+            for table, asks, codes, n in zip(pdf["table"], pdf["asks"], pdf["codes"], pdf["n"], strict=True):
+                if table:  # a bucket's table comes before all that ask it
+                    code = unpacked_codes(codes)
+                    lp = top.value.log10(code, subtrees(code, unpacked(n, np.int64).astype(np.float64))[0]).astype(np.float32)
+                else:
+                    out.append((int(asks), codes, packed(lp[np.searchsorted(code, unpacked_codes(codes))])))
+            yield pd.DataFrame(out, columns=["asks", "codes", "lp"])
 
-    return nodes.filter(F.col("code").isNotNull()).select("code", "deep").mapInPandas(slim(answer), "code long, lp float")
+    own = nodes.filter(F.col("codes").isNotNull()).select("bucket", F.lit(True).alias("table"), F.lit(0).cast("long").alias("asks"), "codes", "n")
+    asked = blobs.select("bucket", F.lit(False).alias("table"), F.col("run").alias("asks"), "codes", F.lit(None).cast("binary").alias("n"))
+    return _by_bucket(own.unionByName(asked).withColumn("_last", ~F.col("table")), "_last").drop("_last").mapInPandas(slim(run), "asks long, codes binary, lp binary")
 
 
 def _held_out(doc_id: str, mod: int, remainder: int) -> Column:
@@ -356,7 +426,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mod: i
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), _held_out(doc_id, mod, remainder).alias("_held"))
     spark = docs.sparkSession
     coded = coded_runs(own)
-    texts = coded.filter(F.col("code").isNull()).select("run", "rid", "_id", "_text", "_held")
+    texts = coded.filter(F.col("bucket").isNull()).select("run", "rid", "_id", "_text", "_held")
     counted = cut_lineage(word_counts(texts.filter(~F.col("_held")), "_text"))
     total = counted.agg(F.sum("n").alias("n"), F.count("key").alias("v"), F.sum(F.when(F.col("key").isNull(), F.col("n"))).alias("docs")).first()
     n_all, n_ends = int(total["n"] or 0), int(total["docs"] or 0)
@@ -369,8 +439,9 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mod: i
 
     def run(pdf: pd.DataFrame, known_codes: pd.DataFrame) -> pd.DataFrame:
         top_key, top_n = shared.value
-        order = np.argsort(known_codes["code"].to_numpy(np.int64))
-        all_codes, all_lp = known_codes["code"].to_numpy(np.int64)[order], known_codes["lp"].to_numpy(np.float64)[order]
+        all_codes = np.concatenate([unpacked_codes(x) for x in known_codes["codes"]])
+        order = np.argsort(all_codes)
+        all_codes, all_lp = all_codes[order], np.concatenate([unpacked(x, np.float32) for x in known_codes["lp"]])[order].astype(np.float64)
         out = []
         for at, part in chunks(list(pdf["_text"]), CHUNK):
             frame = pdf.iloc[at : at + len(part)]
@@ -395,8 +466,8 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mod: i
             out.append(pd.DataFrame({"rid": rid[d], "key": h[k], "tf": tf, "n_tokens": pd.array([None] * len(d), "Int64"), "n_known": 0, "gain": 0.0, "score": np.nan, "n_bytes": 0, "doc_id": pd.array([None] * len(d), "Int64"), "held_out": None}))
         return pd.concat(out)
 
-    asked = coded.filter(F.col("code").isNotNull()).select(F.col("run").alias("asks"), "code").join(code_table(coded), "code")
-    found = texts.groupBy("run").cogroup(asked.groupBy("asks")).applyInPandas(run, "rid long, key long, tf long, n_tokens long, n_known long, gain double, score double, n_bytes long, doc_id long, held_out boolean")
+    answers = answered(coded.filter(F.col("bucket").isNotNull()).select("run", "bucket", "codes", "n"))
+    found = texts.groupBy("run").cogroup(answers.groupBy("asks")).applyInPandas(run, "rid long, key long, tf long, n_tokens long, n_known long, gain double, score double, n_bytes long, doc_id long, held_out boolean")
     met = found.join(rare.select("key", F.col("n").alias("_c")), "key", "left")
     seen = (F.col("_c").isNotNull() & (F.col("tf") > 0)).cast("long")
     by_doc = met.groupBy("rid").agg(
