@@ -135,7 +135,7 @@ def _posterior(rows: DataFrame, likelihood) -> DataFrame:
 
 @query()
 def pruning_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """O-111: the parameter is part of the tree key, so all settings of a level are one job; mean of per-key means."""
+    """O-111: one fit for each setting; mean of per-key means."""
     rows = probes.train(spark, sf)
     out = None
     for ccp in (0.0001, 0.001, 0.01):
