@@ -411,3 +411,30 @@ def test_warc_audit(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(raw)
     back = warc.read_warc(spark, str(tmp_path / "a.warc")).orderBy("offset").collect()
     assert len(back) == 302 and sum(r.length for r in back) == len(raw) and bytes(back[5].payload).startswith(b"<p>page 4")
+
+
+def test_pieces_left_out_are_on_no_best_path():
+    import itertools
+    import random
+
+    def best(text: str, table: dict[str, float]) -> tuple[float, list[str]]:
+        # the greatest sum; of equal sums the path that ends in the shortest piece
+        found = [(0.0, [])]
+        for e in range(1, len(text) + 1):
+            options = [(found[e - n][0] + table[text[e - n : e]], -n) for n in range(1, e + 1) if text[e - n : e] in table]
+            total, n = max(options)
+            found.append((total, [*found[e + n][1], text[e + n : e]]))
+        return found[-1]
+
+    r = random.Random(5)
+    left_out = 0
+    for _ in range(30):
+        every = ["".join(p) for n in (1, 2, 3, 4) for p in itertools.product("ab", repeat=n)]
+        rows = [(p, i, -float(r.randint(1, 12))) for i, p in enumerate(every) if len(p) == 1 or r.random() < 0.5]
+        kept = piecelattice.used(rows)
+        left_out += len(rows) - len(kept)
+        whole, few = ({p: s for p, _, s in x} for x in (rows, kept))
+        for _ in range(40):
+            text = "".join(r.choices("ab", k=r.randint(1, 12)))
+            assert best(text, whole) == best(text, few)
+    assert left_out > 50
