@@ -49,18 +49,18 @@ SAMPLE_DOCS, SAMPLE_SHARE, MAX_HOT = 32768, 4096, 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(texts: list) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingles(texts: list, size: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of ``size`` words."""
     w = Words(texts, lower=True)
     h = w.hashes()
     n = len(h)
-    full = np.zeros(max(n - WORDS + 1, 0), np.uint64)
-    for k in range(WORDS):
+    full = np.zeros(max(n - size + 1, 0), np.uint64)
+    for k in range(size):
         full = full * _P + h[k : k + len(full)]
     full = mix(full)
     for a, b in zip(w.first[:-1], w.first[1:], strict=True):
-        if b - a >= WORDS:
-            yield np.unique(full[a : b - WORDS + 1])
+        if b - a >= size:
+            yield np.unique(full[a : b - size + 1])
         elif b > a:
             s = np.array([b - a], np.uint64)
             for x in h[a:b]:
@@ -202,7 +202,7 @@ def _led(tagged: DataFrame, order: Column) -> DataFrame:
             yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "times": times})
             lead = tuple(int(x[at[-1]]) for x in (key, band, cls, comp))
 
-    rows = tagged.select("key", _band(F.col("n")).alias("band"), "cls", "comp", order.alias("_order"))
+    rows = tagged.select("key", size_band(F.col("n")).alias("band"), "cls", "comp", order.alias("_order"))
     met = rows.repartition("key").sortWithinPartitions("key", "band", "_order", "cls").select("key", "band", "cls", "comp").mapInPandas(slim(run), "a long, b long, times long")
     counted = met.groupBy("b", "a").agg(F.sum("times").alias("times"))
     return counted.groupBy("b").agg(F.max(F.struct("times", "a"))["a"].alias("a")).select("a", "b")
@@ -245,7 +245,7 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.filter(F.col("_id").isNotNull() & _may_be_in(F.col("_id"), bits)).join(wanted, "_id")
 
 
-def _compared(pairs: DataFrame, rows: DataFrame, info: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, rows: DataFrame, info: DataFrame, size: int = WORDS) -> DataFrame:
     """Of the class pairs ``a, b`` those that link, by exact intersection of their sorted arrays.
 
     Pairs of one ``a`` are dealt to groups of about FAN; the text of ``a`` comes first in each.
@@ -261,7 +261,7 @@ def _compared(pairs: DataFrame, rows: DataFrame, info: DataFrame) -> DataFrame:
             for at, part in chunks(list(pdf["_text"]), 4_000_000):
                 rest = pdf.iloc[at : at + len(part)]
                 out = []
-                for u, a, fan, cls, role in zip(shingles(part), rest["a"], rest["fan"], rest["cls"], rest["role"], strict=True):
+                for u, a, fan, cls, role in zip(shingles(part, size), rest["a"], rest["fan"], rest["cls"], rest["role"], strict=True):
                     if not len(u) or set_hash(u) != cls:  # another text of a repeated id
                         continue
                     if role == 0:
@@ -376,7 +376,7 @@ def _tile_pairs(tiles: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("times").alias("times")).filter(F.col("times") >= F.col("least")).select("a", "b")
 
 
-def _tiles(tagged: DataFrame, block: int) -> DataFrame:
+def tiles_of(tagged: DataFrame, block: int) -> DataFrame:
     """Rows ``tile side cls n comp`` of every tile a class stands in, from ``key cls n comp band``.
 
     A key of at most ``block`` classes is one tile. Otherwise tiles are pairs of blocks
@@ -410,7 +410,7 @@ def _tiles(tagged: DataFrame, block: int) -> DataFrame:
     return spread.select(F.xxhash64("key", "s.kind", "s.t", "s.i", "s.j").alias("tile"), F.col("s.side").cast("long").alias("side"), "cls", "n", "comp")
 
 
-def _band(n: Column) -> Column:
+def size_band(n: Column) -> Column:
     """Sizes that can link are of one band or of neighbours."""
     return F.floor(F.log(n.cast("double")) / float(np.log(1.25)) + 1e-9).cast("int")
 
@@ -432,12 +432,17 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bloc
         return members.join(known.select("cls", "n", "part", "comp"), "cls")
 
     led = written(_led(tag(None), -F.col("part")))
-    found = written(_compared(written(_bounded(led, _signs(led, rows, info))), rows, info))
+    found = written(compared(written(_bounded(led, _signs(led, rows, info))), rows, info))
     comp = components(found)
-    tagged = written(tag(comp).withColumn("band", _band(F.col("n"))).select("key", "cls", "n", "band", "comp"))
-    met = written(_tile_pairs(_tiles(tagged, block)))
+    tagged = written(tag(comp).withColumn("band", size_band(F.col("n"))).select("key", "cls", "n", "band", "comp"))
+    met = written(_tile_pairs(tiles_of(tagged, block)))
     near = written(_bounded(met, _signs(met, rows, info)))
-    comp = components(found.union(written(_compared(near, rows, info))))
+    comp = components(found.union(written(compared(near, rows, info))))
+    return named_rows(sets, reps, comp)
+
+
+def named_rows(sets: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
+    """``doc_id n_shingles component_id`` of all rows (``_id n cls``) from the classes' smallest ids and copies and their components."""
     linked = comp.withColumnRenamed("node", "cls")
     named = reps.join(linked, "cls", "left").filter((F.col("copies") > 1) | F.col("comp").isNotNull()).withColumn("comp", F.coalesce("comp", "cls"))
     named = written(named.select("cls", "rep", "comp"))

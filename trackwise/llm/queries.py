@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwise.llm import ctw, fingerprint, htmltext, jaccard, langid, packing, piecelattice, quality, tokencount, warc
+from trackwise.llm import ctw, fingerprint, htmltext, jaccard, langid, lexical, manifest, packing, piecelattice, quality, sketching, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(manifest.document_leaves(_table(spark, sf_dir, "documents"), tampered=manifest.fifth()))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketching.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
@@ -66,7 +78,12 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_ctw_scoring": op9_ctw_scoring,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_minhash_dedup": op12_minhash_dedup,
+    "op13_lexical_search": op13_lexical_search,
 }
 ORACLES = {
     "op10_quality_rules": quality.ORACLE,
+    "op11_merkle_manifest": manifest.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }
