@@ -3,7 +3,8 @@
 Tables: ``lanes(lane, road, section, junction, jgroup, ord)``, ``segments(lane, seg, x0, y0,
 x1, y1, s0, len)`` with arc length ``s0`` at a segment's start, ``links(src, dst, ord)``,
 ``priorities(junction, high, low)`` of roads. All of a map's tables are static and small
-beside the states; the searches over them run once a map.
+beside the states; the searches over them run once a map. Lane keys are unique over all
+maps; where states and segments carry a ``scenario``, they meet within it only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackwise.functions import angle_diff
-from trackwise.shared import static
+from trackwise.shared import held
 
 
 def with_arc_length(points: DataFrame) -> DataFrame:
@@ -49,7 +50,8 @@ def lane_candidates(states: DataFrame, segments: DataFrame, *, reach: float, ang
     lo = lambda a, b: F.floor((F.least(a, b) - reach) / cell)
     hi = lambda a, b: F.floor((F.greatest(a, b) + reach) / cell)
     spread = segments.withColumn("_cx", F.explode(F.sequence(lo("x0", "x1"), hi("x0", "x1")))).withColumn("_cy", F.explode(F.sequence(lo("y0", "y1"), hi("y0", "y1"))))
-    near = states.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell)).join(spread, ["_cx", "_cy"])
+    near = states.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    near = near.join(spread, ["_cx", "_cy", *(["scenario"] if "scenario" in segments.columns else [])])
     lon, dist = project(F.col("x"), F.col("y"))
     turn = angle_diff(F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")), F.col("heading"))
     near = near.withColumn("lon", lon).withColumn("dist", dist).withColumn("turn", turn).filter((F.col("dist") <= reach) & (F.abs("turn") <= angle + 1e-9))
@@ -86,7 +88,7 @@ def lane_paths(links: DataFrame, starts: DataFrame, *, max_depth: int = 20, stop
         nxt = go.join(links.withColumnRenamed("src", "lane"), "lane").select("start", F.col("dst").alias("lane"), F.lit(level).alias("depth"), F.concat("path", F.array("dst")).alias("path"), F.concat("way", F.array("ord")).alias("way"))
         first = nxt.groupBy("start", "lane").agg(F.min(F.struct("way", "path", "depth")).alias("m")).select("start", "lane", "m.depth", "m.path", "m.way")
         front = first.join(seen.select("start", "lane"), ["start", "lane"], "left_anti")
-        front = static(front)
+        front = held(front)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -113,13 +115,23 @@ def reachable_goals(lanes: DataFrame, segments: DataFrame, links: DataFrame, ent
     A search ends at a lane without successor, at one that branches into a junction
     other than a roundabout (its successors' ends are the goals), and at a roundabout's exit.
     """
-    flags = junction_flags(lanes, links)
-    e = ends(segments)
+    closed = search_ends(lanes, links)
+    paths = lane_paths(links, lanes.select("lane"), stop=closed)
+    return typed_goals(paths.join(closed, "lane"), lanes, segments, links, entries).select("start", "goal_lane", "goal_type", "gx", "gy", "path", "depth")
+
+
+def search_ends(lanes: DataFrame, links: DataFrame) -> DataFrame:
+    """The lanes that end every search: without successor, of a junction other than a roundabout, out of a roundabout."""
     goes_on = links.select(F.col("src").alias("lane")).distinct()
     in_junction = lanes.filter(F.col("junction").isNotNull() & F.col("jgroup").isNull()).select("lane")
-    closed = flags.filter("leaves_roundabout").select("lane").union(in_junction).union(lanes.select("lane").join(goes_on, "lane", "left_anti")).distinct()
-    paths = lane_paths(links, lanes.select("lane"), stop=closed)
-    found = paths.join(F.broadcast(closed), "lane")
+    leaves = junction_flags(lanes, links).filter("leaves_roundabout").select("lane")
+    return leaves.union(in_junction).union(lanes.select("lane").join(goes_on, "lane", "left_anti")).distinct()
+
+
+def typed_goals(found: DataFrame, lanes: DataFrame, segments: DataFrame, links: DataFrame, entries: DataFrame) -> DataFrame:
+    """Searches' last lanes (``lane path`` and others) with ``goal_lane goal_type gx gy``; a lane outside of junctions is straight on."""
+    flags = junction_flags(lanes, links)
+    e = ends(segments)
     turn = angle_diff(F.col("_sh"), F.col("_eh"))
     head = e.select(F.col("lane").alias("_prev"), F.col("end_heading").alias("_sh"))
     tail = links.join(e.select(F.col("lane").alias("dst"), F.col("start_heading").alias("_eh")), "dst").groupBy(F.col("src").alias("lane")).agg(F.min("_eh").alias("_eh"))
@@ -129,7 +141,8 @@ def reachable_goals(lanes: DataFrame, segments: DataFrame, links: DataFrame, ent
         .join(flags.select("lane", "leaves_roundabout"), "lane").join(entries.withColumn("_entry", F.lit(True)), "lane", "left").join(lanes.select("lane", "junction"), "lane")
     )
     kind = F.when(F.col("junction").isNull() & ~F.col("leaves_roundabout"), "straight-on").otherwise(goal_type(lane_direction(turn), F.coalesce("_entry", F.lit(False)), F.col("leaves_roundabout")))
-    return typed.select("start", F.col("lane").alias("goal_lane"), kind.alias("goal_type"), F.col("end_x").alias("gx"), F.col("end_y").alias("gy"), "path", "depth")
+    named = typed.withColumn("goal_type", kind).withColumnsRenamed({"lane": "goal_lane", "end_x": "gx", "end_y": "gy"})
+    return named.drop("_prev", "_sh", "_eh", "end_heading", "leaves_roundabout", "_entry", "junction")
 
 
 def junction_entries(lanes: DataFrame, links: DataFrame, segments: DataFrame, priorities: DataFrame) -> DataFrame:
@@ -160,7 +173,7 @@ def upstream(links: DataFrame, segments: DataFrame, lanes: DataFrame, least: flo
     out = at
     while True:
         at = at.filter(F.col("gap") < least).join(step, "up").select("lane", F.col("prev").alias("up"), (F.col("gap") + F.col("length")).alias("gap"))
-        at = static(at)
+        at = held(at)
         if at.isEmpty():
             break
         out = out.unionByName(at)
@@ -186,6 +199,30 @@ def path_facts(table: DataFrame) -> DataFrame:
     )
 
 
+def path_lengths(paths: DataFrame, lanes: DataFrame, segments: DataFrame) -> DataFrame:
+    """``start goal_lane path_length in_correct_lane road_heading``: the length leaves out a lane that is changed to within a section, unless it is the last; the heading is the last lane's turn from start to end."""
+    e = ends(segments).select("lane", "length", angle_diff(F.col("start_heading"), F.col("end_heading")).alias("turn"))
+    rows = paths.select("start", "goal_lane", F.posexplode("path").alias("pos", "lane")).join(lanes.select("lane", "section"), "lane").join(e, "lane")
+    w = Window.partitionBy("start", "goal_lane").orderBy("pos")
+    changed = F.coalesce(F.lag("section").over(w) == F.col("section"), F.lit(False))
+    marked = rows.withColumn("_changed", changed).withColumn("_last", F.lead("lane").over(w).isNull())
+    return marked.groupBy("start", "goal_lane").agg(
+        F.sum(F.when(F.col("_changed") & ~F.col("_last"), 0.0).otherwise(F.col("length"))).alias("path_length"), (~F.max("_changed")).alias("in_correct_lane"), F.max_by("turn", "pos").alias("road_heading"),
+    )
+
+
+def lane_crossings(segments: DataFrame, lanes: DataFrame, width: float = 3.0) -> DataFrame:
+    """``lane other area cross_s cross_s_other``: where the midlines of two lanes of a junction first cross, for lanes of any number of segments; the area is that of two strips of ``width``."""
+    seg = segments.join(lanes.filter("junction IS NOT NULL").select("lane", "junction"), "lane").select("junction", "lane", "x0", "y0", "x1", "y1", "s0", "len")
+    o = seg.select("junction", *[F.col(c).alias(f"_{c}") for c in ("lane", "x0", "y0", "x1", "y1", "s0", "len")])
+    dx, dy, ex, ey = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
+    met = seg.join(o, "junction").filter(F.col("lane") != F.col("_lane")).withColumn("_det", F.nullif(F.round(dx * ey - dy * ex, 9), F.lit(0.0))).filter(F.col("_det").isNotNull())
+    met = met.withColumn("_t", ((F.col("_x0") - F.col("x0")) * ey - (F.col("_y0") - F.col("y0")) * ex) / F.col("_det")).withColumn("_u", ((F.col("_x0") - F.col("x0")) * dy - (F.col("_y0") - F.col("y0")) * dx) / F.col("_det"))
+    at = F.struct((F.col("s0") + F.col("_t") * F.col("len")).alias("s"), (F.col("_s0") + F.col("_u") * F.col("_len")).alias("o"), (width * width * F.col("len") * F.col("_len") / F.abs("_det")).alias("area"))
+    first = met.filter(F.col("_t").between(0, 1) & F.col("_u").between(0, 1)).groupBy("lane", F.col("_lane").alias("other")).agg(F.min(at).alias("m"))
+    return first.select("lane", "other", "m.area", F.col("m.s").alias("cross_s"), F.col("m.o").alias("cross_s_other"))
+
+
 def exit_numbers(goals: DataFrame, flags: DataFrame, lanes: DataFrame) -> DataFrame:
     """Rank of each roundabout exit among a start lane's, by length of path; 0 where the goal is none or no entrance lies on the path."""
     enters = F.broadcast(flags.filter("enters_roundabout").select("lane"))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from trackwise.functions import angle_diff
 from trackwise.shared import spread
 
-AGENT = ["episode", "agent_id"]
+#: Episode and agent numbers start anew in every scenario.
+EPISODE = ["scenario", "episode"]
+AGENT = [*EPISODE, "agent_id"]
+FRAME = [*EPISODE, "frame_id"]
 
 
 def corners(x: Column, y: Column, length: Column, width: Column, heading: Column) -> Column:
@@ -70,8 +73,13 @@ def lags(states: DataFrame, fps: int, seconds: tuple[int, ...] = (1, 2, 3)) -> D
 
 
 def goal_hits(states: DataFrame, goals: DataFrame, radius: float) -> DataFrame:
-    """First frame within ``radius`` of each goal, per agent; goals are a few rows and broadcast."""
-    met = states.join(F.broadcast(goals), F.hypot(F.col("x") - F.col("gx"), F.col("y") - F.col("gy")) <= radius)
+    """First frame within ``radius`` of each goal, per agent; goals (``goal_idx gx gy``, with ``scenario`` where they differ by it) meet the states by grid cells."""
+    cell = max(radius, 1.0)
+    around = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / cell), F.floor((F.col(c) + radius) / cell)))
+    spots = goals.select("*", around("gx").alias("_cx")).select("*", around("gy").alias("_cy"))
+    on = ["_cx", "_cy", *(["scenario"] if "scenario" in goals.columns else [])]
+    there = states.select(*AGENT, "frame_id", "x", "y", F.floor(F.col("x") / cell).alias("_cx"), F.floor(F.col("y") / cell).alias("_cy"))
+    met = there.join(spots, on).filter(F.hypot(F.col("x") - F.col("gx"), F.col("y") - F.col("gy")) <= radius)
     return met.groupBy(*AGENT, "goal_idx").agg(F.min("frame_id").alias("hit_frame"))
 
 
@@ -89,25 +97,25 @@ def trimmed(states: DataFrame, goals_of: DataFrame) -> DataFrame:
 
 def pairs(spans: DataFrame, fps: int) -> DataFrame:
     """Ordered ego-target pairs of an episode whose life spans overlap; the ego must live a second or more."""
-    spans = spread(spans, "episode")
-    ego = spans.select("episode", F.col("agent_id").alias("ego_id"), F.col("first_frame").alias("_a"), F.col("last_frame").alias("_b"))
-    met = spans.select("episode", "agent_id", "first_frame", "last_frame").join(ego, "episode").filter(
+    spans = spread(spans, *EPISODE)
+    ego = spans.select(*EPISODE, F.col("agent_id").alias("ego_id"), F.col("first_frame").alias("_a"), F.col("last_frame").alias("_b"))
+    met = spans.select(*AGENT, "first_frame", "last_frame").join(ego, EPISODE).filter(
         (F.col("agent_id") != F.col("ego_id")) & (F.col("first_frame") <= F.col("_b")) & (F.col("_a") <= F.col("last_frame")) & (F.col("_b") - F.col("_a") + 1 >= fps)
     )
-    return met.select("episode", "agent_id", "ego_id", F.greatest("first_frame", "_a").alias("start_frame"), F.least("last_frame", "_b").alias("end_frame"))
+    return met.select(*AGENT, "ego_id", F.greatest("first_frame", "_a").alias("start_frame"), F.least("last_frame", "_b").alias("end_frame"))
 
 
 def peers(states: DataFrame) -> DataFrame:
     """Every other agent in the same frame of an episode, with its distance."""
-    states = spread(states, "episode", "frame_id")
-    other = states.select("episode", "frame_id", F.col("agent_id").alias("peer_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    met = states.join(other, ["episode", "frame_id"]).filter(F.col("agent_id") != F.col("peer_id"))
+    states = spread(states, *FRAME)
+    other = states.select(*FRAME, F.col("agent_id").alias("peer_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    met = states.join(other, FRAME).filter(F.col("agent_id") != F.col("peer_id"))
     return met.withColumn("distance", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))).drop("_x", "_y")
 
 
 def nearest_peers(states: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest peers of each state, by distance, then id."""
-    w = Window.partitionBy("episode", "frame_id", "agent_id").orderBy(F.round("distance", 9), "peer_id")
+    w = Window.partitionBy(*FRAME, "agent_id").orderBy(F.round("distance", 9), "peer_id")
     return peers(states).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -129,10 +137,10 @@ def renumbered(states: DataFrame, ts: str, per_chunk: int) -> DataFrame:
     Only the tracks' first times are put in order, not the states; the ranks come from
     counts by range, so no task orders all tracks.
     """
-    first = states.groupBy("agent_id").agg(F.min(ts).alias("_t"))
-    ranked = ranked_rows(first, ["_t", "agent_id"])
+    first = states.groupBy(*AGENT).agg(F.min(ts).alias("_t"))
+    ranked = ranked_rows(first, ["_t", "agent_id", *EPISODE])
     start = states.agg(F.min(ts).alias("_start"))
-    joined = states.join(ranked.select("agent_id", F.col("rank").alias("new_id")), "agent_id").crossJoin(start)  # a one-row table
+    joined = states.join(ranked.select(*AGENT, F.col("rank").alias("new_id")), AGENT).crossJoin(start)  # a one-row table
     return joined.withColumn("seconds", (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_start").cast("timestamp"))) / 1e6).withColumn("chunk", F.floor(F.col("new_id") / per_chunk).cast("long")).drop("_start")
 
 

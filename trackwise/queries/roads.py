@@ -32,7 +32,8 @@ LINKS = """SELECT * FROM (VALUES
 #: Roads 1 and 2 (west-east) have priority over roads 3 and 4.
 PRIORITIES = "SELECT * FROM (VALUES (1, 1, 3), (1, 1, 4), (1, 2, 3), (1, 2, 4)) AS v(junction, high, low)"
 REACH = 6.0
-KEY = ["episode", "agent_id", "frame_id"]
+FRAME = tracks.FRAME
+KEY = [*FRAME, "agent_id"]
 
 
 class Net:
@@ -146,10 +147,10 @@ def route_features(spark: SparkSession, sf: str) -> DataFrame:
 def in_front(located: DataFrame, table: DataFrame) -> DataFrame:
     """Nearest vehicle ahead on each path: ``front_dist front_speed``, 100 and 20 where there is none."""
     t = F.broadcast(table.select("start", "goal_lane", F.col("lane").alias("peer_lane"), "s_before"))
-    located = spread(located, "episode", "frame_id")
+    located = spread(located, *FRAME)
     own = located.select(*KEY, F.col("lane").alias("start"), "lon")
-    peer = located.select("episode", "frame_id", F.col("agent_id").alias("peer_id"), F.col("lane").alias("peer_lane"), F.col("lon").alias("_lon"), F.col("speed").alias("_v"))
-    met = own.join(peer, ["episode", "frame_id"]).filter(F.col("agent_id") != F.col("peer_id")).join(t, ["start", "peer_lane"])
+    peer = located.select(*FRAME, F.col("agent_id").alias("peer_id"), F.col("lane").alias("peer_lane"), F.col("lon").alias("_lon"), F.col("speed").alias("_v"))
+    met = own.join(peer, FRAME).filter(F.col("agent_id") != F.col("peer_id")).join(t, ["start", "peer_lane"])
     d = F.col("s_before") + F.col("_lon") - F.col("lon")
     near = met.withColumn("_d", d).filter(F.col("_d") > 1e-4).groupBy(*KEY, "goal_lane").agg(F.min("_d").alias("front_dist"), F.min_by("_v", F.struct(F.round("_d", 9), "peer_id")).alias("front_speed"))
     every = own.join(F.broadcast(table.select("start", "goal_lane").distinct()), "start")
@@ -189,10 +190,10 @@ def oncoming(located: DataFrame, net: Net, goals: DataFrame) -> DataFrame:
     """Nearest vehicle upstream of a crossing with a lane we do not have priority over: ``oncoming_dist oncoming_speed``, 100 and 20 where there is none within 100."""
     paths = net.crossed.join(net.upstream.withColumnRenamed("lane", "other"), "other")
     watch = F.broadcast(paths.select("start", "goal_lane", F.col("up").alias("peer_lane"), (F.col("gap") + F.col("cross_s_other")).alias("_c")))
-    located = spread(located, "episode", "frame_id")
+    located = spread(located, *FRAME)
     own = located.select(*KEY, F.col("lane").alias("start"))
-    peer = located.select("episode", "frame_id", F.col("agent_id").alias("peer_id"), F.col("lane").alias("peer_lane"), F.col("lon").alias("_lon"), F.col("speed").alias("_v"))
-    met = own.join(peer, ["episode", "frame_id"]).filter(F.col("agent_id") != F.col("peer_id")).join(watch, ["start", "peer_lane"]).withColumn("_d", F.col("_c") - F.col("_lon"))
+    peer = located.select(*FRAME, F.col("agent_id").alias("peer_id"), F.col("lane").alias("peer_lane"), F.col("lon").alias("_lon"), F.col("speed").alias("_v"))
+    met = own.join(peer, FRAME).filter(F.col("agent_id") != F.col("peer_id")).join(watch, ["start", "peer_lane"]).withColumn("_d", F.col("_c") - F.col("_lon"))
     near = met.filter((F.col("_d") > 0) & (F.col("_d") < 100)).groupBy(*KEY, "goal_lane").agg(F.min("_d").alias("d"), F.min_by("_v", F.struct(F.round("_d", 9), "peer_id")).alias("v"))
     every = own.join(F.broadcast(goals.select("start", "goal_lane")), "start")
     return every.join(near, [*KEY, "goal_lane"], "left").select(*KEY, "goal_lane", F.coalesce("d", F.lit(100.0)).alias("oncoming_dist"), F.coalesce("v", F.lit(20.0)).alias("oncoming_speed"))

@@ -48,7 +48,7 @@ def unit_conversion(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {S} SELECT episode, agent_id, agent_type, min(frame_id) AS first_frame, max(frame_id) AS last_frame, count(*) AS n_states, max(frame_id) - min(frame_id) + 1 AS num_frames FROM s GROUP BY 1, 2, 3")
 def life_spans(spark: SparkSession, sf: str) -> DataFrame:
     """O-75."""
-    return op.life_spans(probes.states(spark, sf))
+    return op.life_spans(probes.states(spark, sf)).drop("scenario")
 
 
 @query(f"WITH {S}, {MOVING} SELECT episode, agent_id, frame_id FROM mv WHERE frame_id % {FPS} = 0 AND agent_type IN ('car', 'truck_bus')")
@@ -78,7 +78,7 @@ def lag_features(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {S}, {G}, {HITS} SELECT * FROM h")
 def goal_hits(spark: SparkSession, sf: str) -> DataFrame:
     """O-62."""
-    return op.goal_hits(probes.states(spark, sf), probes.goals(spark), probes.GOAL_RADIUS)
+    return op.goal_hits(probes.states(spark, sf), probes.goals(spark), probes.GOAL_RADIUS).drop("scenario")
 
 
 @query(f"""WITH {S}, {G}, {HITS}, {TRUE}, t AS (SELECT s.*, tg.true_goal, tg.goal_frame FROM s JOIN tg ON tg.episode = s.episode AND tg.agent_id = s.agent_id WHERE s.frame_id <= tg.goal_frame)
@@ -96,7 +96,7 @@ def ego_target_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """O-47: pairs of goal-reaching, moving agents."""
     s = probes.states(spark, sf)
     kept = op.trimmed(op.moving_agents(s), op.true_goals(op.goal_hits(s, probes.goals(spark), probes.GOAL_RADIUS)))
-    return op.pairs(op.life_spans(kept), FPS)
+    return op.pairs(op.life_spans(kept), FPS).drop("scenario")
 
 
 @query(f"""WITH {S}, p AS (SELECT a.episode, a.frame_id, a.agent_id, b.agent_id AS peer_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance FROM s a JOIN s b ON a.episode = b.episode AND a.frame_id = b.frame_id AND a.agent_id <> b.agent_id WHERE a.frame_id % {FPS} = 0)
@@ -118,7 +118,7 @@ def hidden_history(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {S} SELECT episode, agent_id, min(CASE WHEN NOT hidden THEN frame_id END) AS first_seen, max(CASE WHEN NOT hidden THEN frame_id END) AS last_seen FROM s GROUP BY 1, 2")
 def visible_spans(spark: SparkSession, sf: str) -> DataFrame:
     """O-81."""
-    return op.visible_span(probes.states(spark, sf))
+    return op.visible_span(probes.states(spark, sf)).drop("scenario")
 
 
 @query(f"""WITH {S}, f AS (SELECT agent_id, row_number() OVER (ORDER BY min(ts), agent_id) - 1 AS new_id FROM s GROUP BY agent_id)

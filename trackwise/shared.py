@@ -34,6 +34,16 @@ def static(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
+#: Rows up to which a map's derived table is held on the driver.
+HELD_ROWS = 50_000
+
+
+def held(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame:
+    """A derived table, computed once: a local relation of at most ``limit`` rows, else a table in the shared folder."""
+    some = df.limit(limit + 1).toArrow()
+    return df.sparkSession.createDataFrame(some, df.schema) if some.num_rows <= limit else kept(df)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt by ``keys`` to a fixed number of partitions, before a join that multiplies its rows: adaptive coalescing sees only the small input and would put it all in one task."""
     spark = df.sparkSession

@@ -133,8 +133,12 @@ def rings_to_json(rows: DataFrame) -> DataFrame:
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
-    """Parquet by scenario and episode, so that a split reads its own folders only."""
-    samples.write.mode("overwrite").partitionBy("scenario", "episode").parquet(path)
+    """Parquet by scenario and episode, so that a split reads its own folders only.
+
+    Only the episodes that ``samples`` has are replaced: episodes can be added one by one, and writing one again changes nothing else.
+    """
+    by_episode = samples.repartition("scenario", "episode", F.pmod(F.xxhash64("agent_id"), F.lit(16)))  # at most 16 files an episode
+    by_episode.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scenario", "episode").parquet(path)
 
 
 def read_samples(spark: SparkSession, path: str, splits: DataFrame, subset: str, columns: list[str] | None = None) -> DataFrame:
