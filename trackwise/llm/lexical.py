@@ -46,6 +46,7 @@ TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 SEGMENT_WORDS, SEGMENT_DOCS = 1 << 19, 8192
 BATCH_TERMS = 200_000
 ITEM_BLOCK = 256
+BROADCAST_ROWS = 1 << 20
 _SEGMENT = "m long, block long, n_docs long, ids array<long>, terms array<string>, held array<long>, top array<long>, runs array<long>, tf array<long>, size array<long>, docs array<int>"
 _BEST = "item int, score long, doc_id long"
 
@@ -119,9 +120,9 @@ def build(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Ind
     m = F.expr(f"25 + (cast(75 * n as decimal(19,0)) * cast({n_docs} as decimal(18,0))) div cast({max(n_terms, 1)} as decimal(19,0))").cast("long")
     strata = counted.groupBy(m.alias("m")).agg(F.sum("n").alias("words"), F.count("*").alias("rows"))
     parts = F.greatest(F.ceil(F.col("words") / SEGMENT_WORDS), F.ceil(F.col("rows") / SEGMENT_DOCS))
-    # of L words there are at most sqrt(2 L) lengths, and at most L / SEGMENT_WORDS strata of several segments
-    large = strata.withColumn("parts", parts).filter("parts > 1").select("m", "parts")
-    dealt = counted.withColumn("m", m).join(large, "m", "left").withColumn("block", F.pmod(F.xxhash64("_row"), F.coalesce("parts", F.lit(1))))
+    # L words make at most sqrt(2 L) lengths, so the strata of several segments stay far below what can be broadcast; documents are then dealt once, by segment
+    large = written(strata.withColumn("parts", parts).filter("parts > 1").select("m", "parts"))
+    dealt = counted.withColumn("m", m).join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "m", "left").withColumn("block", F.pmod(F.xxhash64("_row"), F.coalesce("parts", F.lit(1))))
     made = dealt.select("m", "block", "_id", "_none", "terms", "tfs").groupBy("m", "block").applyInPandas(_segment, _SEGMENT)
     return Index(written(made), n_docs, n_terms)
 
