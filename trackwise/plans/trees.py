@@ -10,8 +10,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trackwise.shared import kept
 
 NODE_SCHEMA = "tree_key string, path string, level int, feature string, op string, threshold double, value double, n_goal double, n_other double, gain double"
 
@@ -51,32 +54,65 @@ def totals(samples: DataFrame, by: list[str], weight: str = "weight", goal: str
     return samples.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(F.when(F.col(goal), w).otherwise(F.lit(0.0))).alias("ng"), F.count("*").alias("rows"))
 
 
-def split_gains(samples: DataFrame, nodes: DataFrame, features: list[str], criterion: str = "entropy", weight: str = "weight", goal: str = "has_goal", min_child: int = 0) -> DataFrame:
-    """Best threshold and gain of every (tree, node, feature).
+SEGMENT = ["tree_key", "path", "feature"]
+
 
-    ``samples`` carries ``tree_key path``; ``nodes`` has ``tree_key path n ng g h alpha``
+def prefix_sums(distinct: DataFrame) -> DataFrame:
+    """``SEGMENT v lw lg lk next sw sg sk``: for each distinct value the sums up to it, the next value and the sums of its whole segment, from ``SEGMENT v w wg k``.
+
+    Values are dealt by ranges of (segment, value), so a feature with many values is spread
+    over as many tasks as its values fill; sums inside a range are then shifted by those of the
+    segment's ranges before it, of which there are as many as ranges, not as values.
+    """
+    ranges = kept(kept(distinct).repartitionByRange(*SEGMENT, "v").withColumn("part", F.spark_partition_id()))
+    pieces = ranges.groupBy(*SEGMENT, "part").agg(F.sum("w").alias("pw"), F.sum("wg").alias("pg"), F.sum("k").alias("pk"), F.min("v").alias("first"))
+    along = Window.partitionBy(*SEGMENT).orderBy("part")
+    before, whole = along.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*SEGMENT)
+    shifts = pieces.select(
+        *SEGMENT, "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b{c}") for c in ("pw", "pg", "pk")],
+        F.lead("first").over(along).alias("after"), *[F.sum(c).over(whole).alias(n) for c, n in (("pw", "sw"), ("pg", "sg"), ("pk", "sk"))],
+    )
+    inside = Window.partitionBy("part", *SEGMENT).orderBy("v")
+    run = inside.rowsBetween(Window.unboundedPreceding, 0)
+    own = ranges.select(*SEGMENT, "part", "v", *[F.sum(c).over(run).alias(n) for c, n in (("w", "lw"), ("wg", "lg"), ("k", "lk"))], F.lead("v").over(inside).alias("next"))
+    met = own.join(shifts, [*SEGMENT, "part"])
+    return met.select(*SEGMENT, "v", (F.col("lw") + F.col("bpw")).alias("lw"), (F.col("lg") + F.col("bpg")).alias("lg"), (F.col("lk") + F.col("bpk")).alias("lk"), F.coalesce("next", "after").alias("next"), "sw", "sg", "sk")
+
+
+AHEAD = "ahead/"
+
+
+def split_gains(
+    samples: DataFrame, nodes: DataFrame, features: list[str], criterion: str = "entropy", weight: str = "weight", goal: str = "has_goal", min_child: int = 0,
+    ahead: dict[str, str] | None = None, lookahead_totals: str = "child",
+) -> DataFrame:
+    """Best threshold and gain of every (tree, node, feature), in one pass over the samples.
+
+    ``samples`` carries ``tree_key path``; ``nodes`` has ``tree_key path n ng rows tree_n g h alpha``
     and is as small as the trees. Features are stacked and summed to distinct values
-    before any window, so what is sorted is distinct values, not samples.
+    before anything is ordered. ``ahead`` maps features to indicators: each such feature is
+    also scored among the rows whose indicator is false, under the name ``ahead/feature``, either
+    by the totals of those rows or (``parent``) by those of the node.
     """
-    from pyspark.sql import Window
-
-    value = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
+    one = lambda name, v: F.struct(F.lit(name).alias("feature"), v.cast("double").alias("v"))
+    values = [one(f, F.col(f)) for f in features] + [one(AHEAD + f, F.when(~F.col(i), F.col(f))) for f, i in (ahead or {}).items()]
     w = F.col(weight)
-    stacked = samples.select("tree_key", "path", w.alias("w"), F.when(F.col(goal), w).otherwise(F.lit(0.0)).alias("wg"), value.alias("x")).filter(F.col("x.v").isNotNull())
+    stacked = samples.select("tree_key", "path", w.alias("w"), F.when(F.col(goal), w).otherwise(F.lit(0.0)).alias("wg"), F.explode(F.array(*values)).alias("x")).filter(F.col("x.v").isNotNull())
     distinct = stacked.groupBy("tree_key", "path", F.col("x.feature").alias("feature"), F.col("x.v").alias("v")).agg(F.sum("w").alias("w"), F.sum("wg").alias("wg"), F.count("*").alias("k"))
-    order = Window.partitionBy("tree_key", "path", "feature").orderBy("v")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    cum = distinct.select("*", F.sum("w").over(run).alias("lw"), F.sum("wg").over(run).alias("lg"), F.sum("k").over(run).alias("lk"), F.lead("v").over(order).alias("next"))
-    met = cum.filter(F.col("next").isNotNull()).join(F.broadcast(nodes), ["tree_key", "path"])
+    met = prefix_sums(distinct).filter(F.col("next").isNotNull()).join(F.broadcast(nodes), ["tree_key", "path"])  # as small as the trees
     imp = impurity_expr if criterion == "entropy" else gini_expr
     g, h, a = F.col("g"), F.col("h"), F.col("alpha")
-    rw, rg = F.col("n") - F.col("lw"), F.col("ng") - F.col("lg")
-    gain = F.col("n") / F.col("tree_n") * (imp(F.col("ng"), F.col("n"), g, h, a) - (F.col("lw") / F.col("n")) * imp(F.col("lg"), F.col("lw"), g, h, a) - (rw / F.col("n")) * imp(rg, rw, g, h, a))
+    looks = F.col("feature").startswith(AHEAD)
+    own = looks & F.lit(lookahead_totals == "child")
+    n, ng = F.when(own, F.col("sw")).otherwise(F.col("n")), F.when(own, F.col("sg")).otherwise(F.col("ng"))
+    whole = imp(F.when(looks, F.col("sg")).otherwise(ng), F.when(looks, F.col("sw")).otherwise(n), g, h, a)
+    rw, rg = n - F.col("lw"), ng - F.col("lg")
+    gain = n / F.col("tree_n") * (whole - (F.col("lw") / n) * imp(F.col("lg"), F.col("lw"), g, h, a) - (rw / n) * imp(rg, rw, g, h, a))
     scored = met.withColumn("gain", F.round(gain, 12)).withColumn("threshold", (F.col("v") + F.col("next")) / 2)
     if min_child:
-        scored = scored.filter((F.col("lk") >= min_child) & (F.col("rows") - F.col("lk") >= min_child))
+        scored = scored.filter((F.col("lk") >= min_child) & (F.when(looks, F.col("sk")).otherwise(F.col("rows")) - F.col("lk") >= min_child))
     best = F.max_by(F.struct("gain", "threshold"), F.struct(F.col("gain"), -F.col("threshold")))
-    return scored.groupBy("tree_key", "path", "feature").agg(best.alias("b")).select("tree_key", "path", "feature", "b.gain", "b.threshold")
+    return scored.groupBy(*SEGMENT).agg(best.alias("b")).select(*SEGMENT, "b.gain", "b.threshold")
 
 
 @dataclass
@@ -92,6 +128,8 @@ class Options:
     criterion: str = "entropy"
     min_child: int = 0
     oracle: bool = False  # treat features that may be missing as plain ones
+    prune: bool = True
+    lookahead_totals: str = "child"  # or "parent": whose totals a feature is looked ahead with
 
 
 def fit(samples: DataFrame, opt: Options) -> DataFrame:
@@ -133,15 +171,9 @@ def fit(samples: DataFrame, opt: Options) -> DataFrame:
         if not nxt:
             break
         small = spark.createDataFrame([(k[0], k[1], v["n"], v["n_goal"], v["rows"], tree[k[0]]["n"], tree[k[0]]["g"], tree[k[0]]["h"], tree[k[0]]["alpha"]) for k, v in nxt.items()], "tree_key string, path string, n double, ng double, rows long, tree_n double, g double, h double, alpha double")
-        gains = {(r["tree_key"], r["path"], r["feature"]): (r["gain"], r["threshold"]) for r in split_gains(rows, small, [*plain, *risky, *indicators], opt.criterion, min_child=opt.min_child).collect()}
-        ahead = {}
-        for ind in indicators:
-            feats = [f for f in risky if opt.missing[f] == ind]
-            part = rows.filter(~F.col(ind))
-            tot = totals(part, ["tree_key", "path"]).withColumnsRenamed({"n": "n2", "ng": "ng2", "rows": "rows2"})
-            own = small.join(tot, ["tree_key", "path"]).drop("n", "ng", "rows").withColumnsRenamed({"n2": "n", "ng2": "ng", "rows2": "rows"})
-            for r in split_gains(part, own, feats, opt.criterion, min_child=opt.min_child).collect():
-                ahead[(r["tree_key"], r["path"], r["feature"])] = r["gain"]
+        found_gains = split_gains(rows, small, [*plain, *risky, *indicators], opt.criterion, min_child=opt.min_child, ahead={f: opt.missing[f] for f in risky}, lookahead_totals=opt.lookahead_totals)
+        gains = {(r["tree_key"], r["path"], r["feature"]): (r["gain"], r["threshold"]) for r in found_gains.collect()}  # a row per open node and feature
+        ahead = {(*key, f): gains[(*key, AHEAD + f)][0] for key in nxt for f in risky if (*key, AHEAD + f) in gains}
         chosen = []
         for key, node in nxt.items():
             best = (0.0, None, None)
@@ -161,13 +193,13 @@ def fit(samples: DataFrame, opt: Options) -> DataFrame:
         picked = spark.createDataFrame(chosen, "tree_key string, path string, _f string, _t double")
         v = F.coalesce(*[F.when(F.col("_f") == f, F.col(f).cast("double")) for f in [*plain, *risky, *indicators]])
         rows = rows.join(F.broadcast(picked), ["tree_key", "path"]).withColumn("path", F.concat("path", F.when(v > F.col("_t"), "T").otherwise("F"))).drop("_f", "_t")
-    return prune(spark, done, opt.ccp_alpha)
+    return pruned(spark, done, opt.ccp_alpha, opt.prune)
 
 
-def prune(spark: SparkSession, nodes: list[dict], ccp_alpha: float) -> DataFrame:
-    """Drop splits whose gain is at most ``ccp_alpha``, deepest first, if both children are leaves; no data pass."""
+def pruned(spark: SparkSession, nodes: list[dict], ccp_alpha: float, prune: bool = True) -> DataFrame:
+    """The node table, unless told otherwise without splits whose gain is at most ``ccp_alpha``, deepest first, if both children are leaves; no data pass."""
     by = {(n["tree_key"], n["path"]): n for n in nodes}
-    for key in sorted(by, key=lambda k: -len(k[1])):
+    for key in sorted(by, key=lambda k: -len(k[1])) if prune else []:
         n = by.get(key)
         if n is None or n["feature"] is None:
             continue
@@ -180,15 +212,68 @@ def prune(spark: SparkSession, nodes: list[dict], ccp_alpha: float) -> DataFrame
     return spark.createDataFrame([tuple(n[c] for c in cols) for n in by.values()], NODE_SCHEMA)
 
 
-def _tests(nodes: list, missing: dict[str, str]) -> dict:
-    return {(n["tree_key"], n["path"]): n for n in nodes}
+def weakest_links(nodes: DataFrame) -> DataFrame:
+    """The node table with ``collapse``: the cost per leaf at and above which a split is cut off, weakest link first.
+
+    A subtree's cost is what its splits gain for each leaf they add. One fit thus holds the
+    pruned trees of all settings: that of a cost has the splits whose ``collapse`` is larger.
+    """
+    by = {(n["tree_key"], n["path"]): n.asDict() for n in nodes.collect()}  # as small as the trees
+    splits = {k for k, n in by.items() if n["feature"] is not None}
+    worth: dict[tuple[str, str], float] = {}
+    floor: dict[str, float] = {}
+    while splits:
+        gain, count = {}, {}
+        for k in sorted(splits, key=lambda k: -len(k[1])):
+            kids = [(k[0], k[1] + s) for s in "TF" if (k[0], k[1] + s) in splits]
+            gain[k], count[k] = by[k]["gain"] + sum(gain[c] for c in kids), 1 + sum(count[c] for c in kids)
+        for tree in {k[0] for k in splits}:
+            weakest = min((k for k in splits if k[0] == tree), key=lambda k: (gain[k] / count[k], len(k[1]), k[1]))
+            floor[tree] = max(floor.get(tree, -math.inf), gain[weakest] / count[weakest])
+            for k in [k for k in splits if k[0] == tree and k[1].startswith(weakest[1])]:
+                worth[k] = floor[tree]
+                splits.discard(k)
+    rows = [(*(n[c] for c in nodes.columns), worth.get(k)) for k, n in by.items()]
+    return nodes.sparkSession.createDataFrame(rows, T.StructType([*nodes.schema.fields, T.StructField("collapse", T.DoubleType())]))
+
+
+def cut_at(links: DataFrame, costs: list[float]) -> DataFrame:
+    """Node tables of all ``costs`` (``cost`` in front) from one with ``collapse``: splits that are not worth it become leaves, what was below them goes."""
+    each = links.withColumn("cost", F.explode(F.array(*map(F.lit, costs))))
+    gone = each.filter(F.col("feature").isNotNull() & (F.col("collapse") <= F.col("cost"))).select("cost", "tree_key", F.col("path").alias("_top"))
+    below = each.join(gone, ["cost", "tree_key"]).filter(F.col("path").startswith(F.col("_top")) & (F.col("path") != F.col("_top"))).select("cost", "tree_key", "path").distinct()
+    left = each.join(below, ["cost", "tree_key", "path"], "left_anti")
+    leaf = F.col("feature").isNull() | (F.col("collapse") <= F.col("cost"))
+    clear = [F.when(~leaf, F.col(c)).alias(c) if c in ("feature", "op", "threshold", "gain") else F.col(c) for c in links.columns if c != "collapse"]
+    return left.select("cost", *clear)
+
+
+def refitted(nodes: DataFrame, rows: DataFrame, alpha: float = 1.0, weight: str = "weight", goal: str = "has_goal") -> DataFrame:
+    """The node table with values and counts of other rows (``tree_key``, features): each row is counted at its leaf, leaves at all nodes above them."""
+    path = score_exprs(nodes, F.col("tree_key"))["path"]
+    leaves = totals(rows.select("tree_key", path.alias("leaf"), weight, goal), ["tree_key", "leaf"], weight, goal)
+    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.length("leaf")), lambda i: F.substring("leaf", 1, i)))
+    counts = leaves.filter(F.col("leaf").isNotNull()).select("tree_key", prefix.alias("path"), "n", "ng", "rows").groupBy("tree_key", "path").agg(*[F.sum(c).alias(c) for c in ("n", "ng", "rows")])
+    tree = counts.filter(F.col("path") == "R").select("tree_key", F.col("n").alias("_n"), F.col("ng").alias("_g"), (alpha * F.col("n") / F.col("rows")).alias("_a"))
+    met = nodes.drop("n_goal", "n_other").join(counts.drop("rows"), ["tree_key", "path"], "left").join(tree, "tree_key", "left").fillna(0.0, ["n", "ng", "_n", "_g"]).fillna(alpha, ["_a"])
+    a = F.col("_a")
+    up = (F.col("ng") + a) * (F.col("_n") + 2 * a) / 2 / (F.col("_g") + a)
+    down = (F.col("n") - F.col("ng") + a) * (F.col("_n") + 2 * a) / 2 / (F.col("_n") - F.col("_g") + a)
+    return met.withColumn("value", up / (up + down)).select(*[F.col("ng").alias(c) if c == "n_goal" else (F.col("n") - F.col("ng")).alias(c) if c == "n_other" else F.col(c) for c in nodes.columns])
+
+
+#: What a node's rule asks of its feature.
+RULES = {
+    ">": lambda v, t: v.cast("double") > t, ">=": lambda v, t: v.cast("double") >= t, "<": lambda v, t: v.cast("double") < t,
+    "<=": lambda v, t: v.cast("double") <= t, "is_true": lambda v, t: v.cast("boolean"),
+}
 
 
 def score_exprs(nodes: DataFrame, tree_key: Column, missing: dict[str, str] | None = None) -> dict[str, Column]:
     """Expressions over the samples: ``likelihood`` and ``path`` of the leaf reached, and, with indicators, ``truncated`` (stop at a node whose feature is missing).
 
-    A null feature takes the false branch; an unknown tree has likelihood 0.5. Only the
-    node table, as small as the trees, is collected.
+    A null feature takes the false branch; an unknown tree has likelihood 0.5; a rule that is
+    not in ``RULES`` is an error. Only the node table, as small as the trees, is collected.
     """
     by = {(n["tree_key"], n["path"]): n for n in nodes.collect()}
     missing = missing or {}
@@ -198,7 +283,7 @@ def score_exprs(nodes: DataFrame, tree_key: Column, missing: dict[str, str] | No
         if n["feature"] is None:
             return pick(n)
         f = n["feature"]
-        went = F.coalesce(F.col(f).cast("double") > n["threshold"], F.lit(False))
+        went = F.coalesce(RULES[n["op"]](F.col(f), n["threshold"]), F.lit(False))
         out = F.when(went, walk(key, path + "T", pick, stop)).otherwise(walk(key, path + "F", pick, stop))
         return F.when(F.coalesce(F.col(missing[f]), F.lit(False)), pick(n)).otherwise(out) if stop and f in missing else out
 
@@ -234,14 +319,14 @@ def hand_written(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, NODE_SCHEMA)
 
 
-#: Model variants: what differs is features, prior, keying and truncation, not code.
+#: Model variants: what differs is features, prior, keying and truncation, not code. Without features a likelihood is 1, so the prior alone decides.
 VARIANTS = {
     "prior_only": {"features": [], "prior": "typed"},
     "uniform_prior": {"features": [], "prior": "uniform"},
-    "general": {"features": ["f_quantity", "f_discount", "f_tax"], "oracle": True, "prior": "uniform"},
-    "occlusion_aware": {"features": ["f_quantity", "f_discount", "f_tax"], "missing": {"f_tax": "tax_missing"}, "prior": "uniform"},
-    "oracle": {"features": ["f_quantity", "f_discount", "f_tax"], "missing": {"f_tax": "tax_missing"}, "oracle": True, "prior": "uniform"},
+    "general": {"features": ["f_quantity", "f_discount", "f_tax"], "oracle": True, "prior": "typed"},
+    "occlusion_aware": {"features": ["f_quantity", "f_discount", "f_tax"], "missing": {"f_tax": "tax_missing"}, "prior": "typed"},
+    "oracle": {"features": ["f_quantity", "f_discount", "f_tax"], "missing": {"f_tax": "tax_missing"}, "oracle": True, "prior": "typed"},
     "per_goal": {"features": ["f_quantity", "f_discount", "f_tax"], "oracle": True, "prior": "uniform", "key": "goal"},
-    "truncated": {"features": ["f_quantity", "f_discount", "f_tax"], "oracle": True, "prior": "uniform", "truncate": True},
-    "no_missing_features": {"features": ["f_quantity", "f_discount"], "prior": "uniform"},
+    "truncated": {"features": ["f_quantity", "f_discount", "f_tax"], "oracle": True, "prior": "typed", "truncate": True},
+    "no_missing_features": {"features": ["f_quantity", "f_discount"], "prior": "typed"},
 }
