@@ -279,7 +279,11 @@ def compared(pairs: DataFrame, rows: DataFrame, info: DataFrame, size: int = WOR
 
 def _signs(pairs: DataFrame, rows: DataFrame, info: DataFrame) -> DataFrame:
     """``cls n bits`` of the classes of the pairs."""
-    held = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    return signs(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), rows, info)
+
+
+def signs(held: DataFrame, rows: DataFrame, info: DataFrame, size: int = WORDS) -> DataFrame:
+    """``cls n bits`` of the classes ``held``."""
     wanted = written(held.join(info, "cls").select("cls", F.col("rep").alias("_id")))
     bits = rows.sparkSession.sparkContext.broadcast(_key_filter(wanted, "_id"))
 
@@ -287,7 +291,7 @@ def _signs(pairs: DataFrame, rows: DataFrame, info: DataFrame) -> DataFrame:
         for pdf in batches:
             wanted_texts = pdf["_text"][_passes(bits.value, pdf["_slot"].to_numpy(np.int64))]
             for _, part in chunks(list(wanted_texts)):
-                yield pd.DataFrame([(set_hash(u), len(u), bitmap(u)) for u in shingles(part) if len(u)], columns=["cls", "n", "bits"])
+                yield pd.DataFrame([(set_hash(u), len(u), bitmap(u)) for u in shingles(part, size) if len(u)], columns=["cls", "n", "bits"])
 
     # bitmaps are made before the shuffle, as they are smaller than texts
     made = rows.filter(F.col("_id").isNotNull()).select("_text", _slot(F.col("_id")).alias("_slot")).mapInPandas(slim(run), "cls long, n long, bits binary")

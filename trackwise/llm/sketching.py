@@ -16,9 +16,9 @@ coordinates being concentrated as that of independent draws (Chernoff bounds).
    most often; then likewise among the classes left outside of the leaders' components.
    This joins groups of copies at linear cost.
 3. Classes of different components that still share a bucket meet in blocks of at most
-   ``block`` classes a side, by their sketches, inside a task; no pairs are emitted but those
-   that agree on ``LEAST`` coordinates or more (for a pair that links, fewer has a
-   probability below 1e-10).
+   ``block`` classes a side, inside a task: first by their sketches (a pair that links agrees
+   on fewer than ``LEAST`` coordinates with a probability below 1e-10), then by hashed bitmaps
+   of their whole sets, whose bits bound the overlap from above, nearly exactly. No other pairs are emitted.
 4. What passes is verified on full sets, by exact intersection of the shingles.
 
 Defined results: texts that are null or without words have the empty set, which links
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from trackwise.llm.bytewords import chunks, mix
 from trackwise.llm.graph import components
-from trackwise.llm.jaccard import compared, named_rows, set_hash, shingles, size_band, tiles_of
+from trackwise.llm.jaccard import compared, may_link, named_rows, set_hash, shingles, signs, size_band, tiles_of
 from trackwise.llm.text import light, slim, written
 
 WORDS = 4
@@ -138,18 +138,32 @@ def _may_link(pairs: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def _tile_pairs(tiles: DataFrame) -> DataFrame:
-    """Pairs of classes of different components, fitting sizes and alike sketches, from rows ``tile side cls n comp sig``."""
+    """Pairs of classes of different components and fitting sizes that sketches and bitmaps do not rule out, from rows ``tile side cls n comp sig bits``."""
 
     def whole(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         n, comp, cls, side = (pdf[c].to_numpy(np.int64) for c in ("n", "comp", "cls", "side"))
-        tile, sig = pdf["tile"].to_numpy(np.int64), _matrix(pdf["sig"])
+        tile, sig, bits = pdf["tile"].to_numpy(np.int64), _matrix(pdf["sig"]), pdf["bits"].to_numpy(object)
         start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+        left, right, held = [], [], 0
+
+        def bounded() -> pd.DataFrame:
+            i, j = np.concatenate(left), np.concatenate(right)
+            use = may_link(n[i], bits[i], n[j], bits[j])
+            return pd.DataFrame({"a": np.minimum(cls[i], cls[j])[use], "b": np.maximum(cls[i], cls[j])[use]})
+
         for a, b in zip(start, np.append(start[1:], len(tile)), strict=True):
             for i in range(a, b - 1):
                 j = np.arange(i + 1, b)
                 j = j[((side[j] != side[i]) | (side[j] == 2)) & (comp[j] != comp[i]) & (5 * np.minimum(n[j], n[i]) >= 4 * np.maximum(n[j], n[i]))]
                 if len(j) and len(j := j[_alike(sig[j], sig[i])]):
-                    yield pd.DataFrame({"a": np.minimum(cls[i], cls[j]), "b": np.maximum(cls[i], cls[j])})
+                    left.append(np.full(len(j), i))
+                    right.append(j)
+                    held += len(j)
+                    if held > 20_000:
+                        yield bounded()
+                        left, right, held = [], [], 0
+        if held:
+            yield bounded()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -198,7 +212,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     found = found.union(verified(written(pairs)))
     comp = components(found)
     left = tagged(live, comp).withColumn("band", size_band(F.col("n")))
-    tiles = tiles_of(left.select("key", "cls", "n", "band", "comp"), block).join(info.select("cls", "sig"), "cls")
+    tiles = written(tiles_of(left.select("key", "cls", "n", "band", "comp"), block))
+    bits = signs(tiles.select("cls").distinct(), rows, info, WORDS).select("cls", "bits")
+    tiles = tiles.join(written(info.select("cls", "sig").join(bits, "cls")), "cls")
     met = written(_tile_pairs(tiles))
     comp = components(found.union(written(compared(met, rows, info, WORDS))))
     out = named_rows(sets.select("_id", "n", "cls"), reps.select("cls", "rep", "copies"), comp)
