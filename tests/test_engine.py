@@ -13,7 +13,7 @@ from trackwise.sources import tables
 
 
 def states(spark, rows):
-    return spark.createDataFrame(rows, "episode long, agent_id long, frame_id long, x double, y double, heading double, speed double, hidden boolean, agent_type string")
+    return spark.createDataFrame([(0, *r) for r in rows], "scenario int, episode long, agent_id long, frame_id long, x double, y double, heading double, speed double, hidden boolean, agent_type string")
 
 
 @pytest.mark.parametrize(("a", "b", "d"), [(0.0, 1.0, 1.0), (3.0, -3.0, 2 * math.pi - 6), (0.0, math.pi, math.pi), (math.pi, 0.0, -math.pi), (-3.1, 3.1, 6.2 - 2 * math.pi)])
@@ -103,6 +103,8 @@ def test_sources(spark, tmp_path):
     m = tables.read_recording_meta(spark, str(tmp_path / "07_recordingMeta.csv")).collect()
     assert [(x.recordingId, x.frameRate, x.startTime, x.duration, x.numVehicles) for x in m] == [("07", 25.0, 8.0, 1.0, 1)]
     (tmp_path / "07_recordingMeta.csv").write_text("orthoPxToMeter,frameRate,recordingId\n0.1,25,7\n")
+    (tmp_path / "08_recordingMeta.csv").write_text("recordingId,startTime,frameRate\n8,2,30\n")
+    assert sorted((x.recordingId, x.frameRate, x.startTime) for x in tables.read_recording_meta(spark, str(tmp_path / "*_recordingMeta.csv")).collect()) == [("7", 25.0, None), ("8", 30.0, 2.0)]
     r = tables.read_recordings(spark, str(tmp_path)).first()
     assert (r.agent_type, r.fps, r.recording_id) == ("truck_bus", 25.0, "7") and r.heading == pytest.approx(math.pi)
     (tmp_path / "town.json").write_text('{"goals": [[1, 2], [3, 4]], "goal_types": [["a"], ["b", "c"]], "buildings": [[[0, 0], [1, 0], [1, 1]]]}')
@@ -112,7 +114,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "splits").write_text('{"town": {"train": [1, 2], "test": [2]}}')
     splits = tables.read_splits(spark, str(tmp_path / "splits"))
     assert posterior.leaking(splits).first().episode == 2
-    tables.write_samples(spark.createDataFrame([("town", 1, 5), ("town", 3, 6)], "scenario string, episode int, v int"), str(tmp_path / "samples"))
+    tables.write_samples(spark.createDataFrame([("town", 1, 9, 5), ("town", 3, 9, 6)], "scenario string, episode int, agent_id int, v int"), str(tmp_path / "samples"))
     assert [x.v for x in tables.read_samples(spark, str(tmp_path / "samples"), splits, "train").collect()] == [5]
     tables.write_model(trees.hand_written(spark), spark.createDataFrame([("A", 0.5)], "true_goal_type string, prior double"), str(tmp_path / "model"))
     assert tables.read_model(spark, str(tmp_path / "model"))[0].count() == trees.hand_written(spark).count()

@@ -66,8 +66,8 @@ def metric_table(pred: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def goal_priors(agents: DataFrame, grid: DataFrame, alpha: float) -> DataFrame:
-    """Smoothed share of distinct agents per cell of the configured grid; agents off the grid count in the total."""
-    seen = agents.select("agent_id", "true_goal", "true_goal_type").distinct()
+    """Smoothed share of distinct agents per cell of the configured grid; agents off the grid count in the total. Agent numbers count by the scenario and episode that ``agents`` have."""
+    seen = agents.select(*[c for c in ("scenario", "episode") if c in agents.columns], "agent_id", "true_goal", "true_goal_type").distinct()
     total = seen.agg(F.count("*").alias("total"))
     counts = seen.groupBy("true_goal", "true_goal_type").agg(F.count("*").alias("c"))
     cells = grid.agg(F.count("*").alias("cells"))

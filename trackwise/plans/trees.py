@@ -8,6 +8,7 @@ level for all trees, nodes and features together; the driver holds nodes only.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -269,8 +270,8 @@ RULES = {
 }
 
 
-def score_exprs(nodes: DataFrame, tree_key: Column, missing: dict[str, str] | None = None) -> dict[str, Column]:
-    """Expressions over the samples: ``likelihood`` and ``path`` of the leaf reached, and, with indicators, ``truncated`` (stop at a node whose feature is missing).
+def score_exprs(nodes: DataFrame, tree_key: Column, missing: dict[str, str] | None = None, column: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """Expressions over the samples, whose features are read by ``column``: ``likelihood`` and ``path`` of the leaf reached, and, with indicators, ``truncated`` (stop at a node whose feature is missing).
 
     A null feature takes the false branch; an unknown tree has likelihood 0.5; a rule that is
     not in ``RULES`` is an error. Only the node table, as small as the trees, is collected.
@@ -283,9 +284,9 @@ def score_exprs(nodes: DataFrame, tree_key: Column, missing: dict[str, str] | No
         if n["feature"] is None:
             return pick(n)
         f = n["feature"]
-        went = F.coalesce(RULES[n["op"]](F.col(f), n["threshold"]), F.lit(False))
+        went = F.coalesce(RULES[n["op"]](column(f), n["threshold"]), F.lit(False))
         out = F.when(went, walk(key, path + "T", pick, stop)).otherwise(walk(key, path + "F", pick, stop))
-        return F.when(F.coalesce(F.col(missing[f]), F.lit(False)), pick(n)).otherwise(out) if stop and f in missing else out
+        return F.when(F.coalesce(column(missing[f]), F.lit(False)), pick(n)).otherwise(out) if stop and f in missing else out
 
     def each(pick, stop: bool, none: Column) -> Column:
         out = none

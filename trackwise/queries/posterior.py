@@ -9,6 +9,7 @@ from trackwise import probes
 from trackwise.operators import posterior as op
 from trackwise.operators.posterior import r9
 from trackwise.registry import query
+from trackwise.shared import kept
 
 SAMPLE = ["scenario", "sample_id"]
 #: Priors by goal type; one type has none, so its probability is undefined.
@@ -35,12 +36,23 @@ SECOND = _pred_sql("likelihood2", ONE_BY_N, "m2")
 TYPED = _pred_sql("likelihood", "typed", "mt")
 
 
-def _uniform(spark: SparkSession, sf: str, likelihood: str = "likelihood") -> DataFrame:
-    return op.posterior(op.uniform_prior(probes.cand(spark, sf), SAMPLE), SAMPLE, likelihood)
+def _pred(spark: SparkSession, sf: str) -> DataFrame:
+    return op.summarise(op.posterior(op.uniform_prior(probes.cand(spark, sf), SAMPLE), SAMPLE), SAMPLE, ["fraction_observed"])
 
 
-def _pred(spark: SparkSession, sf: str, likelihood: str = "likelihood") -> DataFrame:
-    return op.summarise(_uniform(spark, sf, likelihood), SAMPLE, ["fraction_observed"])
+def _both(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of both models, named in ``model``, from one pass over the candidates."""
+    rest = [*SAMPLE, "possible_goal", "goal_type", "true_goal", "fraction_observed"]
+    key = ["model", *SAMPLE]
+    name = F.when(F.col("model") == "likelihood", "first").otherwise("second")
+    stacked = probes.cand(spark, sf).unpivot(rest, ["likelihood", "likelihood2"], "model", "lk").withColumn("model", name)
+    return op.summarise(op.posterior(op.uniform_prior(stacked, key), key, "lk"), key, ["fraction_observed"])
+
+
+def _two(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The predictions of each model, read from one written table."""
+    both = kept(_both(spark, sf).select("model", *SAMPLE, "true_goal_prob", "correct"))
+    return [both.filter(F.col("model") == m) for m in ("first", "second")]
 
 
 @query(f"WITH {C}, {TYPED} SELECT scenario, sample_id, possible_goal, round(prior, 9) AS prior, round(prob, 9) AS prob FROM mt_p")
@@ -78,8 +90,7 @@ round(avg(true_goal_prob), 9) AS mean_true_goal_prob, round(avg(CASE WHEN max_pr
 FROM b GROUP BY model, scenario""")
 def metrics_by_model_and_scenario(spark: SparkSession, sf: str) -> DataFrame:
     """O-68."""
-    both = _pred(spark, sf).withColumn("model", F.lit("first")).unionByName(_pred(spark, sf, "likelihood2").withColumn("model", F.lit("second")))
-    t = op.metric_table(both, ["model", "scenario"])
+    t = op.metric_table(_both(spark, sf), ["model", "scenario"])
     return t.select("model", "scenario", *[r9(c).alias(c) for c in _TABLE], "n", "n_undefined")
 
 
@@ -116,21 +127,20 @@ def drop_low_sample_agents(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {C}, {UNIFORM}, {SECOND} SELECT m1.scenario, m1.sample_id, round(m1.true_goal_prob - m2.true_goal_prob, 9) AS gain FROM m1 JOIN m2 ON m1.scenario = m2.scenario AND m1.sample_id = m2.sample_id WHERE m1.true_goal_prob - m2.true_goal_prob > 0.0123")
 def significant_gains(spark: SparkSession, sf: str) -> DataFrame:
     """O-43, by key."""
-    return op.gained(_pred(spark, sf), _pred(spark, sf, "likelihood2"), SAMPLE, 0.0123).withColumn("gain", r9("gain"))
+    return op.gained(*_two(spark, sf), SAMPLE, 0.0123).withColumn("gain", r9("gain"))
 
 
 @query(f"WITH {C}, {UNIFORM}, {SECOND} SELECT m1.scenario, m1.sample_id, m1.correct AS correct_a, m2.correct AS correct_b FROM m1 JOIN m2 ON m1.scenario = m2.scenario AND m1.sample_id = m2.sample_id WHERE m1.correct <> m2.correct")
 def model_disagreements(spark: SparkSession, sf: str) -> DataFrame:
     """O-44, O-61."""
-    return op.disagreeing(_pred(spark, sf), _pred(spark, sf, "likelihood2"), SAMPLE)
+    return op.disagreeing(*_two(spark, sf), SAMPLE)
 
 
 @query(f"""WITH {C}, {UNIFORM}, {SECOND}, a AS (SELECT sample_id FROM m1 WHERE correct = 1), b AS (SELECT sample_id FROM m2 WHERE correct = 1)
 SELECT 'both' AS side, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'second only', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def agents_across_runs(spark: SparkSession, sf: str) -> DataFrame:
     """O-98."""
-    a = _pred(spark, sf).filter(F.col("correct") == 1).select("sample_id")
-    b = _pred(spark, sf, "likelihood2").filter(F.col("correct") == 1).select("sample_id")
+    a, b = (m.filter(F.col("correct") == 1).select("sample_id") for m in _two(spark, sf))
     count = lambda d, s: d.agg(F.count("*").alias("n")).select(F.lit(s).alias("side"), "n")
     return count(a.intersect(b), "both").union(count(a.subtract(b), "first only")).union(count(b.subtract(a), "second only"))
 

@@ -25,4 +25,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the query modules, which register themselves."""
-    from trackwise.queries import learning, occlusion, posterior, roads, town, tracks  # noqa: F401
+    from trackwise.queries import learning, occlusion, posterior, roads, streams, town, tracks  # noqa: F401

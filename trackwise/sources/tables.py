@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,15 +38,24 @@ def recording_id() -> Column:
 
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The schema's columns by their names in the header, whatever their order; those the files lack are null. Files of one pattern share a header.
+    """The schema's columns by their names in each file's header, whatever their order; those a file lacks are null.
 
-    ``recordingId`` falls back to the file's name, ``_row`` orders the rows as they stand in the files.
+    The headers are read first, one line a file, by tasks; files of one header are then read together, so that as many
+    reads are planned as there are different headers. ``recordingId`` falls back to the file's name, ``_row`` orders
+    the rows as they stand in the files.
     """
-    raw = spark.read.option("header", True).csv(path)
-    there = set(raw.columns)
-    cols = [(F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})") if f.name in there else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
-    named = raw.select(*cols, recording_id().alias("_file"), F.monotonically_increasing_id().alias("_row"))
-    return named.withColumn("recordingId", F.coalesce("recordingId", "_file")).drop("_file")
+    lines = spark.read.text(path).select(F.col("value").alias("header"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    headers = lines.filter(F.col("at") == 0).groupBy("file").agg(F.min_by("header", "n").alias("header")).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header")
+    parts = []
+    for h in headers.toLocalIterator():  # a row per different header
+        raw = spark.read.option("header", True).csv([unquote(f) for f in h["files"]])
+        there = set(raw.columns)
+        cols = [(F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})") if f.name in there else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+        named = raw.select(*cols, recording_id().alias("_file"), F.monotonically_increasing_id().alias("_row"))
+        parts.append(named.withColumn("recordingId", F.coalesce("recordingId", "_file")).drop("_file"))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("_row", T.LongType())]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
