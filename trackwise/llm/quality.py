@@ -205,7 +205,7 @@ def keep_good(
     Near copies count once here (see ``removed_words``). Null and empty texts go, rows that
     repeat an id and text stay or go together, an empty table stays empty.
     """
-    own = _named(docs.select("*", F.struct("*").alias("__row")), doc_id, text, host, F.col("__row"))
+    own = _named(docs, doc_id, text, host, F.struct("*").alias("__row"))
     counted = document_counts(own, text="_text")
     good = counted.filter((F.col("n_words") >= 10) & (100 * F.col("n_repeat_words") <= 20 * F.col("n_words")))
     few = removed_words(_named(docs, doc_id, text, host), limit=limit, salts=salts).withColumnsRenamed({"_id": "_rid", "_text_hash": "_rhash", "removed_words": "_gone", "lines": "_hot_lines"})
