@@ -382,6 +382,22 @@ def test_lattice_takes_the_best_path(spark, docs, empty):
     assert piecelattice.cut_of(["ab"]) == piecelattice.FINE and piecelattice.cut_of(["a1"]) == piecelattice.COARSE
 
 
+def test_long_segments_in_blocks(spark):
+    rows, longest = piecelattice.pieces(spark, "piece_bpe_32k.model")
+    r = np.random.default_rng(3)
+    segs = ["a" * 37, "日本語のテキスト漢字" * 5, "".join(r.choice(list("abcdehilmnorst"), 200)), "\U0001f600é" * 20, "x", "internationalization" * 9, "ab" * 8]
+    df = spark.createDataFrame([(s, k) for k, s in enumerate(segs)], "seg string, n long")
+    want = {(x.seg, x.n): x.ids for x in piecelattice.encode_segments(df, rows, longest).collect()}
+    for block in (8, 16, 512):  # below, at and above the longest piece
+        assert {(x.seg, x.n): x.ids for x in piecelattice.encode_long(df, rows, longest, block).collect()} == want
+
+
+def test_text_without_a_break_takes_time_by_its_length(spark):
+    text = "q" * 200_000 + "漢" * 3000 + " " * 1000 + "end"
+    row = piecelattice.encode(spark.createDataFrame([(1, text), (2, text), (3, "end")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(x.round_trip for x in row) and row[0].ids == row[1].ids and len(row[2].ids) < 3 < len(row[0].ids) // 1000
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><script>var a='</p>'</script></head><body><nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav><article><h1>A head &amp; more</h1><p><b>First  text\nhere, of some length.<br><p>Second one.</p></article><div class='comments'><p>I do agree with that.</p></div><footer>&copy; me</footer></body></html>"
     pages = spark.createDataFrame([(i, "u", page if i < 3 else None) for i in range(4)], "page_id long, url string, html string")
