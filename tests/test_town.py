@@ -156,3 +156,35 @@ def test_closed_tracks(spark):
     got = {r.ts.day: [s.correct for s in r.steps] for r in out.filter("agent_id > 0").collect()}
     assert got == {1: [0.0, 1.0, 0.0, 1.0, 0.0], 3: [1.0]}
     assert progress[-1]["state_rows"] <= 1  # the closing row's own track alone is left
+
+
+def _hides(spark, rows):
+    return spark.createDataFrame([(0, 0, *r) for r in rows], "scenario int, episode int, agent_id long, frame_id long, x double, y double, heading double, speed double, hidden boolean")
+
+
+def test_curved_gap_follows_a_bend(spark):
+    # a quarter of a circle of radius 20 at 5 m/s, five frames a second; three of its fourths are hidden
+    at = lambda k: (k / 20.0) * 5.0 / 20.0 * 4.0
+    rows = [(1, k, 20 * math.sin(at(k)), 20 - 20 * math.cos(at(k)), at(k), 5.0, 6 <= k < 22) for k in range(30)]
+    got = {r.frame_id: r for r in tracks.gap_curves(_hides(spark, rows), 5).collect()}
+    assert sorted(got) == list(range(30))
+    for _, k, x, y, h, v, hidden in rows:
+        r = got[k]
+        assert r.filled == hidden and math.hypot(r.x_filled - x, r.y_filled - y) < 0.05 and abs(r.speed_filled - v) < 0.1 and abs(r.heading_filled - h) < 0.02
+        assert r.acceleration_filled is None if not hidden else abs(r.acceleration_filled) < 0.2
+
+
+def test_gaps_that_stand_still_or_do_not_close(spark):
+    rows = [(1, k, 3.0 + 0.001 * k, 4.0, 0.1 * k, 2.0, k in (2, 3)) for k in range(6)]  # does not move
+    rows += [(2, k, float(k), 0.0, 0.0, 5.0, k in (0, 1, 4, 5)) for k in range(6)]  # hidden at both ends
+    rows += [(3, k, float(k), 0.0, 0.0, 5.0, k in (1, 2)) for k in range(6)]  # opens right after the first frame
+    rows += [(4, k, float(k), 0.0, 0.0, 5.0, True) for k in range(3)]  # never seen
+    rows += [(5, k, None if k == 1 else float(k), 0.0, None if k == 1 else 0.0, 5.0, k == 2) for k in range(4)]  # nothing known where the gap opens
+    got = {(r.agent_id, r.frame_id): r for r in tracks.gap_curves(_hides(spark, rows), 5).collect()}
+    for k in (2, 3):
+        r = got[1, k]
+        assert (r.x_filled, r.y_filled, r.speed_filled, r.acceleration_filled, r.heading_filled) == (3.001, 4.0, 0.0, 0.0, 0.4)
+    frames = lambda a: sorted(k for b, k in got if b == a)
+    assert frames(2) == [2, 3] and frames(3) == [0, 3, 4, 5] and frames(4) == [] and frames(5) == [0, 1, 2, 3]
+    assert got[5, 2].x_filled is None and got[5, 2].filled
+    assert tracks.gap_curves(_hides(spark, rows[:0] or [rows[0]]).limit(0), 5).count() == 0

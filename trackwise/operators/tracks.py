@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,14 +161,68 @@ def reachable_prefix(states: DataFrame, n_reachable: str) -> DataFrame:
     return states.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("frame_id") < F.col("_stop"))).drop("_stop")
 
 
+def _between_seen(states: DataFrame, *columns: str) -> DataFrame:
+    """``states`` with ``_a`` and ``_b``, these columns of the last state seen up to each and of the next one from it on.
+
+    Both look back, over frames in rising and in falling order: a window that looks ahead is scanned anew for every row.
+    """
+    seen = F.when(~F.col("hidden"), F.struct(*columns))
+    over = lambda order: Window.partitionBy(*AGENT).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return states.withColumn("_b", F.last(seen, ignorenulls=True).over(over(F.desc("frame_id")))).withColumn("_a", F.last(seen, ignorenulls=True).over(over(F.asc("frame_id"))))
+
+
+def gap_curves(states: DataFrame, fps: float, least_move: float = 0.1) -> DataFrame:
+    """Hidden stretches as curves: ``states`` with ``filled`` and ``x_filled y_filled speed_filled heading_filled acceleration_filled``.
+
+    Between the last and the next seen state runs the cubic that has their places and velocities (``speed`` along
+    ``heading``); speed, heading and signed acceleration are its derivatives. An agent whose two seen places lie less than
+    ``least_move`` apart stands still in between: at the first place, with speed and acceleration 0 and the next seen
+    heading. Where the curve comes to rest, it has the heading of the straight line. Seen states keep their own values,
+    ``acceleration`` (if there is such a column, else null) included.
+
+    Only closed gaps are filled: hidden states before the first or after the last seen one, and those of a gap that
+    opens right after a track's first frame, are left out. States without place, speed or heading at a gap's ends give null.
+    """
+    w = Window.partitionBy(*AGENT)
+    values = states if "acceleration" in states.columns else states.withColumn("acceleration", F.lit(None).cast("double"))
+    ends = _between_seen(values.withColumn("_start", F.min("frame_id").over(w)), "frame_id", "x", "y", "speed", "heading")
+    a, b = (lambda c: F.col("_a")[c]), (lambda c: F.col("_b")[c])
+    closed = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (a("frame_id") > F.col("_start"))
+    rows = ends.filter(~F.col("hidden") | closed)
+    span = F.nullif(b("frame_id") - a("frame_id"), F.lit(0))  # null at seen states
+    rows = rows.withColumn("_u", (F.col("frame_id") - a("frame_id")) / span).withColumn("_time", span / F.lit(float(fps)))
+    u, u2 = F.col("_u"), F.col("_u") * F.col("_u")
+
+    def curve(c: str, turn: Callable[[Column], Column]) -> list[Column]:
+        """Place, velocity and acceleration of one coordinate."""
+        p, q = a(c), b(c)
+        m, n = (e("speed") * turn(e("heading")) * F.col("_time") for e in (a, b))
+        cubic, square = 2 * (p - q) + m + n, 3 * (q - p) - 2 * m - n
+        return [cubic * u2 * u + square * u2 + m * u + p, (3 * cubic * u2 + 2 * square * u + m) / F.col("_time"), (6 * cubic * u + 2 * square) / (F.col("_time") * F.col("_time"))]
+
+    names = [f"_{d}{c}" for c in "xy" for d in ("p", "v", "a")]
+    rows = rows.withColumns(dict(zip(names, curve("x", F.cos) + curve("y", F.sin), strict=True)))
+    rows = rows.withColumn("_still", F.hypot(b("x") - a("x"), b("y") - a("y")) < least_move).withColumn("_v", F.hypot("_vx", "_vy"))
+    rests = F.col("_v") < 1e-9
+    line = F.atan2(b("y") - a("y"), b("x") - a("x"))
+
+    def fill(own: str, standing: Column, moving: Column) -> Column:
+        return F.when(~F.col("hidden"), F.col(own)).when(F.col("_still"), standing).otherwise(moving).alias(f"{own}_filled")
+
+    zero = F.lit(0.0)
+    return rows.select(
+        *states.columns, F.col("hidden").alias("filled"), fill("x", a("x"), F.col("_px")), fill("y", a("y"), F.col("_py")), fill("speed", zero, F.col("_v")),
+        fill("heading", b("heading"), F.when(rests, line).otherwise(F.atan2("_vy", "_vx"))),
+        fill("acceleration", zero, F.when(rests, zero).otherwise((F.col("_vx") * F.col("_ax") + F.col("_vy") * F.col("_ay")) / F.col("_v"))),
+    )
+
+
 def gap_filled(states: DataFrame) -> DataFrame:
     """Replace hidden states by the straight line between the last and the next seen state; at a track's ends, repeat the nearest seen state.
 
     If the seen positions on both sides agree within 0.1 the agent stands still, and its last seen state is repeated.
     """
-    w = Window.partitionBy(*AGENT).orderBy("frame_id")
-    seen = F.when(~F.col("hidden"), F.struct("frame_id", "x", "y"))
-    out = states.withColumn("_a", F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(seen, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    out = _between_seen(states, "frame_id", "x", "y")
     share = (F.col("frame_id") - F.col("_a.frame_id")) / (F.col("_b.frame_id") - F.col("_a.frame_id"))
     still = F.hypot(F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y")) < 0.1
 

@@ -279,3 +279,29 @@ def place_on_path(spark: SparkSession, sf: str) -> DataFrame:
     found = polygons.place_on_path(asked, paths, town.edges, _STATE, ["start", "goal_lane"])
     inside = polygons.areas_holding(asked, town.edges, _STATE).select(*_STATE, F.col("area").alias("lane"), F.lit(True).alias("inside"))
     return found.join(inside, [*_STATE, "lane"], "left").select(*_STATE, F.col("pos").cast("long").alias("pos"), "lane", F.coalesce("inside", F.lit(False)).alias("inside"))
+
+
+#: Drives in which stretches are out of sight, some agents stop and go, and acceleration is that along the heading.
+HIDING = f"""SELECT scenario, episode, agent_id, frame_id, CASE WHEN agent_id % 9 = 5 THEN 30 * floor(x / 30) ELSE x END AS x, CASE WHEN agent_id % 9 = 5 THEN 30 * floor(y / 30) ELSE y END AS y, heading, speed,
+ax * cos(heading) + ay * sin(heading) AS acceleration, (frame_id + agent_id) % 13 < 6 AS hidden FROM ({probes.DRIVES}) z"""
+
+
+def _directions(h: str) -> str:
+    return f"round(cos({h}), 6) + 0.0 AS heading_x, round(sin({h}), 6) + 0.0 AS heading_y"
+
+
+@query(f"""WITH s AS ({HIDING}), w AS (SELECT *, min(frame_id) OVER (PARTITION BY {", ".join(tracks.AGENT)}) AS f0, max(CASE WHEN NOT hidden THEN frame_id END) OVER (PARTITION BY {", ".join(tracks.AGENT)} ORDER BY frame_id) AS fa, min(CASE WHEN NOT hidden THEN frame_id END) OVER (PARTITION BY {", ".join(tracks.AGENT)} ORDER BY frame_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fb FROM s),
+j AS (SELECT w.*, a.x AS x0, a.y AS y0, b.x AS x3, b.y AS y3, b.heading AS hb, (fb - fa) / {FPS}.0 AS t, (w.frame_id - fa) * 1.0 / (fb - fa) AS u, a.speed * cos(a.heading) AS vax, a.speed * sin(a.heading) AS vay, b.speed * cos(b.heading) AS vbx, b.speed * sin(b.heading) AS vby
+ FROM w JOIN s a ON {" AND ".join(f"a.{c} = w.{c}" for c in tracks.AGENT)} AND a.frame_id = fa JOIN s b ON {" AND ".join(f"b.{c} = w.{c}" for c in tracks.AGENT)} AND b.frame_id = fb WHERE w.hidden AND fa > f0),
+z AS (SELECT *, x0 + vax * t / 3 AS x1, y0 + vay * t / 3 AS y1, x3 - vbx * t / 3 AS x2, y3 - vby * t / 3 AS y2, sqrt((x3 - x0) * (x3 - x0) + (y3 - y0) * (y3 - y0)) < 0.1 AS still FROM j),
+m AS (SELECT *, {", ".join(f"(1-u)*(1-u)*(1-u)*{c}0 + 3*(1-u)*(1-u)*u*{c}1 + 3*(1-u)*u*u*{c}2 + u*u*u*{c}3 AS p{c}, 3*((1-u)*(1-u)*({c}1-{c}0) + 2*(1-u)*u*({c}2-{c}1) + u*u*({c}3-{c}2))/t AS v{c}, 6*((1-u)*({c}2-2*{c}1+{c}0) + u*({c}3-2*{c}2+{c}1))/(t*t) AS a{c}" for c in "xy")} FROM z)
+SELECT {", ".join(tracks.AGENT)}, frame_id, false AS filled, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(speed, 6) AS speed, round(acceleration, 6) + 0.0 AS acceleration, {_directions("heading")} FROM s WHERE NOT hidden
+UNION ALL SELECT {", ".join(tracks.AGENT)}, frame_id, true, CASE WHEN still THEN round(x0, 6) ELSE round(px, 6) END + 0.0, CASE WHEN still THEN round(y0, 6) ELSE round(py, 6) END + 0.0, CASE WHEN still THEN 0.0 ELSE round(sqrt(vx * vx + vy * vy), 6) END,
+CASE WHEN still OR vx * vx + vy * vy < 1e-18 THEN 0.0 ELSE round((vx * ax + vy * ay) / sqrt(vx * vx + vy * vy), 6) END + 0.0, {_directions("CASE WHEN still THEN hb WHEN vx * vx + vy * vy < 1e-18 THEN atan2(y3 - y0, x3 - x0) ELSE atan2(vy, vx) END")} FROM m""")
+def gap_curves(spark: SparkSession, sf: str) -> DataFrame:
+    """O-85: closed gaps of vehicles on bent lanes, against the same cubic by its control points."""
+    probes.expose(spark, sf, "events")
+    s = spark.sql(HIDING.replace("//", "div"))
+    c, h = tracks.gap_curves(s, FPS), F.col("heading_filled")
+    r6 = lambda v, name: (F.round(v, 6) + F.lit(0.0)).alias(name)
+    return c.select(*tracks.AGENT, "frame_id", "filled", *[r6(F.col(f"{n}_filled"), n) for n in ("x", "y", "speed", "acceleration")], r6(F.cos(h), "heading_x"), r6(F.sin(h), "heading_y"))
