@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from trackwise import probes
-from trackwise.operators import candidates, polygons, samples, tracks
+from trackwise.operators import candidates, occlusion, polygons, samples, tracks
 from trackwise.plans import trees
 from trackwise.queries import town
 from trackwise.sources import tables
@@ -188,3 +188,40 @@ def test_gaps_that_stand_still_or_do_not_close(spark):
     assert frames(2) == [2, 3] and frames(3) == [0, 3, 4, 5] and frames(4) == [] and frames(5) == [0, 1, 2, 3]
     assert got[5, 2].x_filled is None and got[5, 2].filled
     assert tracks.gap_curves(_hides(spark, rows[:0] or [rows[0]]).limit(0), 5).count() == 0
+
+
+def test_hidden_area_bounds_halve(spark):
+    states = spark.createDataFrame([(0, 0, 0, 1, 0.0, 3.0, 0.0), (0, 0, 0, 2, 20.0, -1.0, 0.4), (0, 0, 0, 3, 35.0, 4.0, 1.2)], "scenario int, episode int, frame_id long, agent_id long, x double, y double, heading double")
+    boxes = occlusion.outlines(states)
+    quads = occlusion.shadow_quads(occlusion.sightings(boxes))
+    segments = spark.createDataFrame([("a", 0.0, -10.0, 0.0, 150.0, 0.0, 160.0), ("b", 0.0, 40.0, -30.0, 70.0, 10.0, 50.0), ("c", 0.0, 500.0, 0.0, 510.0, 0.0, 10.0)], "lane string, s0 double, x0 double, y0 double, x1 double, y1 double, len double")
+    rects = occlusion.lane_rects(segments, 4.0)
+    assert {r.lane: r.a for r in rects.groupBy("lane").agg(F.round(F.sum(4 * F.col("hs") * F.col("ho")), 6).alias("a")).collect()} == {"a": 640.0, "b": 200.0, "c": 40.0}
+    sides = {}
+    for q in quads.collect():
+        sides.setdefault(q.ego_id, []).append([(q[f"_nx{i}"], q[f"_ny{i}"], q[f"_c{i}"]) for i in range(4)])
+    place = {r.agent_id: (r.x, r.y) for r in states.collect()}
+
+    def brute(ego, x0, y0, x1, y1, n, step=0.1):
+        ex, ey = place[ego]
+        ux, uy = (x1 - x0) / n, (y1 - y0) / n
+        hidden = 0
+        for i in range(round(n / step)):
+            for j in range(round(4 / step)):
+                s, o = (i + 0.5) * step, (j + 0.5) * step - 2
+                x, y = x0 + ux * s - uy * o, y0 + uy * s + ux * o
+                hidden += math.hypot(x - ex, y - ey) > 100 or any(all(a * x + b * y >= c for a, b, c in q) for q in sides.get(ego, []))
+        return hidden * step * step
+
+    want = {(e, r.lane): brute(e, r.x0, r.y0, r.x1, r.y1, r.len) for e in (1, 2, 3) for r in segments.collect() if r.lane != "c"}
+    open_area = []
+    for levels in (1, 2, 3):
+        got = {(r.ego_id, r.lane): r for r in occlusion.hidden_areas(boxes, rects, quads, 4.0, levels=levels).collect()}
+        assert set(got) == set(want)  # the third lane is out of sight
+        for k, r in got.items():
+            assert r.at_least - 0.5 <= want[k] <= r.at_most + 0.5 and r.at_least <= r.hidden_area <= r.at_most
+        open_area.append(sum(r.at_most - r.at_least for r in got.values()))
+    assert open_area[1] < 0.7 * open_area[0] and open_area[2] < 0.7 * open_area[1]
+    assert occlusion.hidden_areas(boxes.limit(0), rects, quads.limit(0), 4.0, levels=1).count() == 0
+    alone = occlusion.hidden_areas(boxes.filter("agent_id = 1"), rects, quads.limit(0), 4.0, levels=1).filter("lane = 'b'").first()
+    assert abs(alone.hidden_area) < 1e-9 and abs(alone.at_most) < 1e-9  # nothing stands in the way
