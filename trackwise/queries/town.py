@@ -219,8 +219,7 @@ _OUT = f"SELECT {', '.join(_LABELS)}, CAST(exit_number AS BIGINT) AS exit_number
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
     town = town_of(spark)
     states = kept(probes.drives(spark, sf))
-    boxes = kept(occlusion.outlines(tracks.each_second(tracks.moving_agents(states), FPS).select(*KEY, "x", "y", "heading", "speed")))
-    hidden = occlusion.hidden_targets(boxes, occlusion.shadow_quads(occlusion.sightings(boxes, buildings(spark))))
+    hidden = occlusion.hidden_between(tracks.each_second(tracks.moving_agents(states), FPS), buildings(spark))
     return samples.sample_table(states, hidden, town.maps(), fps=FPS, reach=REACH, radius=RADIUS)
 
 
