@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from trackwise.operators import occlusion
+from trackwise.operators import occlusion, tracks
 
 NAMES = "scenario int, episode int, frame_id long, agent_id long, x double, y double, heading double, speed double"
 
@@ -37,3 +37,15 @@ def test_views_do_not_grow_with_the_agents_of_a_pose(spark):
         ids = occlusion.followers(members)
         assert ids.select(F.explode("ids")).count() == members.count()
     assert sizes == [9 * 8 + 6] * 2
+
+
+def test_nearest_peers_of_a_crowd(spark):
+    states = spark.createDataFrame([(0, 0, 0, a, float(a % 4), float(a % 3), 0.0, 0.0) for a in range(40)], NAMES)
+    at = {r.agent_id: (r.x, r.y) for r in states.collect()}
+    dist = lambda a, b: round(((at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2) ** 0.5, 9)
+    want = {(a, i + 1): b for a in at for i, b in enumerate(sorted((b for b in at if b != a), key=lambda b: (dist(a, b), b))[:5])}
+    assert {(r.agent_id, r["rank"]): r.peer_id for r in tracks.nearest_peers(states, 5).collect()} == want
+    # 30,000 agents in one place, 9e8 pairs
+    many = spark.range(30_000).select(F.lit(0).alias("scenario"), F.lit(0).alias("episode"), F.lit(0).alias("frame_id"), F.col("id").alias("agent_id"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    got = tracks.nearest_peers(many, 3)
+    assert got.count() == 90_000 and got.agg(F.max("peer_id")).first()[0] == 3
