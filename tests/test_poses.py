@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from trackwise.operators import occlusion, tracks
+from trackwise.queries import roads
 
 NAMES = "scenario int, episode int, frame_id long, agent_id long, x double, y double, heading double, speed double"
 
@@ -49,3 +50,18 @@ def test_nearest_peers_of_a_crowd(spark):
     many = spark.range(30_000).select(F.lit(0).alias("scenario"), F.lit(0).alias("episode"), F.lit(0).alias("frame_id"), F.col("id").alias("agent_id"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
     got = tracks.nearest_peers(many, 3)
     assert got.count() == 90_000 and got.agg(F.max("peer_id")).first()[0] == 3
+
+
+def test_vehicles_in_front_of_a_crowd(spark):
+    """Against each pair of vehicles, with many at one place of a lane and a path whose own lane is watched."""
+    dice = random.Random(3)
+    rows = [(0, 0, 0, a, float(dice.choice([0, 3, 7, 11])), dice.choice(["a", "b"]), float(a)) for a in range(30)] + [(0, 0, 0, 99, 5.0, "a", 1.0)]
+    located = spark.createDataFrame(rows, "scenario int, episode int, frame_id long, agent_id long, lon double, lane string, speed double")
+    watch = spark.createDataFrame([("a", "g", "a", 5.5), ("a", "g", "b", 6.0), ("b", "g", "b", 9.0)], "start string, goal_lane string, peer_lane string, at double")
+    got = roads._nearest_watched(located, watch, F.col("at") - F.col("_lon"), F.col("_d") > 0)
+    far = {(r[5], r[3]): r for r in rows}
+    for r in got.collect():
+        near = [(round(w.at - p[4], 9), p[3], p[6]) for w in watch.collect() if w.start == r.start for p in rows if p[5] == w.peer_lane and p[3] != r.agent_id and w.at - p[4] > 0]
+        d, _, v = min(near)
+        assert (round(r._dist, 9), r._speed) == (d, v), far[r.start, r.agent_id]
+    assert got.count() == len(rows)
