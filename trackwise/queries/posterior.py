@@ -114,7 +114,7 @@ _WEIGHTS = "SELECT scenario, goal_type, (SELECT count(*) FROM c) * 1.0 / count(*
 @query(f"WITH {C}, w AS ({_WEIGHTS}) SELECT goal_type AS true_goal_type, round(sum(weight), 3) AS weighted, round(1.0 / count(*) OVER (), 9) AS uniform FROM w GROUP BY goal_type")
 def type_priors_from_balanced_weights(spark: SparkSession, sf: str) -> DataFrame:
     """O-66, O-67."""
-    w = op.balanced_weights(probes.cand(spark, sf)).groupBy(F.col("goal_type").alias("true_goal_type")).agg(F.round(F.sum("weight"), 3).alias("weighted"))
+    w = op.balanced_weights(kept(probes.cand(spark, sf).select("scenario", "goal_type"))).groupBy(F.col("goal_type").alias("true_goal_type")).agg(F.round(F.sum("weight"), 3).alias("weighted"))
     return w.crossJoin(w.agg(F.count("*").alias("k"))).select("true_goal_type", "weighted", F.round(F.lit(1.0) / F.col("k"), 9).alias("uniform"))
 
 
