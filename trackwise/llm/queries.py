@@ -43,7 +43,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piecelattice.encode(_table(spark, sf_dir, "documents"), whole=False)
+    return piecelattice.encode(_table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
