@@ -10,13 +10,16 @@ A document is the set of its five-word shingles, by 64-bit hash. Two sets link w
    shared passages seldom stand among the first. Shingles held by one class are dropped.
 3. In every (shingle, size band) the class leads that shares the largest part of its first
    shingles, as the source of a group of copies does. Every other class is compared with
-   the one leader it meets most often, by bitmaps, then exactly. This joins groups of near
-   copies at linear cost.
-4. What is left are classes that share a first shingle but no component. They meet in
-   size-banded tiles: classes of one band and the next, in blocks of at most
-   ``block`` classes a side. Pairs of fitting sizes that meet over SHARED first shingles
-   are kept; bit counts of hashed bitmaps then bound the overlap from above, and pairs
-   that pass are compared exactly.
+   the one leader it meets most often, by parity sketches, then exactly. This joins groups
+   of near copies at linear cost.
+4. What is left are classes that share one of their first n // 5 + 1 shingles (sets that
+   link share one of these) but no component. They meet in size-banded tiles: classes of
+   one band and the next, in blocks of at most ``block`` classes a side. A tile's rows carry
+   their sketches, so that only pairs leave a tile whose sizes and sketches leave a link
+   possible, and these are compared exactly.
+
+A parity sketch has a bit for the parity of the elements hashed to it, so two sketches differ
+in no more bits than their sets in elements: the bound never loses a link.
 
 The exact comparison intersects sorted shingle arrays. Texts are shorter than their arrays, so
 the texts of the compared classes travel, once for each group of FAN comparisons with a leader.
@@ -44,6 +47,7 @@ WORDS = 5
 SHARED = 16
 FAN = 256
 BITMAP, MAX_BITMAP = 2048, 1 << 17
+PARITY = 512
 FILTER_BITS = 1 << 26
 SAMPLE_DOCS, SAMPLE_SHARE, MAX_HOT = 32768, 4096, 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -87,6 +91,43 @@ def bitmap(u: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def parity(u: np.ndarray) -> bytes:
+    """The parities of a set's elements over hashed bits: a power of two of them, the set's size or more."""
+    width = PARITY
+    while width < len(u):
+        width *= 2
+    at = (mix(u ^ _P) % np.uint64(width)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=width).astype(np.uint8) & 1).tobytes()
+
+
+class Parities:
+    """Sketches of ``parity`` with the sizes ``n`` of their sets."""
+
+    def __init__(self, n: np.ndarray, sketches: list[bytes]):
+        self.n, self.wide = n, np.fromiter(map(len, sketches), np.int64, len(sketches))
+        self.place, self.of = np.zeros(len(n), np.int64), {}
+        for w in np.unique(self.wide):
+            at = np.flatnonzero(self.wide == w)
+            self.place[at] = np.arange(len(at))
+            self.of[w] = np.frombuffer(b"".join(sketches[k] for k in at), np.uint64).reshape(len(at), w // 8)
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether sizes and sketches leave a link of the sets ``i`` and ``j`` possible; the wider sketch is folded onto the narrower."""
+        out = 5 * np.minimum(self.n[i], self.n[j]) >= 4 * np.maximum(self.n[i], self.n[j])
+        todo = np.flatnonzero(out)
+        kind = self.wide[i[todo]] * (1 << 32) + self.wide[j[todo]]
+        for k in np.unique(kind):
+            x, y, at = k >> 32, k & 0xFFFFFFFF, todo[kind == k]
+            w = min(x, y) // 8
+            step = max(1, 1_000_000 // (max(x, y) // 8))
+            for s in range(0, len(at), step):
+                part = at[s : s + step]
+                p, q = (np.bitwise_xor.reduce(self.of[z][self.place[r[part]]].reshape(len(part), -1, w), 1) for z, r in ((x, i), (y, j)))
+                apart = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+                out[part] = 9 * apart <= self.n[i[part]] + self.n[j[part]]
+        return out
+
+
 def shared_least(n):
     """How many of their first shingles two sets that link share at least, for the smaller of their values."""
     return np.minimum(SHARED, n - n // 5)
@@ -126,59 +167,60 @@ def _hot(rows: DataFrame, n_docs: int) -> np.ndarray:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """``_id n cls`` per row."""
+    """``_id n cls sketch`` per row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at, part in chunks(list(pdf["_text"])):
-                out = [(len(u), set_hash(u)) if len(u) else (0, 0) for u in shingles(part)]
-                frame = pd.DataFrame(out, columns=["n", "cls"])
+                out = [(len(u), set_hash(u), parity(u)) if len(u) else (0, 0, b"") for u in shingles(part)]
+                frame = pd.DataFrame(out, columns=["n", "cls", "sketch"])
                 frame.insert(0, "_id", pdf["_id"].iloc[at : at + len(part)].array)
                 yield frame
 
-    return rows.mapInPandas(slim(run), "_id long, n long, cls long")
+    return rows.mapInPandas(slim(run), "_id long, n long, cls long, sketch binary")
 
 
 def _first(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``key cls``: the first shingles of each class, once a task however many copies it reads."""
+    """``key cls core``: the first shingles of each class, once a task however many copies it reads; ``core``: it is one of the first n // 5 + 1."""
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in batches:
             for _, part in chunks(list(pdf["_text"])):
-                keys, own = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                keys, own, cores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
                 for u in shingles(part):
                     if len(u) and (c := set_hash(u)) not in seen:
                         seen.add(c)
                         keys.append(in_order(u, shared.value).view(np.int64))
                         own.append(np.full(len(keys[-1]), c))
-                key, cls = np.concatenate(keys), np.concatenate(own)
+                        cores.append(np.arange(len(keys[-1])) <= len(u) // 5)
+                key, cls, core = np.concatenate(keys), np.concatenate(own), np.concatenate(cores)
                 for at in range(0, len(key), 200_000):
-                    yield pd.DataFrame({"key": key[at : at + 200_000], "cls": cls[at : at + 200_000]})
+                    yield pd.DataFrame({"key": key[at : at + 200_000], "cls": cls[at : at + 200_000], "core": core[at : at + 200_000]})
 
-    return rows.filter(F.col("_id").isNotNull()).select("_text").mapInPandas(slim(run), "key long, cls long")
+    return rows.filter(F.col("_id").isNotNull()).select("_text").mapInPandas(slim(run), "key long, cls long, core boolean")
 
 
 def _members(first: DataFrame) -> DataFrame:
     """The distinct rows of keys that several classes hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, cls, told = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        key, cls, core, told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), False
         for pdf in batches:
             # the last row of the batch before stands in front, as it may be of the same key
-            key, cls = np.concatenate([key, pdf["key"].to_numpy(np.int64)]), np.concatenate([cls, pdf["cls"].to_numpy(np.int64)])
+            key, cls, core = np.concatenate([key, pdf["key"].to_numpy(np.int64)]), np.concatenate([cls, pdf["cls"].to_numpy(np.int64)]), np.concatenate([core, pdf["core"].to_numpy(bool)])
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-            key, cls = key[new], cls[new]
+            key, cls, core = key[new], cls[new], core[new]
             same = key[1:] == key[:-1]
             held = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             last_told = bool(held[-1]) or (told and len(key) == 1)
             if told:
                 held[0] = False
-            yield pd.DataFrame({"key": key[held], "cls": cls[held]})
-            key, cls, told = key[-1:], cls[-1:], last_told
+            yield pd.DataFrame({"key": key[held], "cls": cls[held], "core": core[held]})
+            key, cls, core, told = key[-1:], cls[-1:], core[-1:], last_told
 
-    return first.repartition("key").sortWithinPartitions("key", "cls").mapInPandas(slim(run), "key long, cls long")
+    return first.repartition("key").sortWithinPartitions("key", "cls").mapInPandas(slim(run), "key long, cls long, core boolean")
 
 
 def _led(tagged: DataFrame, order: Column) -> DataFrame:
@@ -277,11 +319,6 @@ def compared(pairs: DataFrame, rows: DataFrame, info: DataFrame, size: int = WOR
     return met.mapInPandas(slim(meet), "a long, b long").distinct()
 
 
-def _signs(pairs: DataFrame, rows: DataFrame, info: DataFrame) -> DataFrame:
-    """``cls n bits`` of the classes of the pairs."""
-    return signs(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), rows, info)
-
-
 def signs(held: DataFrame, rows: DataFrame, info: DataFrame, size: int = WORDS) -> DataFrame:
     """``cls n bits`` of the classes ``held``."""
     wanted = written(held.join(info, "cls").select("cls", F.col("rep").alias("_id")))
@@ -319,65 +356,64 @@ def may_link(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.n
     return out
 
 
-def _bounded(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """Of the pairs ``a, b`` those that sizes and bitmaps do not rule out."""
-    met = pairs.join(signs.withColumnsRenamed({"cls": "b", "n": "nb", "bits": "yb"}), "b").join(signs.withColumnsRenamed({"cls": "a", "n": "na", "bits": "ya"}), "a")
+def _bounded(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Of the pairs ``a, b`` those that sizes and sketches do not rule out."""
+    side = lambda s: info.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                x, y = (pdf[c].to_numpy(object) for c in ("ya", "yb"))
-                yield pdf.loc[may_link(pdf["na"].to_numpy(np.int64), x, pdf["nb"].to_numpy(np.int64), y), ["a", "b"]]
+            m = len(pdf)
+            both = Parities(np.concatenate([pdf["na"].to_numpy(np.int64), pdf["nb"].to_numpy(np.int64)]), [*pdf["sa"], *pdf["sb"]])
+            yield pdf.loc[both.may_link(np.arange(m), np.arange(m, 2 * m)), ["a", "b"]]
 
     return met.mapInPandas(slim(check), "a long, b long")
 
 
 def _tile_pairs(tiles: DataFrame) -> DataFrame:
-    """Pairs of classes of different components and fitting sizes that meet often enough, from rows of tiles."""
-
-    def met(n, comp, cls, side, i, j) -> np.ndarray:
-        use = ((side[i] != side[j]) | (side[i] == 2)) & (comp[i] != comp[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
-        i, j = i[use], j[use]
-        return np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.minimum(shared_least(n[i]), shared_least(n[j]))], 1)
-
-    def counted(got: list) -> pd.DataFrame:
-        return pd.DataFrame(np.concatenate(got), columns=["a", "b", "least"]).groupby(["a", "b", "least"], sort=False).size().rename("times").reset_index()
+    """Pairs of classes of different components that sizes and sketches do not rule out, from rows ``tile side cls n comp sketch`` of tiles."""
 
     def whole(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """All tiles of a frame sorted by tile; tiles of the same size are worked on together, in runs of bounded size."""
         n, comp, cls, side = (pdf[c].to_numpy(np.int64) for c in ("n", "comp", "cls", "side"))
+        sketched = Parities(n, list(pdf["sketch"]))
         tile = pdf["tile"].to_numpy(np.int64)
         start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
         size = np.diff(np.append(start, len(tile)))
-        got, held = [], 0
+        got, held = [np.zeros((0, 2), np.int64)], 0
         for m in np.unique(size[size > 1]):
             up, right = np.triu_indices(m, 1)
             first = start[size == m]
             step = max(1, 200_000 // len(up))
             for at in range(0, len(first), step):
                 f = first[at : at + step, None]
-                got.append(met(n, comp, cls, side, (f + up).ravel(), (f + right).ravel()))
+                i, j = (f + up).ravel(), (f + right).ravel()
+                use = ((side[i] != side[j]) | (side[i] == 2)) & (comp[i] != comp[j])
+                i, j = i[use], j[use]
+                use = sketched.may_link(i, j)
+                i, j = cls[i[use]], cls[j[use]]
+                got.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
                 held += len(got[-1])
                 if held > 200_000:
-                    yield counted(got)
-                    got, held = [], 0
-        if held:
-            yield counted(got)
+                    got = [np.unique(np.concatenate(got), axis=0)]
+                    held = len(got[0])
+                    if held > 100_000:
+                        yield pd.DataFrame(got[0], columns=["a", "b"])
+                        got, held = [np.zeros((0, 2), np.int64)], 0
+        yield pd.DataFrame(np.unique(np.concatenate(got), axis=0), columns=["a", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for pdf in batches:
             held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = held["tile"].iloc[-1]
-            done = held["tile"] != last
+            done = held["tile"] != held["tile"].iloc[-1] if len(held) else []
             if len(held) > 4000 and done.any():
                 yield from whole(held[done])
                 held = held[~done].reset_index(drop=True)
         if held is not None and len(held):
             yield from whole(held)
 
-    pairs = tiles.repartition("tile").sortWithinPartitions("tile").mapInPandas(slim(run), "a long, b long, least long, times long")
-    return pairs.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("times").alias("times")).filter(F.col("times") >= F.col("least")).select("a", "b")
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInPandas(slim(run), "a long, b long").distinct()
 
 
 def tiles_of(tagged: DataFrame, block: int) -> DataFrame:
@@ -425,23 +461,22 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bloc
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     sets = written(_sets(rows))
     hot = _hot(rows, sets.count())
-    reps = sets.filter((F.col("n") > 0) & F.col("_id").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    reps = sets.filter((F.col("n") > 0) & F.col("_id").isNotNull()).groupBy("cls").agg(F.min("_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.count("*").alias("copies"))
     members = written(_members(_first(rows, hot)))
     firsts = (F.floor(F.col("n") / 5) + F.least(F.lit(SHARED), F.col("n") - F.floor(F.col("n") / 5))).cast("double")
     held = members.groupBy("cls").agg(F.count("*").alias("k"))
-    info = written(held.join(reps, "cls").select("cls", "n", "rep", (F.col("k") / firsts).alias("part")))
+    info = written(held.join(reps, "cls").select("cls", "n", "rep", "sketch", (F.col("k") / firsts).alias("part")))
 
     def tag(comp: DataFrame | None) -> DataFrame:
         known = info.withColumn("comp", F.col("cls")) if comp is None else info.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         return members.join(known.select("cls", "n", "part", "comp"), "cls")
 
     led = written(_led(tag(None), -F.col("part")))
-    found = written(compared(written(_bounded(led, _signs(led, rows, info))), rows, info))
+    found = written(compared(written(_bounded(led, info)), rows, info))
     comp = components(found)
-    tagged = written(tag(comp).withColumn("band", size_band(F.col("n"))).select("key", "cls", "n", "band", "comp"))
-    met = written(_tile_pairs(tiles_of(tagged, block)))
-    near = written(_bounded(met, _signs(met, rows, info)))
-    comp = components(found.union(written(compared(near, rows, info))))
+    tagged = written(tag(comp).filter("core").withColumn("band", size_band(F.col("n"))).select("key", "cls", "n", "band", "comp"))
+    met = written(_tile_pairs(tiles_of(tagged, block).join(info.select("cls", "sketch"), "cls")))
+    comp = components(found.union(written(compared(met, rows, info))))
     return named_rows(sets, reps, comp)
 
 
