@@ -1,22 +1,19 @@
-"""SentencePiece encoding and decoding over a relational lattice.
+"""SentencePiece encoding over a lattice of pieces, many segments at once.
 
 A text becomes its marked form (a leading mark, spaces as marks) and is cut into
 segments at places that no piece reaches over, so a text's ids are those of its segments
-in order. Every distinct segment is encoded once: its substrings up to the longest piece
-are exploded and equi-joined to the piece table (without the pieces that a split of theirs
-outscores, which no best path holds), the edges are grouped by segment, and a
-fold with the higher-order ``aggregate`` takes the path of the greatest score sum
-(Viterbi; of equal sums the one that ends in the shortest piece). A character without a
-piece is an edge ``UNKNOWN`` below the least score and becomes its byte pieces.
+in order. Every task solves the lattice once for each distinct segment of a batch of rows:
+all places meet the pieces that start there (a trie as sorted keys, one search a length, without the pieces
+that a split of theirs outscores, which no best path holds), edges are put in order of their
+starts, and the path of the greatest score sum is taken (Viterbi; of equal sums the one
+that ends in the shortest piece). A character without a piece is an edge ``UNKNOWN``
+below the least score and becomes its byte pieces. Documents stay in the task that read them: neither
+segments nor ids are shuffled.
 
 For a unigram model these are the library's ids. The public model is a BPE model, whose
 library merges greedily instead; its pieces and scores give other, equally decodable ids
-here. The fold holds the sums of the last positions only. Segments above ``BLOCK``
-characters are exploded, grouped and folded in blocks, so time grows with their length;
-the edges of one segment (about 24 bytes a character) meet in one row.
-
-Segments with at least 1/2**20 of all occurrences (at most 2**20 of them) are looked up
-by broadcast, all rarer ones by a shuffled join.
+here. Time grows with a segment's length; edges are held for ``BLOCK`` starts of a segment at a time,
+sums and steps (16 bytes a character) for all of it.
 
 Defined results: null and empty texts have no ids; rows that repeat an id are rows of
 their own; extra columns are ignored.
@@ -25,16 +22,18 @@ their own; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwise.llm.text import let, written
+from trackwise.llm.text import light, slim
 
 MARK = "▁"
 UNKNOWN = 10.0
-SHARE = 1 << 20
 FIRST_BYTE = 3
 
 
@@ -65,15 +64,6 @@ def segments(text: Column, cut: str = FINE) -> Column:
     return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(cut), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-#: An edge in one long: its end * STEP + its length * IDS + id + 1 (0: no piece).
-IDS, STEP = 1 << 21, 1 << 31
-
-
-def literals(values: list, kind: str) -> Column:
-    """A literal array, built in one call."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
 def used(rows: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
     """The pieces that a best path can hold: those that no split of theirs into pieces outscores, as the split could always stand in their place."""
     score = {p: s for p, _, s in rows}
@@ -88,164 +78,156 @@ def used(rows: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
     return [r for r in rows if len(r[0]) == 1 or not outscored(r[0])]
 
 
-#: Characters above which a segment is encoded in blocks of as many.
-BLOCK = 512
-#: Any text with a segment above ``BLOCK`` characters has such a run: a segment is marks followed by what is no mark.
-RUN = f"[^ \\n]{{{BLOCK // 2}}}|[ {MARK}]{{{BLOCK // 2 - 1}}}"
-
-
-def _viterbi(scores: Column, longest: int) -> Callable[[Column, Column], Column]:
-    """A step of the fold over edges in order of their ends, then lengths; ``scores``: the score by id + 1.
-
-    Every position has one edge of length 1, which closes the position before it: its sum goes to ``last`` (the
-    sums of the last ``longest`` positions), its best edge to ``back``.
-    """
-
-    def step(acc: Column, x: Column) -> Column:
-        own = x.bitwiseAND(F.lit(STEP - 1))
-        size, score = F.shiftright(own, 21).cast("int"), F.get(scores, own.bitwiseAND(F.lit(IDS - 1)).cast("int"))
-        opened = F.struct(
-            F.slice(F.concat(F.array(acc["total"]), acc["last"]), 1, longest).alias("last"), F.concat(acc["back"], F.array(acc["took"])).alias("back"),
-            (acc["total"] + score).alias("total"), own.alias("took"),
-        )
-        total = F.get(acc["last"], size - 1) + score
-        better = F.struct(acc["last"].alias("last"), acc["back"].alias("back"), total.alias("total"), own.alias("took"))
-        return F.when(own < 2 * IDS, opened).when(total > acc["total"], better).otherwise(acc)
-
-    return step
-
-
-def _none(kind: str) -> Column:
-    return F.array().cast(f"array<{kind}>")
-
-
-def _best_path(edges: Column, scores: Column, longest: int) -> Column:
-    """Per position, from 0 on, the last edge of the best path to it."""
-    start = F.struct(_none("double").alias("last"), _none("bigint").alias("back"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("took"))
-    return F.aggregate(edges, start, _viterbi(scores, longest), lambda acc: F.concat(acc["back"], F.array(acc["took"])))
-
-
-def _best_path_of_blocks(blocks: Column, scores: Column, longest: int) -> Column:
-    """``_best_path`` over blocks in order: ``backs``, the edges of each block's positions, and ``took``, that of the last position.
-
-    A block's fold starts from the sums and the open position of the block before, with no back edges of its own, so none is copied more than once a block.
-    """
-    step = _viterbi(scores, longest)
-
-    def block(acc: Column, b: Column) -> Column:
-        start = F.struct(acc["last"].alias("last"), _none("bigint").alias("back"), acc["total"].alias("total"), acc["took"].alias("took"))
-        return F.aggregate(b["edges"], start, step, lambda r: F.struct(r["last"].alias("last"), F.concat(acc["backs"], F.array(r["back"])).alias("backs"), r["total"].alias("total"), r["took"].alias("took")))
-
-    start = F.struct(_none("double").alias("last"), _none("array<bigint>").alias("backs"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("took"))
-    return F.aggregate(blocks, start, block, lambda acc: F.struct(acc["backs"].alias("backs"), acc["took"].alias("took")))
-
-
-def _ids(seg: Column, back: Column) -> Column:
-    """The ids along the best path; a character without a piece gives its bytes."""
-    n = F.size(back) - 1
-
-    def step(acc: Column, i: Column) -> Column:
-        on = F.struct((i - F.shiftright(back[i], 21).cast("int")).alias("at"), F.concat(F.array(i.cast("long") * STEP + back[i].bitwiseAND(F.lit(IDS - 1))), acc["path"]).alias("path"))
-        return F.when(i == acc["at"], on).otherwise(acc)
-
-    start = F.struct(n.alias("at"), F.array().cast("array<bigint>").alias("path"))
-    path = F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), start, step, lambda acc: acc["path"])
-
-    return _ids_along(path, lambda e: F.substring(seg, e, F.lit(1)))
-
-
-def _ids_along(path: Column, character: Callable[[Column], Column]) -> Column:
-    """The ids of a path's edges; ``character``: the one that ends at a position, which gives its bytes if it has no piece."""
-
-    def bytes_of(e: Column) -> Column:
-        raw = F.hex(F.encode(character(e), "UTF-8"))
-        return F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda k: F.conv(F.substring(raw, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + FIRST_BYTE)
-
-    def each(x: Column) -> Column:
-        own = x.bitwiseAND(F.lit(STEP - 1)).cast("int")
-        return F.when(own > 0, F.array(own - 1)).otherwise(bytes_of(F.shiftright(x, 31).cast("int")))
-
-    return F.flatten(F.transform(path, each))
-
-
-def _ids_of_blocks(blocks: Column, best: Column, size: int) -> Column:
-    """``_ids`` for blocks ``b chunk`` of ``size`` positions; block b closes the positions from b * size on, its chunk starts after ``_before(b)`` characters."""
-    one = lambda at, x: (at.cast("long") * STEP + x.bitwiseAND(F.lit(IDS - 1)))
-
-    def of_block(acc: Column, b: Column) -> Column:
-        back = best["backs"][b]
-
-        def step(own: Column, k: Column) -> Column:
-            i = b * size + k
-            on = F.struct((i - F.shiftright(back[k], 21).cast("int")).alias("at"), F.concat(F.array(one(i, back[k])), own["path"]).alias("path"))
-            return F.when((i == own["at"]) & (i > 0), on).otherwise(own)
-
-        start = F.struct(acc["at"].alias("at"), _none("bigint").alias("path"))
-        return F.aggregate(F.sequence(F.size(back) - 1, F.lit(0), F.lit(-1)), start, step, lambda r: F.struct(r["at"].alias("at"), F.concat(F.array(r["path"]), acc["paths"]).alias("paths")))
-
-    n = F.size(blocks)
-    end = (n - 1) * size + F.size(best["backs"][n - 1])
-    start = F.struct((end - F.shiftright(best["took"], 21).cast("int")).alias("at"), F.array(F.array(one(end, best["took"]))).alias("paths"))
-    path = F.aggregate(F.sequence(n - 1, F.lit(0), F.lit(-1)), start, of_block, lambda acc: F.flatten(acc["paths"]))
-
-    def character(e: Column) -> Column:
-        b = F.floor((e - 1) / size).cast("int")
-        return F.substring(blocks[b]["chunk"], e - blocks[b]["ahead"], F.lit(1))
-
-    return _ids_along(path, character)
-
-
-def _score_table(rows: list[tuple[str, int, float]]) -> Column:
-    """The scores by id + 1."""
-    least = min(r[2] for r in rows)
-    by_id = {i: s for _, i, s in rows}
-    return literals([repr(by_id.get(i, least - UNKNOWN)) for i in range(-1, max(by_id) + 1)], "double")
-
-
-def _edge() -> Column:
-    """An edge of ``end len id`` in one long."""
-    return F.col("end").cast("long") * STEP + F.col("len") * IDS + F.coalesce("id", F.lit(-1)) + 1
-
-
-def encode_long(segs: DataFrame, rows: list[tuple[str, int, float]], longest: int, block: int = BLOCK) -> DataFrame:
-    """``encode_segments`` for segments of any length: edges are made by blocks of ``block`` ends, dealt over the tasks, and folded block by block.
-
-    Whole segments travel no further than to their blocks; these are known by the segment's SHA-256.
-    """
-    table = segs.sparkSession.createDataFrame([r[:2] for r in used(rows)], "piece string, id int")
-    first = F.col("b") * block
-    cut = segs.select("seg", "n", F.sha2("seg", 256).alias("sid"), F.explode(F.sequence(F.lit(0), F.floor((F.char_length("seg") - 1) / block).cast("int"))).alias("b"))
-    cut = cut.withColumn("ahead", F.greatest(first - longest + 1, F.lit(0)))
-    cut = cut.select("sid", "n", "b", "ahead", F.substring("seg", F.col("ahead") + 1, first + block - F.col("ahead")).alias("chunk")).repartition("sid", "b")
-    ends = cut.select("*", F.explode(F.sequence(first + 1, F.col("ahead") + F.char_length("chunk"))).alias("end"))
-    subs = ends.select("*", F.explode(F.sequence(F.lit(1), F.least(F.col("end"), F.lit(longest)))).alias("len"))
-    subs = subs.withColumn("piece", F.substring("chunk", F.col("end") - F.col("len") - F.col("ahead") + 1, F.col("len")))
-    met = subs.join(F.broadcast(table), "piece", "left").filter(F.col("id").isNotNull() | (F.col("len") == 1))
-    blocks = met.groupBy("sid", "n", "b", "ahead", "chunk").agg(F.sort_array(F.collect_list(_edge())).alias("edges"))
-    whole = blocks.groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("b", "ahead", "chunk", "edges"))).alias("blocks"))
-    found = let(_best_path_of_blocks(F.col("blocks"), _score_table(rows), longest), lambda best: _ids_of_blocks(F.col("blocks"), best, block))
-    text = F.array_join(F.transform("blocks", lambda x: F.substring(x["chunk"], x["b"] * block - x["ahead"] + 1, F.lit(block))), "")
-    return whole.select(text.alias("seg"), "n", found.alias("ids"))
-
-
-def encode_segments(segs: DataFrame, rows: list[tuple[str, int, float]], longest: int) -> DataFrame:
-    """``seg n ids`` for distinct segments ``seg n`` by the pieces ``rows``."""
-    table = segs.sparkSession.createDataFrame([r[:2] for r in used(rows)], "piece string, id int")
-    size = F.char_length("seg")
-    starts = segs.select("seg", "n", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    subs = starts.select("seg", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.col("size") - F.col("s"), F.lit(longest)))).alias("len"))
-    subs = subs.withColumn("piece", F.substring("seg", F.col("s") + 1, F.col("len")))
-    # the left join keeps an edge for every single character
-    met = subs.join(F.broadcast(table), "piece", "left").filter(F.col("id").isNotNull() | (F.col("len") == 1))
-    met = met.withColumn("end", F.col("s") + F.col("len"))
-    grouped = met.groupBy("seg", "n").agg(F.sort_array(F.collect_list(_edge())).alias("edges"))
-    return grouped.select("seg", "n", let(_best_path(F.col("edges"), _score_table(rows), longest), lambda back: _ids(F.col("seg"), back)).alias("ids"))
-
-
-def decode(ids: Column, table: dict[int, bytes]) -> Column:
-    """The bytes of ids, as text; ``table`` holds the bytes of every id."""
-    known = literals([table.get(i, b"").hex().upper() for i in range(max(table) + 1)], "string")
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: known[i]), "")), "UTF-8")
+#: Starts of a segment whose edges are held at once, and characters of segments that are solved together.
+BLOCK, STEP = 512, 1 << 18
+#: A key of the trie: node * CODES + code point; a step of a path: its length * CODES + id + 1 (0: no piece).
+CODES = 1 << 21
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``start`` to ``start + size - 1`` of many spans, one span after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _starts(size: np.ndarray) -> np.ndarray:
+    return np.cumsum(size) - size
+
+
+class Lattice:
+    """A piece table as a trie with scores, and the best paths of segments over it."""
+
+    def __init__(self, rows: list[tuple[str, int, float]], longest: int, block: int = BLOCK):
+        nodes: dict[int, int] = {}
+        ids = [-1]
+        for piece, i, _ in used(rows):
+            at = 0
+            for c in piece:
+                at = nodes.setdefault(at * CODES + ord(c), len(ids))
+                if at == len(ids):
+                    ids.append(-1)
+            ids[at] = i
+        self.keys = np.array(sorted(nodes), np.int64)
+        self.child = np.array([nodes[k] for k in sorted(nodes)], np.int64)
+        self.piece, self.longest, self.block = np.array(ids, np.int64), longest, block
+        self.score = np.full(max(r[1] for r in rows) + 2, min(r[2] for r in rows) - UNKNOWN)
+        self.score[[r[1] + 1 for r in rows]] = [r[2] for r in rows]
+
+    def edges(self, codes: np.ndarray, start: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``row length id`` of the edges from ``start`` within ``room`` characters; every single character is one, with id -1 if no piece is."""
+        row, node = np.arange(len(start)), np.zeros(len(start), np.int64)
+        found = []
+        for size in range(1, self.longest + 1):
+            key = node * CODES + codes[start[row] + size - 1]
+            spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[spot] == key
+            ids = np.where(hit, self.piece[self.child[spot]], -1)
+            real = ids >= 0 if size > 1 else slice(None)
+            found.append((row[real], np.full(len(row[real]), size), ids[real]))
+            on = hit & (room[row] > size)
+            row, node = row[on], self.child[spot][on]
+            if not len(row):
+                break
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def steps(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best paths of segments of ``size`` characters: the places at which their steps end, in order, and these steps.
+
+        Segment k has the places ``codes`` before it + k, for its start, to that + its size.
+        """
+        order = np.argsort(-size, kind="stable")  # those that reach a level come first
+        size, char = size[order], _starts(size)[order]
+        first = char + order
+        total, took = np.full(len(codes) + len(size), -np.inf), np.zeros(len(codes) + len(size), np.int64)
+        total[first] = 0.0
+        for low in range(0, int(size.max(initial=0)), self.block):
+            wide = np.minimum(size[: np.searchsorted(-size, -low)] - low, self.block)
+            seg = np.repeat(np.arange(len(wide)), wide)
+            level = low + _spans(np.zeros(len(wide), np.int64), wide)
+            row, length, ids = self.edges(codes, char[seg] + level, size[seg] - level)
+            key = level[row] * (self.longest + 1) + length
+            rank = np.argsort(key, kind="stable")
+            row, length, ids, key = row[rank], length[rank], ids[rank], key[rank]
+            at, gain, own = first[seg[row]] + level[row], self.score[ids + 1], length * CODES + ids + 1
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                # edges of one start and length have ends of their own; of equal sums the later start stays
+                end, reached = at[a:b] + length[a], total[at[a:b]] + gain[a:b]
+                better = reached >= total[end]
+                total[end[better]], took[end[better]] = reached[better], own[a:b][better]
+        ends, at = np.zeros(len(total), bool), first + size
+        while True:
+            on = at > first
+            if not on.any():
+                break
+            at, first = at[on], first[on]
+            ends[at] = True
+            at = at - took[at] // CODES
+        return np.flatnonzero(ends), took[ends]
+
+    def encoded(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of segments, one after the other, and their number in each."""
+        size = np.array([len(s) for s in segs], np.int64)
+        part = np.cumsum(size) // STEP
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(segs)]
+        each = [self._encoded(segs[a:b], size[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+        if not each:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*each, strict=True))
+
+    def _encoded(self, segs: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text = "".join(segs)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        ends, took = self.steps(codes, size)
+        seg = np.searchsorted(_starts(size) + np.arange(len(size)), ends) - 1
+        ids, char = (took % CODES).astype(np.int32) - 1, ends - seg - 1
+        raw = np.frombuffer(text.encode(), np.uint8)
+        byte = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        n = np.where(ids < 0, byte[char + 1] - byte[char], 1)
+        out = np.repeat(ids, n)
+        bare = np.flatnonzero(ids < 0)  # characters without a piece: their bytes
+        out[_spans(_starts(n)[bare], n[bare])] = raw[_spans(byte[char[bare]], n[bare])].astype(np.int32) + FIRST_BYTE
+        return out, np.bincount(seg, n, len(size)).astype(np.int64)
+
+
+def encode_segments(segs: DataFrame, rows: list[tuple[str, int, float]], longest: int, block: int = BLOCK) -> DataFrame:
+    """``seg n ids`` for segments ``seg n`` of any length by the pieces ``rows``."""
+    lattice = Lattice(rows, longest, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n = lattice.encoded(batch.column("seg").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("seg"), batch.column("n"), _lists(ids, n)], ["seg", "n", "ids"])
+
+    return segs.select("seg", "n").mapInArrow(run, f"seg string, n {dict(segs.dtypes)['n']}, ids array<int>")
+
+
+#: Long segments take the same way as all others.
+encode_long = encode_segments
+
+
+def _lists(values: np.ndarray | pa.Array, size: np.ndarray) -> pa.ListArray:
+    """Arrays of ``size`` values each, cut from ``values``."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values)
+
+
+class Spelling:
+    """The bytes of every id."""
+
+    def __init__(self, table: dict[int, bytes]):
+        known = [table.get(i, b"") for i in range(max(table) + 1)]
+        self.size = np.array([len(b) for b in known], np.int64)
+        self.start, self.bytes = _starts(self.size), np.frombuffer(b"".join(known), np.uint8)
+
+    def gives(self, segs: list[str], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the ids of each segment, ``n`` of them, decode to it."""
+        want = [s.encode() for s in segs]
+        size = np.array([len(b) for b in want], np.int64)
+        got = np.bincount(np.repeat(np.arange(len(n)), n), self.size[ids], len(n)).astype(np.int64)
+        ok = got == size
+        spelled, raw = self.bytes[_spans(self.start[ids], self.size[ids])], np.frombuffer(b"".join(want), np.uint8)
+        differ = spelled[_spans(_starts(got)[ok], got[ok])] != raw[_spans(_starts(size)[ok], size[ok])]
+        ok[np.repeat(np.flatnonzero(ok), size[ok])[differ]] = False
+        return ok
 
 
 def id_bytes(name: str) -> dict[int, bytes]:
@@ -256,40 +238,31 @@ def id_bytes(name: str) -> dict[int, bytes]:
     return {i: bytes([i - FIRST_BYTE]) if m.is_byte(i) else m.id_to_piece(i).encode() for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i))}
 
 
-def dictionary(docs: DataFrame, *, text: str = "text", model: str = "piece_bpe_32k.model") -> tuple[DataFrame, str]:
-    """``seg n ids ok`` of every distinct segment of the texts, and the pattern they are cut by; ok: decoding gives the segment back."""
-    rows, longest = pieces(docs.sparkSession, model)
-    cut = cut_of([r[0] for r in rows])
-    counted = lambda d, fits: d.select(F.explode(segments(F.col(text), cut)).alias("seg")).filter(fits).groupBy("seg").agg(F.count("*").alias("n"))
-    size = F.char_length("seg")
-    short, long = counted(docs, size <= BLOCK), counted(docs.filter(F.col(text).rlike(RUN)), size > BLOCK)
-    coded = encode_segments(short, rows, longest).unionByName(encode_long(long, rows, longest))
-    return written(coded.select("seg", "n", "ids", (decode(F.col("ids"), id_bytes(model)) == F.col("seg")).alias("ok"))), cut
-
-
 def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model: str = "piece_bpe_32k.model", whole: bool = True) -> DataFrame:
     """Per row of ``docs``: ``doc_id n_tokens n_segments ids_digest round_trip`` and, if ``whole``, ``ids``.
 
     ``ids_digest`` is the sum over segments of a hash of place and the ids' hash, modulo 2**32 a
-    segment, so it is order-aware yet adds up in any order of rows.
+    segment, so it is order-aware. ``round_trip``: the ids of every segment decode to it.
     """
-    words, cut = dictionary(docs, text=text, model=model)
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    least = max(1.0, total / SHARE)
-    coded = words.select("seg", "n", "ok", F.size("ids").alias("size"), F.xxhash64("ids").alias("code"), *(["ids"] if whole else []))
-    top, rare = coded.filter(F.col("n") >= least).drop("n"), coded.filter(F.col("n") < least).drop("n")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), segments(F.col(text), cut).alias("_segs"))
-    each = rows.select("rid", "doc_id", F.posexplode_outer("_segs").alias("pos", "seg"))
-    met = each.join(F.broadcast(top), "seg", "left")
-    mine = met.filter(F.col("code").isNotNull() | F.col("seg").isNull())
-    other = met.filter(F.col("code").isNull() & F.col("seg").isNotNull()).select("rid", "doc_id", "pos", "seg").join(rare, "seg")
-
-    def summed(d: DataFrame) -> DataFrame:
-        digest = F.xxhash64("pos", "code").bitwiseAND(F.lit((1 << 32) - 1))
-        extra = [F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("parts")] if whole else []
-        return d.groupBy("rid", "doc_id").agg(F.sum(F.when(F.col("seg").isNotNull(), F.col("size")).otherwise(0)).alias("n"), F.count("seg").alias("k"), F.sum(F.when(F.col("seg").isNotNull(), digest).otherwise(F.lit(0))).alias("d"), F.min(F.coalesce("ok", F.lit(True)).cast("int")).alias("ok"), *extra)
-
-    both = summed(mine).unionByName(summed(other))
-    extra = [F.flatten(F.transform(F.array_sort(F.flatten(F.collect_list("parts"))), lambda x: x["ids"])).alias("ids")] if whole else []
-    out = both.groupBy("rid", "doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("k").alias("n_segments"), F.sum("d").alias("ids_digest"), (F.min("ok") == 1).alias("round_trip"), *extra)
-    return out.drop("rid")
+    light(docs.sparkSession)
+    rows, longest = pieces(docs.sparkSession, model)
+    lattice, spelling = Lattice(rows, longest), Spelling(id_bytes(model))
+    cut_rows = docs.select(F.col(doc_id).alias("doc_id"), segments(F.col(text), cut_of([r[0] for r in rows])).alias("segs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            segs = batch.column("segs")
+            size = pc.list_value_length(segs).to_numpy(zero_copy_only=False).astype(np.int64)
+            told = segs.flatten().dictionary_encode()  # each distinct segment once
+            own, place = told.dictionary.to_pylist(), told.indices.to_numpy(zero_copy_only=False)
+            ids, n = lattice.encoded(own)
+            parts = _lists(ids[_spans(_starts(n)[place], n[place])], n[place])
+            row = np.repeat(np.arange(len(size)), size)
+            tokens = np.bincount(row, n[place], len(size)).astype(np.int64)
+            wrong = np.bincount(row, ~spelling.gives(own, ids, n)[place], len(size)) > 0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(parts, size), pa.array(tokens), pa.array(~wrong)], ["doc_id", "parts", "n_tokens", "round_trip"])
+
+    coded = cut_rows.mapInArrow(slim(run), f"doc_id {dict(cut_rows.dtypes)['doc_id']}, parts array<array<int>>, n_tokens long, round_trip boolean")
+    digest = F.transform("parts", lambda x, i: F.xxhash64(i, F.xxhash64(x)).bitwiseAND(F.lit((1 << 32) - 1)))
+    total = F.aggregate(digest, F.lit(0).cast("long"), lambda a, x: a + x)
+    return coded.select("doc_id", "n_tokens", F.size("parts").cast("long").alias("n_segments"), total.alias("ids_digest"), "round_trip", *([F.flatten("parts").alias("ids")] if whole else []))
