@@ -49,10 +49,15 @@ def gini_expr(ng: Column, n: Column, g: Column, h: Column, alpha: Column) -> Col
     return F.when(a + b > 0, 2 * p * (1 - p)).otherwise(F.lit(0.0))
 
 
-def totals(samples: DataFrame, by: list[str], weight: str = "weight", goal: str = "has_goal") -> DataFrame:
-    """Weight and goal weight per group."""
+def totals(samples: DataFrame, by: list[str], weight: str = "weight", goal: str = "has_goal", times: str | None = None) -> DataFrame:
+    """Weight, goal weight and samples per group; ``times``: the column that says for how many samples a row stands."""
     w = F.col(weight)
-    return samples.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(F.when(F.col(goal), w).otherwise(F.lit(0.0))).alias("ng"), F.count("*").alias("rows"))
+    return samples.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(F.when(F.col(goal), w).otherwise(F.lit(0.0))).alias("ng"), (F.sum(times) if times else F.count("*")).alias("rows"))
+
+
+def alike(samples: DataFrame, by: list[str], weight: str = "weight", times: str = "times") -> DataFrame:
+    """Samples that agree in ``by`` as one row with their ``weight`` and their number ``times``; a fit over these rows is that over the samples."""
+    return samples.groupBy(*by).agg(F.sum(weight).alias(weight), F.count("*").alias(times))
 
 
 SEGMENT = ["tree_key", "path", "feature"]
@@ -85,7 +90,7 @@ AHEAD = "ahead/"
 
 def split_gains(
     samples: DataFrame, nodes: DataFrame, features: list[str], criterion: str = "entropy", weight: str = "weight", goal: str = "has_goal", min_child: int = 0,
-    ahead: dict[str, str] | None = None, lookahead_totals: str = "child",
+    ahead: dict[str, str] | None = None, lookahead_totals: str = "child", times: str | None = None,
 ) -> DataFrame:
     """Best threshold and gain of every (tree, node, feature), in one pass over the samples.
 
@@ -98,8 +103,8 @@ def split_gains(
     one = lambda name, v: F.struct(F.lit(name).alias("feature"), v.cast("double").alias("v"))
     values = [one(f, F.col(f)) for f in features] + [one(AHEAD + f, F.when(~F.col(i), F.col(f))) for f, i in (ahead or {}).items()]
     w = F.col(weight)
-    stacked = samples.select("tree_key", "path", w.alias("w"), F.when(F.col(goal), w).otherwise(F.lit(0.0)).alias("wg"), F.explode(F.array(*values)).alias("x")).filter(F.col("x.v").isNotNull())
-    distinct = stacked.groupBy("tree_key", "path", F.col("x.feature").alias("feature"), F.col("x.v").alias("v")).agg(F.sum("w").alias("w"), F.sum("wg").alias("wg"), F.count("*").alias("k"))
+    stacked = samples.select("tree_key", "path", w.alias("w"), (F.col(times) if times else F.lit(1).cast("long")).alias("k"), F.when(F.col(goal), w).otherwise(F.lit(0.0)).alias("wg"), F.explode(F.array(*values)).alias("x")).filter(F.col("x.v").isNotNull())
+    distinct = stacked.groupBy("tree_key", "path", F.col("x.feature").alias("feature"), F.col("x.v").alias("v")).agg(F.sum("w").alias("w"), F.sum("wg").alias("wg"), F.sum("k").alias("k"))
     met = prefix_sums(distinct).filter(F.col("next").isNotNull()).join(F.broadcast(nodes), ["tree_key", "path"])  # as small as the trees
     imp = impurity_expr if criterion == "entropy" else gini_expr
     g, h, a = F.col("g"), F.col("h"), F.col("alpha")
@@ -131,6 +136,7 @@ class Options:
     oracle: bool = False  # treat features that may be missing as plain ones
     prune: bool = True
     lookahead_totals: str = "child"  # or "parent": whose totals a feature is looked ahead with
+    times: str | None = None  # for how many samples a row stands (``alike``)
 
 
 def fit(samples: DataFrame, opt: Options) -> DataFrame:
@@ -151,7 +157,7 @@ def fit(samples: DataFrame, opt: Options) -> DataFrame:
     live: dict[tuple[str, str], dict] = {}
     tree: dict[str, dict] = {}
     for level in range(opt.max_depth + 1):
-        found = totals(rows, ["tree_key", "path"]).collect()  # one row per open node
+        found = totals(rows, ["tree_key", "path"], times=opt.times).collect()  # one row per open node
         if level == 0:
             for r in found:
                 alpha = opt.alpha * r["n"] / r["rows"]
@@ -172,7 +178,7 @@ def fit(samples: DataFrame, opt: Options) -> DataFrame:
         if not nxt:
             break
         small = spark.createDataFrame([(k[0], k[1], v["n"], v["n_goal"], v["rows"], tree[k[0]]["n"], tree[k[0]]["g"], tree[k[0]]["h"], tree[k[0]]["alpha"]) for k, v in nxt.items()], "tree_key string, path string, n double, ng double, rows long, tree_n double, g double, h double, alpha double")
-        found_gains = split_gains(rows, small, [*plain, *risky, *indicators], opt.criterion, min_child=opt.min_child, ahead={f: opt.missing[f] for f in risky}, lookahead_totals=opt.lookahead_totals)
+        found_gains = split_gains(rows, small, [*plain, *risky, *indicators], opt.criterion, min_child=opt.min_child, ahead={f: opt.missing[f] for f in risky}, lookahead_totals=opt.lookahead_totals, times=opt.times)
         gains = {(r["tree_key"], r["path"], r["feature"]): (r["gain"], r["threshold"]) for r in found_gains.collect()}  # a row per open node and feature
         ahead = {(*key, f): gains[(*key, AHEAD + f)][0] for key in nxt for f in risky if (*key, AHEAD + f) in gains}
         chosen = []

@@ -10,6 +10,7 @@ from trackwise.operators import posterior as post
 from trackwise.operators.posterior import r9
 from trackwise.plans import trees
 from trackwise.registry import query
+from trackwise.shared import kept
 
 T = f"t AS ({probes.TRAIN})"
 FEATURES = ["f_quantity", "f_discount", "f_tax"]
@@ -205,24 +206,27 @@ SELECT variant, count(*) FILTER (rn = 1) AS n, round(avg(CASE WHEN rn = 1 THEN C
 def fitted_model_variants(spark: SparkSession, sf: str) -> DataFrame:
     """O-110, O-119, O-120: every variant's likelihood as a column of one pass, its prior applied, and its posterior's accuracy and mean true-goal probability."""
     rows = probes.train(spark, sf)
-    likelihood = {}
+    same = kept(trees.alike(rows, ["tree_key", "goal", *FEATURES, *MISSING.values(), "has_goal"]))
+    fits, likelihood = {}, {}
     for name in sorted(trees.VARIANTS):
         v = _variant(name)
         if not v["features"]:
             likelihood[name] = F.lit(1.0)
             continue
-        key = F.concat_ws("/", "tree_key", F.col(v["key"]).cast("string")) if v["key"] else F.col("tree_key")
-        nodes = trees.fit(rows.withColumn("tree_key", key), _aware(features=v["features"], missing={} if v["oracle"] else v["missing"], max_depth=2))
-        likelihood[name] = trees.score_exprs(nodes, key, MISSING)["truncated" if v["truncate"] else "likelihood"]
-    means = rows.groupBy("sample_id", F.col("goal").alias("possible_goal")).agg(F.min("tree_key").alias("goal_type"), *[F.avg(c).alias(n) for n, c in likelihood.items()])
-    cand = means.unpivot(["sample_id", "possible_goal", "goal_type"], list(likelihood), "variant", "likelihood")
-    sample = ["variant", "sample_id"]
-    typed = rows.groupBy(F.col("tree_key").alias("goal_type")).agg(F.sum(F.col("has_goal").cast("double")).alias("k"))
+        keyed = lambda goal, v=v: F.concat_ws("/", "tree_key", F.col(goal).cast("string")) if v["key"] else F.col("tree_key")
+        missing = {} if v["oracle"] else v["missing"]
+        options = (v["key"], *v["features"], *missing)  # variants that differ in scoring or priors share a fit
+        if options not in fits:
+            fits[options] = kept(trees.fit(same.withColumn("tree_key", keyed(v["key"])), _aware(features=v["features"], missing=missing, max_depth=2, times="times")))
+        likelihood[name] = trees.score_exprs(fits[options], keyed(v["key"]), MISSING)["truncated" if v["truncate"] else "likelihood"]
+    means = rows.select("sample_id", F.col("goal").alias("possible_goal"), "tree_key", *[c.alias(n) for n, c in likelihood.items()]).repartition("sample_id")
+    means = means.groupBy("sample_id", "possible_goal").agg(F.min("tree_key").alias("goal_type"), *[F.avg(n).alias(n) for n in likelihood])
+    typed = same.groupBy(F.col("tree_key").alias("goal_type")).agg(F.sum(F.when(F.col("has_goal"), F.col("times")).otherwise(0)).cast("double").alias("k"))
     share = typed.crossJoin(typed.agg(F.sum("k").alias("all"))).select("goal_type", (F.col("k") / F.col("all")).alias("typed"))  # a one-row table
-    kinds = F.create_map(*[F.lit(x) for n in sorted(trees.VARIANTS) for x in (n, _variant(n)["prior"])])[F.col("variant")]
-    cand = post.uniform_prior(cand, sample).join(share, "goal_type").withColumn("prior", F.when(kinds == "typed", F.col("typed")).otherwise(F.col("prior"))).withColumn("true_goal", (F.col("sample_id") % 7 + 1).cast("int"))
-    told = post.summarise(post.posterior(cand, sample), sample, [])
-    return told.groupBy("variant").agg(F.count("*").alias("n"), r9(F.avg("correct")).alias("accuracy"), r9(F.avg("true_goal_prob")).alias("mean_true_goal_prob"))
+    cand = post.uniform_prior(means, ["sample_id"]).join(F.broadcast(share), "goal_type")
+    models = {n: (n, F.col("typed") if _variant(n)["prior"] == "typed" else F.col("prior")) for n in likelihood}
+    told = post.compared(cand, "sample_id", (F.col("sample_id") % 7 + 1).cast("int"), models)
+    return told.select(F.col("model").alias("variant"), "n", r9("accuracy").alias("accuracy"), r9("mean_true_goal_prob").alias("mean_true_goal_prob"))
 
 
 _HAND = """CASE tree_key WHEN 'A' THEN CASE WHEN f_quantity > 25 THEN 'RT' WHEN f_discount > 0.05 THEN 'RFT' ELSE 'RFF' END WHEN 'N' THEN CASE WHEN f_tax > 0.04 THEN 'RT' ELSE 'RF' END END"""
