@@ -55,3 +55,14 @@ def test_pairs_of_a_frame_are_not_shuffled(spark):
     for name in ("feature_rows", "oncoming_vehicle_missing", "vehicle_in_front_missing"):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")], name
+
+
+def test_views_are_not_shuffled_with_their_arrays(spark):
+    """Views with the whole frame as targets: no exchange holds a view's shadows."""
+    boxes = occlusion.outlines(crowd(spark, 6, 2))
+    plan = occlusion.views(boxes.withColumn("ids", F.array("agent_id")), targets=["ids"])._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    exchanges = [i for i, line in enumerate(lines) if "Exchange" in line]
+    made = next(i for i, line in enumerate(lines) if "filter(_there" in line)
+    assert all(i > made for i in exchanges) and "_there" not in "".join(line for line in lines if "Exchange" in line)
+    assert plan.count("Exchange hashpartitioning") <= 2

@@ -122,12 +122,15 @@ def sample_table(states: DataFrame, hidden: DataFrame, maps: Maps, *, fps: int,
     spans = tracks.life_spans(moving.join(goals_of.select(*AGENT), AGENT, "left_semi"))
     pairs = pairs_that_count(spans, goals_of, typed, fps)
     frames = tracks.each_second(trimmed, fps).join(typed.select(*KEY).distinct(), KEY).select(*KEY, "true_goal", "initial_frame_id", "fraction_observed")
-    rows = seen_samples(pairs, frames, hidden, fps)
-    features = state_features(typed, moving, trimmed, maps, fps)
     best = road.best_lane(road.lane_candidates(trimmed.select(*KEY, "x", "y", "heading"), maps.tables["segments"], reach=reach), KEY)
     entered = kept(best.select(*AGENT, F.col("frame_id").alias("_at"), F.col("lane").alias("start")).join(maps.exits.filter("exit_number > 0"), "start").select(*AGENT, "_at", "goal_lane", "exit_number"))
-    since = lambda frame, name: entered.select(*AGENT, F.col("_at").alias(frame), "goal_lane", F.col("exit_number").alias(name))
-    out = rows.join(features, KEY).join(since("initial_frame_id", "_first"), [*AGENT, "initial_frame_id", "goal_lane"], "left").join(since("first_seen", "_seen"), [*AGENT, "first_seen", "goal_lane"], "left")
+    # exits are looked up before egos and features multiply the rows, which then need not be shuffled again
+    first = entered.join(goals_of.select(*AGENT, F.col("initial_frame_id").alias("_at")), [*AGENT, "_at"]).select(*AGENT, "goal_lane", "exit_number")
+    seen = entered.groupBy(*AGENT, F.col("_at").alias("first_seen")).agg(F.collect_set("goal_lane").alias("_seen"))
+    rows = seen_samples(pairs, frames, hidden, fps).join(seen, [*AGENT, "first_seen"], "left")
+    features = state_features(typed.join(first, [*AGENT, "goal_lane"], "left"), moving, trimmed, maps, fps)
+    out = rows.join(features, KEY)
     exits = F.col("goal_type") == "exit-roundabout"
-    out = out.withColumn("exit_number", F.when(exits, F.coalesce("_first", F.lit(0))).otherwise(0)).withColumn("exit_number_missing", exits & F.col("_seen").isNull())
-    return out.withColumnRenamed("goal_idx", "possible_goal").drop("_first", "_seen", "goal_lane", "start_frame", "end_frame", "first_seen")
+    known = F.coalesce(F.array_contains("_seen", F.col("goal_lane")), F.lit(False))
+    out = out.withColumn("exit_number", F.when(exits, F.coalesce("exit_number", F.lit(0))).otherwise(0)).withColumn("exit_number_missing", exits & ~known)
+    return out.withColumnRenamed("goal_idx", "possible_goal").drop("_seen", "goal_lane", "start_frame", "end_frame", "first_seen")
